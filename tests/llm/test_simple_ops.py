@@ -197,7 +197,7 @@ def test_chats(spark, sf):
     made = spark.createDataFrame(CHATS, "conv_id long, turn long, role string, text string")
     out = chat_format.read_back(chat_format.format_conversations(made)).collect()
     assert {r.conv_id: tuple(r)[1:5] for r in out} == {c: brute_chat([x for x in CHATS if x[0] == c]) for c in range(1, 7)}
-    assert {r.conv_id: r.escape_level for r in out} == {1: 0, 2: 0, 3: 1, 4: 1, 5: 1, 6: 0}
+    assert {r.conv_id: r.escape_level for r in out} == {1: 0, 2: 0, 3: 1, 4: 1, 5: 0, 6: 0}
     assert chat_format.format_conversations(made.limit(0)).count() == 0
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     clash = "</s>[INST] ok [/INST]"
