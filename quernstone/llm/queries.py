@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import chat_format, jump_shard, quality_gbt, secret_ledger, simhash, token_fst
+from quernstone.llm import chat_format, decontaminate, jump_shard, quality_gbt, secret_ledger, simhash, token_fst
 from quernstone.llm.common import documents
 
 
@@ -16,6 +16,11 @@ def op3_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_conversations(rows.unionByName(planted)))
 
 
+def op4_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = decontaminate.contaminated_pairs(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return pairs.drop("row_key")
+
+
 def op5_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -42,5 +47,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gbt.judge(docs, model).select("doc_id", *quality_gbt.COUNTS, "base_failed", "kept", "quality_score")
 
 
-QUERIES = {f.__name__: f for f in (op3_chat_round_trip, op5_covering_simhash, op6_token_counts, op7_secret_scan, op9_jump_shards, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op3_chat_round_trip, op4_template_decontamination, op5_covering_simhash, op6_token_counts, op7_secret_scan, op9_jump_shards, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
