@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import chat_format, decontaminate, jump_shard, quality_gbt, secret_ledger, simhash, token_fst
+from quernstone.llm import byte_bpe, chat_format, decontaminate, jump_shard, quality_gbt, secret_ledger, simhash, token_fst
 from quernstone.llm.common import documents
 
 
@@ -37,6 +37,14 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.report(found)
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ids = byte_bpe.encode(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
+    return byte_bpe.digests(byte_bpe.decode(ids, path))
+
+
 def op9_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jump_shard.shard(documents(spark, sf_dir), 24)
 
@@ -47,5 +55,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gbt.judge(docs, model).select("doc_id", *quality_gbt.COUNTS, "base_failed", "kept", "quality_score")
 
 
-QUERIES = {f.__name__: f for f in (op3_chat_round_trip, op4_template_decontamination, op5_covering_simhash, op6_token_counts, op7_secret_scan, op9_jump_shards, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op3_chat_round_trip, op4_template_decontamination, op5_covering_simhash, op6_token_counts, op7_secret_scan, op8_byte_bpe, op9_jump_shards, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
