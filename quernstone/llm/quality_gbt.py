@@ -12,7 +12,7 @@ further columns pass through (they win over no result column: result columns are
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,35 +22,42 @@ from pyspark.sql import functions as F
 
 #: Labelled documents used for training: those with the smallest hashed ids. The bound also holds what reaches the driver.
 TRAIN_ROWS = 8192
-SYMBOLS = "#*$%&|<>"
-NO_SYMBOLS = {ord(c): None for c in SYMBOLS}
-NO_SPACE = {c: None for c in (0x20, *range(0x09, 0x0E))}
+SYMBOLS = b"#*$%&|<>"
+SPACES = b" \t\n\x0b\x0c\r"
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Statistics that the trees see, and the sign of their effect on quality where it is constrained.
 FEATURES = {"log_words": 0, "mean_word": 0, "symbol_share": -1, "dup_line_share": -1, "repeat_share": -1, "distinct_share": 0, "line_words": 0, "digit_share": 0, "upper_share": 0, "end_share": 0, "long_words": 0, "bare_symbols": -1}
 
 
-def repeated_words(words: list) -> int:
+def repeated_words(words: list, distinct: set) -> int:
     """Words inside 3-word windows that the text has twice or more, the first ones included."""
-    n = len(words) - 2
-    if n < 2:
+    n, v = len(words) - 2, len(distinct)
+    if n < 2 or v == len(words):
         return 0
-    windows = list(zip(words, words[1:], words[2:], strict=False))
-    if len(set(windows)) == n:
+    number = dict(zip(distinct, range(v), strict=True)).__getitem__
+    ids = np.fromiter(map(number, words), np.int64, len(words))
+    pairs = ids[:-1] * v + ids[1:]
+    if v > 2_000_000:  # three numbers would not fit into 64 bits
+        pairs = np.unique(pairs, return_inverse=True)[1]
+    windows = pairs[:-1] * v + ids[2:]
+    order = np.argsort(windows, kind="stable")
+    run = windows[order]
+    same = run[1:] == run[:-1]
+    if not same.any():
         return 0
-    counts = Counter(windows)
-    total, covered = 0, 0
-    for i, w in enumerate(windows):
-        if counts[w] > 1:
-            total += i + 3 - max(i, covered)
-            covered = i + 3
-    return total
+    twice = np.zeros(n, bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    inside = np.zeros(len(words), bool)
+    inside[:n] = twice
+    inside[1 : n + 1] |= twice
+    inside[2:] |= twice
+    return int(inside.sum())
 
 
-def duplicate_lines(text: str) -> tuple[int, int]:
+def duplicate_lines(raw: bytes) -> tuple[int, int]:
     """Lines with a word that equal an earlier line, and all lines with a word."""
-    lines = [x for x in text.split("\n") if x.translate(NO_SPACE)]
+    lines = [x for x in raw.split(b"\n") if x.strip(SPACES)]
     return len(lines) - len(set(lines)), len(lines)
 
 
@@ -58,20 +65,15 @@ def statistics(text: str | None) -> tuple:
     """COUNTS, then FEATURES, of one text."""
     text = text or ""
     raw = text.encode("utf-8", "surrogatepass")
+    having = lambda these: len(raw) - len(raw.translate(None, these))
     words = raw.split()
-    n = len(words)
-    solid = text.translate(NO_SPACE)
-    symbols = len(text) - len(text.translate(NO_SYMBOLS))
-    dup, lines = duplicate_lines(text)
-    rep = repeated_words(words)
-    chars = len(solid)
-    w, c = max(n, 1), max(chars, 1)
-    digits = len(raw) - len(raw.translate(None, b"0123456789"))
-    upper = len(raw) - len(raw.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-    ends = raw.count(b".") + raw.count(b"!") + raw.count(b"?")
     distinct = set(words)
-    bare = symbols - sum(raw.count(x) for x in (b"%%", b"**", b"##", b"$$", b"&&"))
-    return (n, chars, symbols, dup, rep, np.log1p(n), chars / w, symbols / c, dup / max(lines, 1), rep / w, len(distinct) / w, w / max(lines, 1), digits / c, upper / c, ends / w, sum(len(x) > 20 for x in distinct) / w, bare / c)
+    n, chars, symbols = len(words), len(text) - having(SPACES), having(SYMBOLS)
+    dup, lines = duplicate_lines(raw)
+    rep = repeated_words(words, distinct)
+    w, c = max(n, 1), max(chars, 1)
+    bare = symbols - sum(map(raw.count, (b"%%", b"**", b"##", b"$$", b"&&")))
+    return (n, chars, symbols, dup, rep, math.log1p(n), chars / w, symbols / c, dup / max(lines, 1), rep / w, len(distinct) / w, w / max(lines, 1), having(b"0123456789") / c, having(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ") / c, having(b".!?") / w, sum(len(x) > 20 for x in distinct) / w, bare / c)
 
 
 @dataclass
