@@ -8,6 +8,7 @@ that puts the answers to use) read the same exchange.
 from __future__ import annotations
 
 import pickle
+import zlib
 from functools import lru_cache
 
 import pandas as pd
@@ -43,17 +44,25 @@ def unpack_object(data: bytes):
     return pickle.loads(unpack(data))
 
 
-def n_chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> int:
-    return max(8, -(-estimated_bytes(docs) // chunk_bytes))
+def n_chunks(docs: DataFrame, text: str, chunk_bytes: int = CHUNK_BYTES) -> int:
+    return max(8, -(-estimated_bytes(docs, text) // chunk_bytes))
 
 
-def chunked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
-    """(chunk, id, null flag, z: the compressed text; number of chunks)."""
-    k = n_chunks(docs.select(id_col, text), chunk_bytes)
+def chunked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES, more: list[str] | None = None) -> tuple[DataFrame, int]:
+    """(chunk, id, z: the compressed text, more columns) and the number of chunks."""
+    k = n_chunks(docs.select(id_col, text), text, chunk_bytes)
 
     @F.pandas_udf("binary")
     def squeezed(texts: pd.Series) -> pd.Series:
         return pd.Series([pack(t.encode("utf-8", "surrogatepass")) for t in texts])
 
     body = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.pmod(F.xxhash64(id_col, text), F.lit(k)).alias("chunk"), F.col(id_col).alias("id"), squeezed(body).alias("z")), k
+    return docs.select(F.pmod(F.xxhash64(id_col, text), F.lit(k)).alias("chunk"), F.col(id_col).alias("id"), squeezed(body).alias("z"), *(more or [])), k
+
+
+def dealt(words, buckets: int) -> list[list[bytes]]:
+    """Words by hash bucket, each list sorted: both ends of an exchange know the order, so answers come back without the words."""
+    parts: list[list[bytes]] = [[] for _ in range(buckets)]
+    for w in sorted(words):
+        parts[zlib.crc32(w) % buckets].append(w)
+    return parts

@@ -23,10 +23,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Spark's own size estimate of the plan (file sizes for plain scans). It only sizes partitions; no result depends on it."""
+def estimated_bytes(df: DataFrame, text: str = "text") -> int:
+    """Spark's own size estimate of the plan (file sizes for plain scans); where it has none, the texts are measured. It only sizes partitions; no result depends on it."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size if size < 1 << 60 else 1 << 36
+    return size if size < 1 << 60 else int(df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first().n)
 
 
 def ascii_lower(col) -> object:

@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import byte_bpe, chat_format, decontaminate, jump_shard, quality_gbt, secret_ledger, simhash, token_fst
+from quernstone.llm import byte_bpe, chat_format, decontaminate, jump_shard, lm_scoring, quality_gbt, secret_ledger, simhash, site_tree, token_fst
 from quernstone.llm.common import documents
 
 
+def op1_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(documents(spark, sf_dir))
+
+
+def op2_site_tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return site_tree.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op3_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     clash = "</s>[INST] ok [/INST]"
@@ -55,5 +64,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gbt.judge(docs, model).select("doc_id", *quality_gbt.COUNTS, "base_failed", "kept", "quality_score")
 
 
-QUERIES = {f.__name__: f for f in (op3_chat_round_trip, op4_template_decontamination, op5_covering_simhash, op6_token_counts, op7_secret_scan, op8_byte_bpe, op9_jump_shards, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_backoff_automaton, op2_site_tree_text, op3_chat_round_trip, op4_template_decontamination, op5_covering_simhash, op6_token_counts, op7_secret_scan, op8_byte_bpe, op9_jump_shards, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
