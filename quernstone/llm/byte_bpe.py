@@ -26,9 +26,10 @@ from quernstone.llm.chunked import CHUNK_BYTES, chunked, pack_object, unpack, un
 #: Characters with the Unicode property White_Space.
 SPACE = "\t-\r \x85\xa0  -     　"
 UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-MAX_BUCKETS, MAX_KNOWN = 512, 400_000
+MAX_BUCKETS, MAX_KNOWN = 512, 200_000
 
 _encodings: dict = {}
+_tables: dict = {}
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -53,14 +54,23 @@ def dealt(units, buckets: int) -> list[list[str]]:
     return parts
 
 
+def text_of(z: bytes) -> str:
+    return unpack(z).decode("utf-8", "surrogatepass")
+
+
+def distinct_units(blobs) -> set[str]:
+    """Text by text, so that only distinct units are held."""
+    seen: set[str] = set()
+    for z in blobs:
+        seen.update(UNIT.findall(text_of(z)))
+    return seen
+
+
 def units_wanted(table: DataFrame, buckets: int) -> DataFrame:
     """(chunk, bucket, units): the distinct units of each chunk."""
 
     def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        seen: set[str] = set()
-        for z in df["z"]:
-            seen.update(UNIT.findall(unpack(z).decode("utf-8", "surrogatepass")))
-        full = [(b, pack_object(p)) for b, p in enumerate(dealt(seen, buckets)) if p]
+        full = [(b, pack_object(p)) for b, p in enumerate(dealt(distinct_units(df["z"]), buckets)) if p]
         return pd.DataFrame({"chunk": key[0], "bucket": [b for b, _ in full], "units": [p for _, p in full]})
 
     return table.groupBy("chunk").applyInPandas(run, "chunk long, bucket int, units binary")
@@ -84,39 +94,45 @@ def encoded_units(wanted: DataFrame, buckets: int, path: str, pattern: str) -> D
     return wanted.repartition(buckets, "bucket").mapInPandas(run, "chunk long, bucket int, ids binary")
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(id, ids): the token ids of every whole text as little-endian unsigned 32-bit integers."""
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES, round_trip: bool = False) -> DataFrame:
+    """(id, ids): the token ids of every whole text as little-endian unsigned 32-bit integers. With round_trip, `decoded` too: the bytes that
+    the ids stand for, looked up in the worker that has them, without another exchange with Python."""
     table, k = chunked(docs, id_col, text, chunk_bytes)
     buckets = min(k, MAX_BUCKETS)
     ids = encoded_units(units_wanted(table, buckets), buckets, path, pattern)
 
     def assemble(key: tuple, texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        cut = [UNIT.findall(unpack(z).decode("utf-8", "surrogatepass")) for z in texts["z"]]
         known: dict[str, bytes] = {}
         answer = dict(zip(answers["bucket"], answers["ids"], strict=True))
-        for bucket, units in enumerate(dealt(set().union(*cut), buckets)):
+        for bucket, units in enumerate(dealt(distinct_units(texts["z"]), buckets)):
             if units:
-                known.update(zip(units, unpack_object(answer[bucket]), strict=True))
+                known.update(zip(units, unpack_object(answer.pop(bucket)), strict=True))
         of = known.__getitem__
-        return pd.DataFrame({"id": texts["id"], "ids": [b"".join(map(of, units)) for units in cut]})
+        out = pd.DataFrame({"id": texts["id"], "ids": [b"".join(map(of, UNIT.findall(text_of(z)))) for z in texts["z"]]})
+        return out.assign(decoded=[decoded(x, path) for x in out["ids"]]) if round_trip else out
 
     kind = dict(docs.dtypes)[id_col]
-    out = table.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInPandas(assemble, f"id {kind}, ids binary")
+    out = table.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInPandas(assemble, f"id {kind}, ids binary" + ", decoded binary" * round_trip)
     return out.withColumnRenamed("id", id_col)
 
 
+def decoded(ids: bytes, path: str) -> bytes:
+    """Each id is replaced by its row of the token-byte table, a fixed vocabulary of which each worker holds one copy."""
+    table = _tables.get(path)
+    if table is None:
+        table = _tables[path] = {i: b for b, i in read_ranks(path).items()}
+    return b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
 def decode(encoded: DataFrame, path: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
-    """Add the decoded bytes: each id is replaced by its row of the token-byte table, a fixed vocabulary of which each worker holds a copy."""
+    """Add the decoded bytes of a column of ids."""
 
     @F.pandas_udf("binary")
-    def joined(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = {i: b for b, i in read_ranks(path).items()}
-        of = table.__getitem__
-        for blobs in batches:
-            yield pd.Series([b"".join(map(of, np.frombuffer(x, "<u4").tolist())) for x in blobs])
+    def joined(blobs: pd.Series) -> pd.Series:
+        return pd.Series([decoded(x, path) for x in blobs])
 
     return encoded.withColumn(name, joined(F.col(ids)))
 
 
-def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    return decoded.select(id_col, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def digests(decoded: DataFrame, id_col: str = "doc_id", more: list[str] | None = None) -> DataFrame:
+    return decoded.select(id_col, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), *(more or []))

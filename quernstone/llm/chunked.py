@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quernstone.llm.common import estimated_bytes
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 
 
 @lru_cache(1)

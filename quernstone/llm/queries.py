@@ -50,8 +50,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = byte_bpe.encode(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
-    return byte_bpe.digests(byte_bpe.decode(ids, path))
+    return byte_bpe.digests(byte_bpe.encode(documents(spark, sf_dir), path, public_tokenizers.PATTERN, round_trip=True))
 
 
 def op9_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
