@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space that separates words: ASCII 0x20 and 0x09 to 0x0D, which is what bytes.split() cuts at.
@@ -29,6 +29,11 @@ def estimated_bytes(df: DataFrame, text: str = "text") -> int:
     return size if size < 1 << 60 else int(df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first().n)
 
 
-def ascii_lower(col) -> object:
+def ascii_lower(col) -> Column:
     """Lower-case A-Z alone; every other character stays."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def row_key(text: str = "text") -> Column:
+    """Tells rows apart by id and text, so null and repeated ids do no harm; equal rows share it."""
+    return F.xxhash64("doc_id", F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quernstone.llm.common import checkpoint
+from quernstone.llm.common import checkpoint, row_key
 
 BITS, RADIUS, SHINGLE = 64, 4, 4
 MAX_BUCKET = 20_000
@@ -201,12 +201,28 @@ def fingerprints(docs: DataFrame, text: str = "text", name: str = "fp") -> DataF
     return docs.withColumn(name, simhash(F.coalesce(F.col(text), F.lit(""))))
 
 
+def classes(marked: DataFrame, radius: int = RADIUS, most: int = MAX_BUCKET) -> DataFrame:
+    """(fp, first, root) of each distinct fingerprint: its smallest (no id, id, row) and its component."""
+    own = marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first"))
+    roots = components(near_links(own.select("fp"), radius, most))
+    return own.join(roots, own["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
+def marked_rows(docs: DataFrame) -> DataFrame:
+    return checkpoint(fingerprints(docs.select("doc_id", "text")).select("doc_id", row_key().alias("row_key"), "fp"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, most: int = MAX_BUCKET) -> DataFrame:
     """doc_id, fingerprint (16 lower-case hex digits), component_id."""
-    marked = checkpoint(fingerprints(docs.select("doc_id", "text")).select("doc_id", "fp"))
-    classes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(near_links(classes.select("fp"), radius, most))
-    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    marked = marked_rows(docs)
+    rooted = classes(marked, radius, most)
+    ids = rooted.groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
     of = rooted.select("fp", "root").join(ids, "root").select("fp", "component_id")
     return marked.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One row of each component: that of the smallest id."""
+    kept = classes(marked_rows(docs), radius).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row_key").alias("__k"))
+    rows = docs.withColumn("__k", row_key()).join(kept, "__k", "left_semi")
+    return rows.dropDuplicates(["__k"]).select(*docs.columns)
