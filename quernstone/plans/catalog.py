@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from quernstone.plans import graph_queries, log_queries, memory_queries, quality_queries, registry_queries, semantic_queries, streaming_queries, text_queries  # noqa: F401
+from quernstone.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -1,0 +1 @@
+"""Readers and writers: tables, adapter views, source trees, parsers, snapshots."""
