@@ -1,7 +1,8 @@
 r"""Benchmark decontamination by canonical templates.
 
 Numbers, quantities, units and names become typed placeholders, letters become small and outer punctuation goes. Windows of
-WINDOW template tokens of every document are hash-joined with those of the benchmark items. Along each alignment
+WINDOW template tokens of the documents are hash-joined with those of the benchmark items, for all documents that share a shorter block of
+tokens with an item: blocks at every few tokens suffice to meet each window. Along each alignment
 (document position minus item position) the filled slots must map one to one between item and document: 3 apples
 and 3 pears may become 7 and 7, but not 7 and 9. Windows with slots on an alignment that breaks this do not count.
 
@@ -20,25 +21,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.llm.common import checkpoint, row_key
+
 WINDOW, MIN_TOKENS, MIN_RUN = 8, 5, 6
 #: Rows of a side up to which it may be broadcast (some tens of MB); larger ones are shuffled.
 MAX_BROADCAST_ROWS = 300_000
 MARK = "\x01"
 UNITS = "kg|g|mg|t|lb|lbs|oz|km|m|cm|mm|mi|ft|in|yd|l|ml|gal|s|ms|min|h|hr|hrs|hours|hour|minutes|minute|seconds|second|days|day|weeks|week|months|month|years|year|dollars|euros|cents|usd|eur|percent|degrees|miles|meters|metres|feet|inches|kilometers|kilometres|kilograms|grams|liters|litres|mph|kmh|kw|w|v|hz|gb|mb|kb"
-NUMBER = r"\p{N}+(?:[.,:/-]\p{N}+)*"
+#: A run of digits and signs, taken whole or not at all, so long runs take linear time.
+NUMBER = r"(?<![\p{L}\p{N}.,:/-])[.,:/-]*+\p{N}[\p{N}.,:/-]*+"
 #: (pattern, replacement), in order.
 SLOTS = (
-    (rf"(?<![\p{{L}}\p{{N}}]){NUMBER}(?:(?i:{UNITS})(?![\p{{L}}\p{{N}}])|[%°])", MARK + "q"),
-    (rf"(?<![\p{{L}}\p{{N}}\x01]){NUMBER}(?![\p{{L}}\p{{N}}])", MARK + "n"),
+    (rf"{NUMBER}(?:(?i:{UNITS})(?![\p{{L}}\p{{N}}])|[%°])", MARK + "q"),
+    (rf"{NUMBER}(?![\p{{L}}\p{{N}}])", MARK + "n"),
     (rf"(?<=\x01n\s)(?i:{UNITS})(?![\p{{L}}\p{{N}}])", MARK + "u"),
     (r"(?<=[\p{L}\p{N},;]\s)\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", MARK + "c"),
 )
-EDGES = r"[^\p{L}\p{N}\x01\s]+(?=\s|$)|(?<!\S)[^\p{L}\p{N}\x01\s]+"
+#: What lies between two tokens, with the punctuation at their edges. Only loops over single characters: long runs neither recurse nor start again at each character.
+BETWEEN = r"(?<![^\p{L}\p{N}\x01\s])[^\p{L}\p{N}\x01\s]*+\s[^\p{L}\p{N}\x01]*+"
+#: Candidates share a block of BLOCK template tokens with an item.
+BLOCK = MIN_TOKENS
 
 
 def tokens(text: Column) -> Column:
-    bare = F.regexp_replace(text, EDGES, "")
-    return F.filter(F.split(F.lower(bare), r"\s+"), lambda t: t != "")
+    """Small-lettered tokens without outer punctuation. A space at both ends puts the edges of the text between tokens too."""
+    return F.filter(F.split(F.lower(F.concat(F.lit(" "), text, F.lit(" "))), BETWEEN), lambda t: t != "")
 
 
 def clean(text: Column) -> Column:
@@ -48,9 +55,11 @@ def clean(text: Column) -> Column:
 def template(text: Column) -> Column:
     """Template tokens, position by position the same as tokens(clean(text))."""
     out = clean(text)
-    for pattern, to in SLOTS:
-        out = F.regexp_replace(out, pattern, to)
-    return tokens(out)
+    with_numbers = out
+    for pattern, to in SLOTS[:3]:
+        with_numbers = F.regexp_replace(with_numbers, pattern, to)
+    out = F.when(out.rlike(r"\p{N}"), with_numbers).otherwise(out)
+    return tokens(F.regexp_replace(out, *SLOTS[3]))
 
 
 def let(value: Column, body) -> Column:
@@ -65,6 +74,12 @@ def windows(hashes: Column, size: int) -> Column:
     return F.when(last >= 0, every).otherwise(F.array().cast("array<struct<pos:int,h:bigint>>"))
 
 
+def blocks(hashes: Column, stride: int) -> Column:
+    """Hashes of the blocks that start at multiples of the stride."""
+    last = F.size(hashes) - BLOCK
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last, F.lit(stride)), lambda i: F.xxhash64(F.slice(hashes, i + 1, F.lit(BLOCK))))).otherwise(F.array().cast("array<bigint>"))
+
+
 def token_hashes(toks: Column) -> Column:
     return F.transform(toks, lambda t: F.xxhash64(t))
 
@@ -73,10 +88,6 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
 
 
-def row_key(docs: DataFrame) -> Column:
-    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.col("text").isNull())
-
-
 def benchmark_windows(bench: DataFrame) -> DataFrame:
     """item_id, size, n_windows, ipos, h, slotted, w_tokens, w_raw."""
     items = bench.where("text is not null").select("item_id", template(F.col("text")).alias("t"), tokens(clean(F.col("text"))).alias("raw")).where(F.size("t") >= MIN_TOKENS)
@@ -89,14 +100,24 @@ def benchmark_windows(bench: DataFrame) -> DataFrame:
     return cut.join(sized, "item_id").select("item_id", "size", "n_windows", "ipos", F.xxhash64(token_hashes(F.col("w")), F.col("size")).alias("h"), (F.col("slots") > 0).alias("slotted"), "w", "w_raw")
 
 
+def candidates(docs: DataFrame, index: DataFrame, stride: int) -> DataFrame:
+    """row_key of every row that shares a block with an item. A window of `size` tokens holds a whole block that starts at a multiple of size - BLOCK + 1, wherever it lies, so no row with a matching window is missed."""
+    starts = index.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - BLOCK), lambda i: F.xxhash64(token_hashes(F.slice("w", i + 1, F.lit(BLOCK)))))).alias("b")).distinct()
+    hashed = docs.select(row_key().alias("row_key"), let(token_hashes(template(F.col("text"))), lambda h: blocks(h, stride)).alias("__b"))
+    # explode() would have the planner repeat the whole expression in a filter for non-empty arrays, also below the join
+    return hashed.select("row_key", F.explode_outer("__b").alias("b")).join(maybe_broadcast(starts, starts.count()), "b", "left_semi").select("row_key").distinct()
+
+
 def contaminated_pairs(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """doc_id, row_key, item_id, n_windows, n_matched, coverage, reparameterised; a row for each contaminated row and item."""
     docs = docs.select("doc_id", "text")
     index = benchmark_windows(bench).cache()
     sizes = sorted(r["size"] for r in index.select("size").distinct().collect()) or [WINDOW]
     n_index = index.count()
-    hashed = docs.select("doc_id", row_key(docs).alias("row_key"), let(token_hashes(template(F.col("text"))), lambda h: F.concat(*[windows(h, k) for k in sizes])).alias("__w"))
-    found = hashed.select("doc_id", "row_key", F.explode("__w").alias("__w")).select("doc_id", "row_key", "__w.pos", "__w.h")
+    rows = checkpoint(candidates(docs, index, min(sizes) - BLOCK + 1))
+    docs = docs.withColumn("row_key", row_key()).join(maybe_broadcast(rows, rows.count()), "row_key", "left_semi").select("doc_id", "text")
+    hashed = docs.select("doc_id", row_key().alias("row_key"), let(token_hashes(template(F.col("text"))), lambda h: F.concat(*[windows(h, k) for k in sizes])).alias("__w"))
+    found = hashed.select("doc_id", "row_key", F.explode_outer("__w").alias("__w")).select("doc_id", "row_key", "__w.pos", "__w.h")
     hits = found.join(maybe_broadcast(index.select("h", "item_id", "ipos", "n_windows", "slotted"), n_index), "h").select("doc_id", "row_key", "item_id", "n_windows", "pos", "ipos", "slotted")
     hits = hits.distinct()
     shifts = hits.groupBy("row_key", "item_id", "n_windows", (F.col("pos") - F.col("ipos")).alias("shift")).agg(F.first("doc_id").alias("doc_id"), F.collect_set("ipos").alias("all"), F.collect_set(F.when(F.col("slotted"), F.col("ipos"))).alias("slotted"))
@@ -114,7 +135,7 @@ def checked_slots(docs: DataFrame, shifts: DataFrame, index: DataFrame) -> DataF
     """Add `broken` (slots do not map one to one on this alignment) and `changed` (a slot is filled otherwise than in the item)."""
     doubtful = shifts.where(F.size("slotted") > 0)
     keys = doubtful.select("row_key").distinct()
-    rows = docs.withColumn("row_key", row_key(docs)).join(maybe_broadcast(keys, keys.count()), "row_key", "left_semi")
+    rows = docs.withColumn("row_key", row_key()).join(maybe_broadcast(keys, keys.count()), "row_key", "left_semi")
     raws = rows.select("row_key", "text").dropDuplicates(["row_key"]).select("row_key", tokens(clean(F.col("text"))).alias("raw"))
     slots = index.where("slotted").select("item_id", "ipos", "w", "w_raw")
     at = doubtful.select("row_key", "item_id", "shift", F.explode("slotted").alias("ipos")).join(slots, ["item_id", "ipos"]).join(raws, "row_key")
@@ -128,4 +149,4 @@ def checked_slots(docs: DataFrame, shifts: DataFrame, index: DataFrame) -> DataF
 def clean_documents(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """The rows that no benchmark item contaminates."""
     bad = contaminated_pairs(docs, bench).select(F.col("row_key").alias("__k")).distinct().cache()
-    return docs.withColumn("__k", row_key(docs)).join(maybe_broadcast(bad, bad.count()), "__k", "left_anti").select(*docs.columns)
+    return docs.withColumn("__k", row_key()).join(maybe_broadcast(bad, bad.count()), "__k", "left_anti").select(*docs.columns)

@@ -13,28 +13,33 @@ from quernstone.llm import queries  # noqa: E402
 
 def canon(text):
     text = (text or "").replace(d.MARK, " ")
-    raw = regex.sub(d.EDGES, "", text)
+    edges = r"[^\p{L}\p{N}\x01\s]+(?=\s|$)|(?<!\S)[^\p{L}\p{N}\x01\s]+"
+    raw = regex.sub(edges, "", text)
     for p, to in d.SLOTS:
         text = regex.sub(p, to, text)
-    text = regex.sub(d.EDGES, "", text)
+    text = regex.sub(edges, "", text)
     cut = lambda s: [x for x in regex.split(r"[ \t\n\r\f\v]+", "".join(c.lower() for c in s)) if x]
     return cut(text), cut(raw)
 
 
 def brute(docs, bench):
     out = set()
+    cut = [canon(body) for _, body in docs]
     for item, text in bench:
         t, raw = canon(text)
         if text is None or len(t) < d.MIN_TOKENS:
             continue
         k = min(d.WINDOW, len(t))
         own = [i for i in range(len(t) - k + 1) if 2 * sum(x[0] == d.MARK for x in t[i : i + k]) < k]
-        for row, (doc, body) in enumerate(docs):
-            w, wraw = canon(body)
+        at_item = {}
+        for i in own:
+            at_item.setdefault(tuple(t[i : i + k]), []).append(i)
+        first = {w[0] for w in at_item}
+        for (doc, _), (w, wraw) in zip(docs, cut, strict=True):
             hits = {}
-            for i in own:
-                for p in range(len(w) - k + 1):
-                    if w[p : p + k] == t[i : i + k]:
+            for p in range(len(w) - k + 1):
+                if w[p] in first:
+                    for i in at_item.get(tuple(w[p : p + k]), ()):
                         hits.setdefault(p - i, set()).add(i)
             good = set()
             for shift, at in hits.items():
@@ -78,6 +83,11 @@ def test_cases(spark):
     assert sorted(str(r.doc_id) for r in left.collect()) == sorted(str(i) for i, _ in DOCS if i not in bad)
 
 
+def test_long_runs_take_linear_time(spark):
+    docs, bench = frames(spark, [(1, "* " * 40_000 + "*" * 90_000 + "1." * 60_000 + "x " + "9" * 90_000 + "A" * 90_000 + ITEM.lower())], BENCH)
+    assert {g[:2] for g in rows(d.contaminated_pairs(docs, bench))} == {(1, 1)}
+
+
 def test_empty_tables(spark):
     docs, bench = frames(spark, DOCS, BENCH)
     assert d.contaminated_pairs(docs.limit(0), bench).count() == 0
