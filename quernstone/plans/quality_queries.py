@@ -1 +1,119 @@
-"""Queries."""
+"""Queries over quality, health and metric history."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quernstone.operators import quality as q
+from quernstone.plans.registry import query
+from quernstone.sources import views as v
+
+CLAMP = lambda e: f"least(greatest({e}, 0.0), 100.0)"
+SCORED = f"""{v.COMPONENT}, {v.EDGE}, deps AS (SELECT src AS id, count(*) AS n_deps FROM edge GROUP BY src), scored AS (SELECT c.*, coalesce(d.n_deps, 0) AS n_deps,
+ round({CLAMP(f"0.4 * {CLAMP('(100 - 2 * complexity) * 0.3 + maintainability * 0.4 + (100 - 100 * debt) * 0.3')} + 0.25 * {CLAMP('100 * doc_score')} + 0.2 * {CLAMP('100 * coverage_frac')} + 0.15 * {CLAMP('100 * security_score')}")}, 6) AS quality,
+ round({CLAMP("(50.0 + CASE WHEN complexity <= 5 THEN 100 WHEN complexity <= 10 THEN 80 WHEN complexity <= 20 THEN 60 ELSE 40 END + 100 * doc_score + 100 * coverage_frac + 100 * security_score) / 5")}, 6) AS health
+ FROM component c LEFT JOIN deps d ON c.id = d.id)"""
+
+
+def scored(spark, sf_dir):
+    deps = v.edge(spark, sf_dir).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n_deps"))
+    return q.scored(v.component(spark, sf_dir)).join(deps, "id", "left").withColumn("n_deps", F.coalesce("n_deps", F.lit(0)))
+
+
+@query(f"WITH {SCORED} SELECT id, quality FROM scored")
+def quality_score(spark, sf_dir):
+    return q.scored(v.component(spark, sf_dir)).select("id", "quality")
+
+
+@query(f"WITH {SCORED} SELECT id, health FROM scored")
+def health_score(spark, sf_dir):
+    return q.scored(v.component(spark, sf_dir)).select("id", "health")
+
+
+def dist_sql(value: str, buckets: tuple) -> str:
+    bounds, rest, at_least = buckets
+    case = " ".join(f"WHEN {value} {'>=' if at_least else '<='} {b} THEN '{n}'" for b, n in bounds)
+    names = ", ".join(f"('{n}')" for n in [n for _, n in bounds] + [rest])
+    return f"WITH {SCORED}, b AS (SELECT CASE {case} ELSE '{rest}' END AS bucket, count(*) AS n FROM scored GROUP BY 1) SELECT l.bucket, coalesce(n, 0) AS n FROM (VALUES {names}) l(bucket) LEFT JOIN b USING (bucket)"
+
+
+def add_distribution(name: str, value: str, buckets: tuple) -> None:
+    def run(spark, sf_dir):
+        return q.distribution(q.scored(v.component(spark, sf_dir)), value, buckets)
+
+    run.__name__ = name
+    query(dist_sql(value, buckets))(run)
+
+
+for _name, _value, _buckets in (
+    ("quality_dist", "quality", q.QUALITY_BUCKETS), ("complexity_dist", "complexity", q.COMPLEXITY_BUCKETS), ("score_dist", "quality", q.SCORE_BUCKETS),
+    ("health_dist", "health", q.HEALTH_BUCKETS), ("line_histogram", "line_count", q.LINE_BUCKETS), ("complexity_histogram", "complexity", q.COMPLEXITY_HISTOGRAM),
+):
+    add_distribution(_name, _value, _buckets)
+
+
+@query(f"""WITH {SCORED} SELECT project_id, count(*) AS n, round(avg(quality), 6) AS avg_quality, round(avg(complexity), 6) AS avg_complexity, round(avg(coverage_pct), 6) AS avg_coverage, count_if(quality > 80)::BIGINT AS high_quality,
+ count_if(quality < 50)::BIGINT AS low_quality, count_if(complexity > 15)::BIGINT AS complex, count_if(complexity <= 5)::BIGINT AS simple, count_if(coverage_pct > 80)::BIGINT AS well_tested, count_if(coverage_pct < 20)::BIGINT AS untested,
+ count_if(n_deps > 10)::BIGINT AS many_deps, count_if(n_deps = 0)::BIGINT AS no_deps FROM scored GROUP BY project_id""")
+def project_metrics(spark, sf_dir):
+    return q.project_metrics(scored(spark, sf_dir))
+
+
+@query(f"""WITH {SCORED}, g AS (SELECT project_id, avg(health) AS h, avg(complexity) AS c, avg(coverage_pct) AS t, count_if(quality < 50) / count(*)::DOUBLE AS low FROM scored GROUP BY project_id)
+ SELECT project_id, round(h, 6) AS avg_health, list_filter([CASE WHEN c > 10 THEN 'high_complexity' END, CASE WHEN t < 50 THEN 'low_coverage' END, CASE WHEN low > 0.2 THEN 'low_quality' END], lambda x: x IS NOT NULL) AS risks FROM g""")
+def project_health(spark, sf_dir):
+    return q.health_summary(q.scored(v.component(spark, sf_dir)))
+
+
+@query(f"""WITH {SCORED} SELECT id, 'low_quality' AS rule, 'high' AS severity FROM scored WHERE quality < 50 UNION ALL SELECT id, 'high_complexity', 'medium' FROM scored WHERE complexity > 15
+ UNION ALL SELECT id, 'low_coverage', 'medium' FROM scored WHERE coverage_pct < 50 AND type IN ('class', 'function') UNION ALL SELECT id, 'many_dependencies', 'medium' FROM scored WHERE n_deps > 10
+ UNION ALL SELECT id, 'security', 'high' FROM scored WHERE security_score < 0.5""")
+def component_insights(spark, sf_dir):
+    return q.insights(scored(spark, sf_dir))
+
+
+@query(f"WITH {SCORED} SELECT id, 'refactor' AS action FROM scored WHERE quality < 60 UNION ALL SELECT id, 'document' FROM scored WHERE doc_score < 0.4 UNION ALL SELECT id, 'test' FROM scored WHERE coverage_pct < 70")
+def component_recommendations(spark, sf_dir):
+    return q.recommendations(scored(spark, sf_dir))
+
+
+@query(f"""WITH {SCORED}, g AS (SELECT project_id, avg(quality) AS q, avg(coverage_pct) AS t, count_if(complexity > 15) / count(*)::DOUBLE AS c FROM scored GROUP BY project_id)
+ SELECT project_id, unnest(list_filter([CASE WHEN q < 60 THEN 'quality_concern' END, CASE WHEN q < 70 THEN 'improve_quality' END, CASE WHEN t < 50 THEN 'coverage_concern' END, CASE WHEN t < 60 THEN 'improve_coverage' END,
+ CASE WHEN c > 0.2 THEN 'complexity_concern' END], lambda x: x IS NOT NULL)) AS insight FROM g""")
+def project_insights(spark, sf_dir):
+    return q.project_insights(q.scored(v.component(spark, sf_dir)))
+
+
+@query(f"""WITH {v.COMPONENT} SELECT id, CASE WHEN complexity <= 5 THEN 'low' WHEN complexity <= 10 THEN 'medium' WHEN complexity <= 20 THEN 'high' ELSE 'very_high' END AS complexity_class,
+ CASE WHEN 100 * security_score >= 90 THEN 'secure' WHEN 100 * security_score >= 70 THEN 'acceptable' WHEN 100 * security_score >= 50 THEN 'at_risk' ELSE 'vulnerable' END AS security_class,
+ CASE WHEN doc_score >= 0.8 THEN 'complete' WHEN doc_score >= 0.5 THEN 'partial' WHEN doc_score >= 0.2 THEN 'basic' ELSE 'none' END AS doc_class FROM component""")
+def class_labels(spark, sf_dir):
+    return v.component(spark, sf_dir).select("id", *q.class_labels())
+
+
+@query("SELECT p_type AS type, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM part), 1)::DOUBLE AS pct FROM part GROUP BY p_type")
+def type_shares(spark, sf_dir):
+    return q.shares(v.component(spark, sf_dir), "type")
+
+
+@query(f"""WITH {v.COMPONENT} SELECT project_id, least(greatest(100 - CASE WHEN avg(coverage_pct) < 50 THEN 20 ELSE 0 END - CASE WHEN avg(complexity) > 10 THEN 20 ELSE 0 END - CASE WHEN count(DISTINCT language) > 5 THEN 10 ELSE 0 END, 0), 100)::BIGINT AS score
+ FROM component GROUP BY project_id""")
+def browser_health(spark, sf_dir):
+    return q.browser_health(v.component(spark, sf_dir))
+
+
+@query(f"""WITH {v.METRIC}, w AS (SELECT *, lag(value) OVER (PARTITION BY component_id, metric ORDER BY ts, id) AS prev, row_number() OVER (PARTITION BY component_id, metric ORDER BY ts DESC, id DESC) AS r FROM metric),
+ c AS (SELECT *, round(CASE WHEN prev = 0 THEN 0 ELSE (value - prev) / abs(prev) * 100 END, 6) AS change FROM w WHERE r = 1 AND prev IS NOT NULL)
+ SELECT component_id, metric, value, prev, change, CASE WHEN change > 5 THEN 'improving' WHEN change < -5 THEN 'declining' ELSE 'stable' END AS direction FROM c""")
+def metric_trend(spark, sf_dir):
+    return q.trend(v.metric(spark, sf_dir))
+
+
+@query(f"WITH {v.COMPONENT} SELECT id, round(rank() OVER (PARTITION BY project_id ORDER BY complexity) * 100.0 / count(*) OVER (PARTITION BY project_id), 6)::DOUBLE AS percentile FROM component")
+def percentile_rank(spark, sf_dir):
+    return q.percentile_rank(v.component(spark, sf_dir), "complexity", "project_id").select("id", "percentile")
+
+
+@query(f"WITH {v.METRIC}, w AS (SELECT *, row_number() OVER (PARTITION BY component_id ORDER BY ts DESC, id DESC) AS rn FROM metric) SELECT id, component_id, rn FROM w WHERE rn <= 10")
+def last_n(spark, sf_dir):
+    return q.last_n(v.metric(spark, sf_dir), ["component_id"], [F.desc("ts"), F.desc("id")], 10).select("id", "component_id", F.col("rn").cast("long").alias("rn"))

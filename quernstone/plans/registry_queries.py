@@ -1 +1,141 @@
-"""Queries."""
+"""Queries over the component registry."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quernstone.functions import exprs as x
+from quernstone.operators import registry as r
+from quernstone.plans.registry import query
+from quernstone.sources import views as v
+
+C = v.COMPONENT
+
+
+@query(f"WITH {C} SELECT type, count(*) AS n FROM component GROUP BY type")
+def component_by_type(spark, sf_dir):
+    return v.component(spark, sf_dir).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {C} SELECT language, count(*) AS n FROM component GROUP BY language")
+def component_by_language(spark, sf_dir):
+    return v.component(spark, sf_dir).groupBy("language").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {C} SELECT round(coalesce(avg(complexity), 0), 6) AS avg_complexity, max(complexity) AS max_complexity, min(complexity) AS min_complexity, count(*) AS n FROM component")
+def component_complexity_stats(spark, sf_dir):
+    c = v.component(spark, sf_dir)
+    return c.agg(F.round(F.coalesce(F.avg("complexity"), F.lit(0.0)), 6).alias("avg_complexity"), F.max("complexity").alias("max_complexity"), F.min("complexity").alias("min_complexity"), F.count("*").alias("n"))
+
+
+@query(f"WITH {C} SELECT project_id, type, count(*) AS n, round(avg(complexity), 6) AS avg_complexity FROM component GROUP BY project_id, type")
+def summary_by_type(spark, sf_dir):
+    return v.component(spark, sf_dir).groupBy("project_id", "type").agg(F.count("*").alias("n"), F.round(F.avg("complexity"), 6).alias("avg_complexity"))
+
+
+@query(f"""WITH {C}, f AS (SELECT 'type' AS facet, type AS value FROM component UNION ALL SELECT 'language', language FROM component UNION ALL SELECT 'tag', t FROM (SELECT unnest(list_distinct(tags)) AS t FROM component))
+ SELECT facet, value, count(*) AS n FROM f GROUP BY facet, value""")
+def component_facets(spark, sf_dir):
+    return r.facets(v.component(spark, sf_dir))
+
+
+@query("SELECT p_type AS type, p_brand AS language, count(*) AS n, grouping(p_type) AS g_type, grouping(p_brand) AS g_language FROM part GROUP BY CUBE (p_type, p_brand)")
+def component_cube(spark, sf_dir):
+    """Extension: cross-tabulated facets."""
+    return v.component(spark, sf_dir).cube("type", "language").agg(F.count("*").alias("n"), F.grouping("type").cast("long").alias("g_type"), F.grouping("language").cast("long").alias("g_language"))
+
+
+@query(f"WITH {C} SELECT id, name FROM component WHERE complexity <= 20 ORDER BY lower(name) DESC, id LIMIT 20 OFFSET 40")
+def component_page(spark, sf_dir):
+    return r.page(r.thresholds(v.component(spark, sf_dir), max_complexity=20), r.orderings()["name_desc"], 40, 20).select("id", "name")
+
+
+@query(f"WITH {C} SELECT id FROM component WHERE name ILIKE '%red%' OR path ILIKE '%red%'")
+def component_ilike(spark, sf_dir):
+    return v.component(spark, sf_dir).where(r.ilike_any(["name", "path"], "red")).select("id")
+
+
+@query(f"""WITH {C}, k AS (SELECT *, CASE id % 5 WHEN 0 THEN 'class' WHEN 1 THEN 'function' WHEN 2 THEN 'async_function' ELSE 'other' END AS kind FROM component)
+ SELECT id, CASE kind WHEN 'file' THEN 0 WHEN 'class' THEN 1 WHEN 'function' THEN 2 WHEN 'async_function' THEN 3 ELSE 9 END AS rank FROM k ORDER BY rank, path LIMIT 1""")
+def type_rank_default(spark, sf_dir):
+    k = F.when(F.col("id") % 5 == 0, "class").when(F.col("id") % 5 == 1, "function").when(F.col("id") % 5 == 2, "async_function").otherwise("other")
+    return r.best_by_type(v.component(spark, sf_dir).withColumn("kind", k), "kind").select("id", "rank")
+
+
+@query(f"WITH {C} SELECT id, list_has_any(tags, ['red', 'small']) AS any_of, list_has_all(tags, ['red', 'small']) AS all_of FROM component")
+def tag_filters(spark, sf_dir):
+    return v.component(spark, sf_dir).select("id", r.any_tag("tags", ["red", "small"]).alias("any_of"), r.all_tags("tags", ["red", "small"]).alias("all_of"))
+
+
+NAME = "SELECT min(p_name) FROM part"
+SQL_EXACT = """round(least(1.0, CASE WHEN lower(name) = 'red' THEN 1.0 WHEN starts_with(lower(name), 'red') THEN 0.8 WHEN contains(lower(name), 'red') THEN 0.6 ELSE 0.0 END
+ + CASE WHEN contains(lower(path), 'red') THEN 0.4 ELSE 0.0 END + list_sum([CASE WHEN lower(t) = 'red' THEN 0.5 WHEN contains(lower(t), 'red') THEN 0.3 ELSE 0.0 END for t in tags])::DOUBLE), 6)::DOUBLE"""
+
+
+@query(f"WITH {C}, s AS (SELECT id, {SQL_EXACT} AS relevance FROM component) SELECT * FROM s WHERE relevance > 0")
+def exact_relevance(spark, sf_dir):
+    return v.component(spark, sf_dir).select("id", r.exact_relevance("red").alias("relevance")).where("relevance > 0")
+
+
+SIM = lambda a, b: f"(CASE WHEN length({a}) = 0 THEN 0 ELSE 1 - levenshtein({a}, {b}) / greatest(length({a}), length({b}))::DOUBLE END)"
+FUZZY_Q = "small blue ring"
+SQL_FUZZY = f"""round(least(1.0, CASE WHEN {SIM("lower(name)", f"'{FUZZY_Q}'")} > 0.7 THEN 0.8 * {SIM("lower(name)", f"'{FUZZY_Q}'")} ELSE 0 END + CASE WHEN contains(lower(name), '{FUZZY_Q}') THEN 0.6 ELSE 0 END
+ + CASE WHEN {SIM("lower(path)", f"'{FUZZY_Q}'")} > 0.6 THEN 0.4 * {SIM("lower(path)", f"'{FUZZY_Q}'")} ELSE 0 END
+ + list_sum([CASE WHEN {SIM("lower(t)", f"'{FUZZY_Q}'")} > 0.7 THEN 0.3 * {SIM("lower(t)", f"'{FUZZY_Q}'")} ELSE 0 END for t in tags])), 6)"""
+
+
+@query(f"WITH {C}, s AS (SELECT id, {SQL_FUZZY} AS relevance FROM component) SELECT * FROM s WHERE relevance > 0.1")
+def fuzzy_relevance(spark, sf_dir):
+    return v.component(spark, sf_dir).select("id", r.fuzzy_relevance(FUZZY_Q).alias("relevance")).where("relevance > 0.1")
+
+
+@query(f"""WITH {C}, s AS (SELECT id, round(CASE WHEN regexp_matches(name, '(?i)r[aei]d?') THEN 0.5 ELSE 0 END + CASE WHEN regexp_matches(path, '(?i)r[aei]d?') THEN 0.3 ELSE 0 END
+ + list_sum([CASE WHEN regexp_matches(t, '(?i)r[aei]d?') THEN 0.2 ELSE 0 END for t in tags])::DOUBLE, 6)::DOUBLE AS relevance FROM component) SELECT * FROM s WHERE relevance > 0""")
+def regex_search(spark, sf_dir):
+    return v.component(spark, sf_dir).select("id", r.regex_relevance("r[aei]d?").alias("relevance")).where("relevance > 0")
+
+
+@query(f"""WITH {C}, k AS (SELECT *, CASE id % 2 WHEN 0 THEN 'class' ELSE 'function' END AS kind, id % 3 = 0 AS is_async FROM component)
+ SELECT id, round((CAST(kind = 'class' AS INT) + CAST(is_async AS INT) + CAST(complexity <= 5 AS INT)) / 3.0, 6)::DOUBLE AS relevance FROM k WHERE kind = 'class' OR is_async OR complexity <= 5""")
+def structural_relevance(spark, sf_dir):
+    k = v.component(spark, sf_dir).withColumn("type", F.when(F.col("id") % 2 == 0, "class").otherwise("function")).withColumn("is_async", F.col("id") % 3 == 0)
+    return k.select("id", r.structural_relevance(r.parse_structural("simple async class")).alias("relevance")).where("relevance > 0")
+
+
+@query(f"""WITH {C} SELECT id, list_filter([CASE WHEN contains(lower(name), 'ring') THEN 'name' END, CASE WHEN contains(lower(path), 'ring') THEN 'path' END,
+ CASE WHEN len(list_filter(tags, lambda t: contains(lower(t), 'ring'))) > 0 THEN 'tags' END], lambda v: v IS NOT NULL) AS highlights FROM component""")
+def search_highlights(spark, sf_dir):
+    return v.component(spark, sf_dir).select("id", r.highlights("ring").alias("highlights"))
+
+
+@query(f"WITH {C}, f AS (SELECT name FROM component WHERE starts_with(lower(name), 's') ORDER BY name, id LIMIT 100) SELECT DISTINCT name FROM f ORDER BY name LIMIT 5")
+def name_completions(spark, sf_dir):
+    return r.completions(v.component(spark, sf_dir), "S")
+
+
+@query(f"""WITH {C}, t AS (SELECT * FROM component WHERE id = 17), p AS (SELECT c.id, round(CASE WHEN c.type = t.type THEN 0.2 ELSE 0 END + CASE WHEN c.language = t.language THEN 0.15 ELSE 0 END
+ + 0.25 * len(list_intersect(c.tags, t.tags))::DOUBLE / len(list_distinct(list_concat(c.tags, t.tags))) + CASE WHEN c.type = t.type THEN 0.2 ELSE 0 END
+ + 0.1 * {SIM("lower(c.name)", "lower(t.name)")} + 0.1 * least(c.complexity, t.complexity) / greatest(c.complexity, t.complexity), 6) AS similarity
+ FROM component c, t WHERE c.project_id = t.project_id AND c.id <> t.id) SELECT * FROM p WHERE similarity >= 0.3 ORDER BY similarity DESC, id LIMIT 10""")
+def component_similarity(spark, sf_dir):
+    return r.similar(v.component(spark, sf_dir), 17, 0.3)
+
+
+@query(f"""WITH {C}, k AS (SELECT id, CASE WHEN id % 50 = 0 THEN '' ELSE name END AS name, type, CASE WHEN id % 40 = 0 THEN -1.0 ELSE complexity END AS complexity FROM component)
+ SELECT id, list_filter([CASE WHEN name = '' THEN 'name is required' END, CASE WHEN complexity < 0 THEN 'complexity must not be negative' END], lambda v: v IS NOT NULL) AS errors FROM k WHERE name = '' OR complexity < 0""")
+def registration_errors(spark, sf_dir):
+    c = v.component(spark, sf_dir)
+    odd = c.withColumn("name", F.when(F.col("id") % 50 == 0, "").otherwise(F.col("name"))).withColumn("complexity", F.when(F.col("id") % 40 == 0, -1.0).otherwise(F.col("complexity")))
+    return r.register(c, odd)[1].select("id", "errors")
+
+
+@query(f"WITH {C} SELECT count(*) AS n, sum(CASE WHEN id % 2 = 0 AND id % 40 <> 0 THEN complexity + 1 ELSE complexity END) AS complexity FROM component")
+def bulk_register(spark, sf_dir):
+    c = v.component(spark, sf_dir)
+    incoming = c.where("id % 2 = 0").withColumn("complexity", F.when(F.col("id") % 40 == 0, -1.0).otherwise(F.col("complexity") + 1))
+    return r.register(c, incoming)[0].agg(F.count("*").alias("n"), F.sum("complexity").alias("complexity"))
+
+
+@query(f"WITH {C} SELECT id, regexp_matches(path, '(?is)^pro.*/brand#1.*$') AS hit FROM component")
+def glob_match(spark, sf_dir):
+    return v.component(spark, sf_dir).select("id", F.rlike("path", F.lit(x.glob_to_regex("pro*/brand#1*"))).alias("hit"))
