@@ -1 +1,206 @@
-"""Queries."""
+"""Queries over the dependency graph."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quernstone.operators import graph as g
+from quernstone.operators import kernels as k
+from quernstone.plans.registry import query
+from quernstone.sources import views as v
+
+CE = f"{v.COMPONENT}, {v.EDGE}"
+DEG = f"""{CE}, o AS (SELECT src AS id, count(*) AS n_out FROM edge GROUP BY src), i AS (SELECT dst AS id, count(*) AS n_in FROM edge GROUP BY dst),
+ deg AS (SELECT c.id, coalesce(n_out, 0) AS n_out, coalesce(n_in, 0) AS n_in FROM component c LEFT JOIN o USING (id) LEFT JOIN i USING (id)),
+ inst AS (SELECT *, round(CASE WHEN n_in + n_out = 0 THEN 0 ELSE n_out / (n_in + n_out)::DOUBLE END, 6) AS instability FROM deg)"""
+
+
+def tables(spark, sf_dir):
+    return v.component(spark, sf_dir), v.edge(spark, sf_dir)
+
+
+@query(f"WITH {CE} SELECT id, CASE WHEN lower(type) IN ('async_function', 'method', 'function') THEN 'function' WHEN lower(type) IN ('directory', 'module') THEN 'module' WHEN lower(type) IN ('class', 'interface', 'package') THEN lower(type) ELSE 'file' END AS kind FROM component")
+def graph_nodes(spark, sf_dir):
+    return v.component(spark, sf_dir).select("id", g.node_kind(F.col("type")).alias("kind"))
+
+
+DEPS = f"""{CE}, deps AS (SELECT a.project_id, e.src, CASE e.dst % 3 WHEN 0 THEN b.name WHEN 1 THEN b.path ELSE concat('pkg.', b.name) END AS dep FROM edge e JOIN component a ON a.id = e.src JOIN component b ON b.id = e.dst)"""
+
+
+@query(f"""WITH {DEPS}, want AS (SELECT project_id, src, dep, 0 AS stage, concat('n:', dep) AS key FROM deps UNION ALL SELECT project_id, src, dep, 1, concat('p:', dep) FROM deps UNION ALL SELECT project_id, src, dep, 2, concat('n:', string_split(dep, '.')[-1]) FROM deps),
+ offer AS (SELECT project_id, key, max(id) AS dst FROM (SELECT project_id, concat('n:', name) AS key, id FROM component UNION ALL SELECT project_id, concat('p:', path), id FROM component) GROUP BY ALL),
+ hit AS (SELECT *, row_number() OVER (PARTITION BY src, dep ORDER BY stage, dst) AS r FROM want JOIN offer USING (project_id, key) WHERE src <> dst) SELECT src, dep, dst, stage FROM hit WHERE r = 1""")
+def edge_resolution(spark, sf_dir):
+    c, e = tables(spark, sf_dir)
+    a = c.select(F.col("id").alias("src"), "project_id")
+    b = c.select(F.col("id").alias("dst"), F.when(F.col("id") % 3 == 0, F.col("name")).when(F.col("id") % 3 == 1, F.col("path")).otherwise(F.concat(F.lit("pkg."), "name")).alias("dep"))
+    return g.resolve(e.join(a, "src").join(b, "dst").select("project_id", "src", "dep"), c)
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN regexp_matches(lower(p_name), 'extends|implements|inherits|super|base') THEN 'inheritance' WHEN regexp_matches(lower(p_name), 'import|require|include|using') THEN 'import'
+ WHEN regexp_matches(lower(p_name), 'realizes|fulfills') THEN 'implementation' ELSE 'reference' END AS edge_type,
+ round(least(2.0, 1 + CASE WHEN list_contains(string_split(p_name, ' '), p_name) THEN 0.5 ELSE 0 END + CASE WHEN regexp_matches(lower(p_name), 'os|sys|json|datetime|pathlib') THEN 0.2 ELSE 0 END + CASE WHEN contains(p_name, '.') THEN 0 ELSE 0.3 END)::DOUBLE, 6) AS weight FROM part""")
+def edge_weight(spark, sf_dir):
+    return v.component(spark, sf_dir).select("id", g.edge_type(F.col("name")).alias("edge_type"), g.edge_weight(F.col("name"), F.col("tags")).alias("weight"))
+
+
+@query("""SELECT p_partkey AS id, regexp_matches(lower(concat(p_name, ' ', p_type, '/', p_brand)), 'util|helper|common|shared|base|core|lib|tools|utils|misc') AS is_utility,
+ regexp_matches(lower(concat(p_name, ' ', p_type, '/', p_brand)), 'main|index|app|server|start|init|bootstrap|run|__main__') AS is_entry_point FROM part""")
+def name_flags(spark, sf_dir):
+    return v.component(spark, sf_dir).select("id", *g.name_flags(F.col("name"), F.col("path")))
+
+
+@query(f"WITH {v.EDGE} SELECT dst AS id, list_sort(list(src)) AS dependents FROM edge GROUP BY dst")
+def dependents(spark, sf_dir):
+    return g.dependents(v.edge(spark, sf_dir))
+
+
+@query(f"WITH {CE} SELECT src, dst FROM edge WHERE src IN (SELECT id FROM component WHERE id % 3 <> 0) AND dst IN (SELECT id FROM component WHERE id % 3 <> 0)")
+def dangling_edges(spark, sf_dir):
+    c, e = tables(spark, sf_dir)
+    return g.with_both_ends(e, c.where("id % 3 <> 0"))
+
+
+@query(f"WITH {DEG} SELECT id, n_out, n_in, n_in = 0 AS is_leaf, n_out = 0 AS is_root, n_in = 0 AND n_out = 0 AS is_isolated FROM deg")
+def degree_flags(spark, sf_dir):
+    return g.degrees(*tables(spark, sf_dir))
+
+
+@query(f"""WITH {DEG} SELECT count(*) AS n_nodes, sum(n_out)::BIGINT AS n_edges, round(avg(n_in), 6) AS avg_in, round(avg(n_out), 6) AS avg_out, max(n_in) AS max_in, max(n_out) AS max_out,
+ count_if(n_in = 0)::BIGINT AS leaves, count_if(n_out = 0)::BIGINT AS roots, count_if(n_in = 0 AND n_out = 0)::BIGINT AS isolated FROM deg""")
+def degree_stats(spark, sf_dir):
+    return g.statistics(*tables(spark, sf_dir))
+
+
+@query(f"WITH {DEG} SELECT id, n_in AS ca, n_out AS ce, instability FROM inst")
+def stability(spark, sf_dir):
+    return g.instability(*tables(spark, sf_dir))
+
+
+@query(f"""WITH {DEG} SELECT round(avg(n_in), 6) AS avg_ca, round(avg(n_out), 6) AS avg_ce, round(sum(n_out) / (sum(n_in) + sum(n_out))::DOUBLE, 6) AS total, round(avg(instability), 6) AS avg_instability,
+ count_if(instability < 0.3)::BIGINT AS stable, count_if(instability > 0.7)::BIGINT AS unstable FROM inst""")
+def coupling(spark, sf_dir):
+    return g.coupling(*tables(spark, sf_dir))
+
+
+PACK = f"{CE}, pack AS (SELECT id, concat(type, '/', language) AS package FROM component)"
+
+
+@query("SELECT concat(p_type, '/', p_brand) AS package, count(*) AS n, list_sort(list(DISTINCT p_brand)) AS languages, sum(CAST(floor(p_retailprice) AS BIGINT))::BIGINT AS lines FROM part GROUP BY 1")
+def package_rollup(spark, sf_dir):
+    return g.packages(v.component(spark, sf_dir))
+
+
+@query(f"WITH {PACK} SELECT a.package AS src_package, b.package AS dst_package, count(*) AS n FROM edge e JOIN pack a ON a.id = e.src JOIN pack b ON b.id = e.dst WHERE a.package <> b.package GROUP BY ALL")
+def package_graph(spark, sf_dir):
+    return g.package_graph(*tables(spark, sf_dir))
+
+
+@query(f"WITH {CE} SELECT count(*) AS n_edges, round(avg(CASE WHEN a.language = b.language THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS cohesion FROM edge e JOIN component a ON a.id = e.src JOIN component b ON b.id = e.dst")
+def cohesion(spark, sf_dir):
+    return g.cohesion(*tables(spark, sf_dir))
+
+
+@query(f"WITH {DEG} SELECT id, 'too_many_dependencies' AS issue FROM deg WHERE n_out > 10 UNION ALL SELECT id, 'god_component' FROM deg WHERE n_in > 15 AND n_out > 5")
+def graph_issues(spark, sf_dir):
+    return g.issues(*tables(spark, sf_dir))
+
+
+def walk_sql(a: str, b: str, extra: str = "") -> str:
+    return f"""r(start, id) AS (SELECT s.id, e.{b} FROM starts s JOIN edge e ON e.{a} = s.id UNION SELECT r.start, e.{b} FROM r JOIN edge e ON e.{a} = r.id {extra})"""
+
+
+STARTS = "starts AS (SELECT DISTINCT dst AS id FROM edge ORDER BY dst LIMIT 3)"
+
+
+def starts(e, column="dst"):
+    return e.select(F.col(column).alias("id")).distinct().orderBy("id").limit(3)
+
+
+@query(f"""WITH RECURSIVE {v.EDGE}, {STARTS}, {walk_sql("dst", "src")}, d AS (SELECT dst AS start, count(*) AS direct FROM edge GROUP BY dst), t AS (SELECT start, count(*) AS affected FROM r GROUP BY start)
+ SELECT s.id AS start, coalesce(direct, 0) AS direct, coalesce(affected, 0) AS affected, greatest(coalesce(affected, 0) - coalesce(direct, 0), 0) AS indirect, coalesce(direct, 0) > 5 OR coalesce(affected, 0) > 20 AS critical
+ FROM starts s LEFT JOIN d ON d.start = s.id LEFT JOIN t ON t.start = s.id""")
+def impact(spark, sf_dir):
+    e = v.edge(spark, sf_dir)
+    return g.impact(e, starts(e))
+
+
+@query(f"""WITH RECURSIVE {v.EDGE}, both_ways AS (SELECT src, dst FROM edge UNION SELECT dst, src FROM edge), s AS (SELECT min(src) AS id FROM edge),
+ r(id, level) AS (SELECT dst, 1 FROM both_ways JOIN s ON src = s.id UNION SELECT b.dst, r.level + 1 FROM r JOIN both_ways b ON b.src = r.id WHERE r.level < 3) SELECT id, min(level) AS level FROM r WHERE id <> (SELECT id FROM s) GROUP BY id""")
+def neighbors(spark, sf_dir):
+    e = v.edge(spark, sf_dir)
+    near = g.reach(e, e.agg(F.min("src").alias("id")), depth=3, both=True)
+    return near.where("id <> start").select("id", "level")
+
+
+@query(f"""WITH RECURSIVE {v.EDGE}, s AS (SELECT min(src) AS id FROM edge), r(id, level) AS (SELECT dst, 1 FROM edge JOIN s ON src = s.id UNION SELECT e.dst, r.level + 1 FROM r JOIN edge e ON e.src = r.id WHERE r.level < 15),
+ far AS (SELECT id, min(level) AS n FROM r WHERE id <> (SELECT id FROM s) GROUP BY id) SELECT n + 1 AS n_nodes, (SELECT id FROM s) AS first, id AS last FROM far ORDER BY n DESC, id LIMIT 1""")
+def shortest_path(spark, sf_dir):
+    e = v.edge(spark, sf_dir)
+    s = e.agg(F.min("src").alias("id"))
+    far = g.reach(e, s, depth=15).where("id <> start").orderBy(F.desc("level"), "id").first()
+    p = g.shortest_path(e, far.start, far.id)
+    return p.select(F.size("path").alias("n_nodes"), F.element_at("path", 1).alias("first"), F.element_at("path", -1).alias("last"))
+
+
+@query(f"""WITH RECURSIVE {v.EDGE}, s AS (SELECT min(src) AS id FROM edge), r(id, path) AS (SELECT (SELECT id FROM s), [(SELECT id FROM s)] UNION ALL
+ SELECT e.dst, list_append(r.path, e.dst) FROM r JOIN edge e ON e.src = r.id WHERE len(r.path) < 4 AND NOT list_contains(r.path, e.dst)), t AS (SELECT max(id) AS id FROM r WHERE len(path) = 3)
+ SELECT path FROM r WHERE id = (SELECT id FROM t) AND len(path) > 1""")
+def simple_paths(spark, sf_dir):
+    e = v.edge(spark, sf_dir)
+    s = e.agg(F.min("src").alias("id")).first().id
+    two = e.where(F.col("src") == s).select(F.col("dst").alias("m")).join(e, F.col("m") == F.col("src")).where(f"dst <> {s} AND dst <> m").agg(F.max("dst").alias("id")).first().id
+    return g.simple_paths(e, s, two, 4)
+
+
+CLOSURE = f"{v.EDGE}, starts AS (SELECT DISTINCT src AS id FROM edge), {walk_sql('src', 'dst')}"
+
+
+@query(f"""WITH RECURSIVE {CLOSURE}, mutual AS (SELECT a.start AS id, a.id AS other FROM r a JOIN r b ON a.start = b.id AND a.id = b.start), nodes AS (SELECT src AS id FROM edge UNION SELECT dst FROM edge)
+ SELECT n.id, least(n.id, coalesce(min(m.other), n.id)) AS component, count(DISTINCT m.other) > 0 AS on_cycle FROM nodes n LEFT JOIN mutual m USING (id) GROUP BY n.id""")
+def scc(spark, sf_dir):
+    e = v.edge(spark, sf_dir).withColumn("project_id", F.lit(0).cast("long"))
+    n = e.select("project_id", F.explode(F.array("src", "dst")).alias("id")).distinct()
+    return k.graph_analysis(n, e).select("id", "component", "on_cycle")
+
+
+@query(f"WITH RECURSIVE {CLOSURE}, mutual AS (SELECT a.start AS id, a.id AS other FROM r a JOIN r b ON a.start = b.id AND a.id = b.start) SELECT id, min(other) AS component FROM mutual GROUP BY id")
+def cycle_nodes(spark, sf_dir):
+    """Any size: label propagation over tables."""
+    return k.strongly_connected_large(v.edge(spark, sf_dir))
+
+
+ACYCLIC = "e AS (SELECT src, dst FROM edge WHERE src < dst)"
+
+
+@query(f"""WITH RECURSIVE {v.EDGE}, {ACYCLIC}, nodes AS (SELECT src AS id FROM e UNION SELECT dst FROM e), r(id, layer) AS (SELECT id, 0 FROM nodes WHERE id NOT IN (SELECT dst FROM e) UNION SELECT e.dst, r.layer + 1 FROM r JOIN e ON e.src = r.id)
+ SELECT id, max(layer)::BIGINT AS layer FROM r GROUP BY id""")
+def layers_kahn(spark, sf_dir):
+    e = v.edge(spark, sf_dir).where("src < dst")
+    n = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    return g.layers(n, e).select("id", F.col("layer").cast("long").alias("layer"))
+
+
+@query(f"""WITH RECURSIVE {v.EDGE}, {ACYCLIC}, nodes AS (SELECT src AS id FROM e UNION SELECT dst FROM e), r(id, layer) AS (SELECT id, 0 FROM nodes WHERE id NOT IN (SELECT src FROM e) UNION SELECT e.src, r.layer + 1 FROM r JOIN e ON e.dst = r.id)
+ SELECT id, max(layer)::BIGINT AS layer FROM r GROUP BY id""")
+def layers_longest(spark, sf_dir):
+    e = v.edge(spark, sf_dir).where("src < dst").withColumn("project_id", F.lit(0).cast("long"))
+    n = e.select("project_id", F.explode(F.array("src", "dst")).alias("id")).distinct()
+    return k.graph_analysis(n, e).select("id", "layer")
+
+
+SYNC = f"""{CE}, gone AS (SELECT id FROM component WHERE id % 10 = 0), kept AS (SELECT id FROM component WHERE id % 20 <> 10)"""
+
+
+@query(f"WITH {SYNC}, e AS (SELECT src, dst FROM edge WHERE src % 10 <> 0 AND dst % 10 <> 0 UNION SELECT src, dst FROM edge WHERE src % 20 = 0) SELECT src, dst FROM e WHERE src IN (SELECT id FROM kept) AND dst IN (SELECT id FROM kept)")
+def incremental_sync(spark, sf_dir):
+    """Every tenth component changed: half came back with their dependencies, half were deleted."""
+    c, e = tables(spark, sf_dir)
+    return g.incremental_sync(c, e, c.where("id % 20 = 0"), e.where("src % 20 = 0"), g.changed_nodes(c, c.where("id % 10 = 0")))[1]
+
+
+@query(f"WITH {v.COMPONENT} SELECT id FROM component WHERE id IN (5, 8) OR ends_with(path, '/12')")
+def changed_nodes(spark, sf_dir):
+    c = v.component(spark, sf_dir)
+    paths = spark.createDataFrame([("./12",)], "path string").unionByName(c.where("id = 8").select(F.concat(F.lit("repo/"), "path").alias("path")))
+    return g.changed_nodes(c, c.where("id = 5"), paths)

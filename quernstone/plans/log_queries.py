@@ -1 +1,133 @@
-"""Queries."""
+"""Queries over logs, sessions, profiles and guarded SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quernstone.operators import logs as g
+from quernstone.operators import profiling as p
+from quernstone.operators import sqlguard
+from quernstone.plans.registry import query
+from quernstone.sources import views as v
+
+ROUTE = "CASE " + " ".join(f"WHEN regexp_matches(content, '{a}') THEN '{b}'" for a, b in g.ROUTES) + " ELSE 'simple_qa' END"
+
+
+@query(f"WITH {v.MESSAGE} SELECT session_id, seq, {ROUTE} AS workflow FROM message")
+def workflow_route(spark, sf_dir):
+    return v.message(spark, sf_dir).select("session_id", "seq", g.route(F.col("content")).alias("workflow"))
+
+
+@query(f"WITH {v.MESSAGE}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq, role) AS rn FROM message) SELECT session_id, seq, role, length(content) AS n_chars FROM r WHERE rn <= 3")
+def session_messages(spark, sf_dir):
+    return g.first_messages(v.message(spark, sf_dir), 3).select("session_id", "seq", "role", F.length("content").cast("long").alias("n_chars"))
+
+
+@query("SELECT conv_id AS run_id, count(*) AS n_steps, list(role ORDER BY turn) AS steps FROM conversations GROUP BY conv_id")
+def run_steps(spark, sf_dir):
+    return g.run_steps(v.message(spark, sf_dir).select(F.col("session_id").alias("run_id"), F.col("seq").alias("step_index"), F.col("role").alias("name")))
+
+
+@query(f"WITH {v.METRIC}, r AS (SELECT *, row_number() OVER (PARTITION BY component_id ORDER BY ts DESC, id DESC) AS rn FROM metric) SELECT component_id, metric FROM r WHERE rn = 1")
+def latest_status(spark, sf_dir):
+    return g.latest(v.metric(spark, sf_dir), ["component_id"], ["ts", "id"], "metric")
+
+
+@query("SELECT event_type AS tool, count(*) AS n, count_if(event_type = 'error')::BIGINT AS errors, round(avg(value), 6) AS avg_duration, max(value) AS max_duration FROM events GROUP BY event_type")
+def call_statistics(spark, sf_dir):
+    m = v.metric(spark, sf_dir).select(F.col("metric").alias("tool"), F.col("value").alias("duration"), F.when(F.col("metric") == "error", "error").otherwise("success").alias("status"))
+    return g.call_statistics(m)
+
+
+@query("SELECT event_type AS metric, count(*) AS n, round(avg(value), 6) AS avg_value FROM events GROUP BY event_type")
+def search_analytics(spark, sf_dir):
+    return g.search_analytics(v.metric(spark, sf_dir))[0]
+
+
+@query("SELECT event_id AS id FROM events ORDER BY ts DESC, event_id DESC LIMIT 10")
+def last_searches(spark, sf_dir):
+    return g.search_analytics(v.metric(spark, sf_dir))[1].select("id")
+
+
+@query("""WITH a AS (SELECT user_id % 7 AS project_id, event_type AS role, event_id AS id, ts, row_number() OVER (PARTITION BY user_id % 7, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE value > 1)
+ SELECT project_id, role, id AS agent_id FROM a WHERE r = 1""")
+def role_agents(spark, sf_dir):
+    m = v.metric(spark, sf_dir).select((F.col("component_id") % 7).alias("project_id"), F.col("metric").alias("role"), "id", F.col("ts").alias("updated_at"), (F.col("value") > 1).alias("is_active"))
+    return g.roles_to_fill(m.select("project_id", "role").distinct(), m)[0]
+
+
+@query("SELECT sum(event_id % 4)::BIGINT AS issues, round(avg(CASE WHEN event_type = 'error' THEN 0 ELSE value END), 6) AS avg_score, round(avg(CASE WHEN event_type = 'error' THEN NULL ELSE value END), 6) AS avg_valid FROM events")
+def review_rollup(spark, sf_dir):
+    m = v.metric(spark, sf_dir)
+    return g.review_rollup(m.select((F.col("id") % 4).alias("issues"), F.when(F.col("metric") == "error", F.lit(None)).otherwise(F.col("value")).alias("score")))
+
+
+@query("""WITH c AS (SELECT user_id AS key, value, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE ts + INTERVAL 10 DAY > TIMESTAMP '2024-01-31 00:00:00')
+ SELECT key, value FROM c WHERE r = 1""")
+def unexpired_keys(spark, sf_dir):
+    m = v.metric(spark, sf_dir)
+    c = m.select(F.col("component_id").alias("key"), "value", F.struct("ts", "id").alias("written_at"), (F.col("ts") + F.expr("INTERVAL 10 DAYS")).alias("expires_at"))
+    return g.unexpired(c, F.lit("2024-01-31 00:00:00").cast("timestamp"))
+
+
+@query("SELECT event_id AS id, CASE WHEN h < 1 THEN 'just now' WHEN h < 24 THEN 'today' WHEN h < 168 THEN 'this week' ELSE 'older' END AS age FROM (SELECT event_id, floor(epoch(TIMESTAMP '2024-02-01 00:00:00' - ts) / 3600) AS h FROM events)")
+def timeline_buckets(spark, sf_dir):
+    return v.metric(spark, sf_dir).select("id", g.since_buckets(F.col("ts"), F.lit("2024-02-01 00:00:00").cast("timestamp")).alias("age"))
+
+
+@query("""WITH a AS (SELECT DISTINCT p_type AS name FROM part WHERE p_partkey % 2 = 0 AND p_size < 5), b AS (SELECT DISTINCT p_type AS name FROM part WHERE p_partkey % 3 = 0 AND p_size < 5)
+ SELECT (SELECT count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b)) AS common, (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) AS only_a, (SELECT count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)) AS only_b,
+ round((SELECT count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b)) / (SELECT count(*) FROM (SELECT * FROM a UNION SELECT * FROM b))::DOUBLE, 6) AS jaccard""")
+def stack_compare(spark, sf_dir):
+    c = v.component(spark, sf_dir).where("complexity < 5")
+    return p.compare_stacks(c.where("id % 2 = 0").select(F.col("type").alias("name")), c.where("id % 3 = 0").select(F.col("type").alias("name")))
+
+
+@query("SELECT p_type AS name, round(max(p_size / 50.0)::DOUBLE, 6) AS confidence, sum(p_partkey % 5)::BIGINT AS usage, count(*) AS n_files FROM part GROUP BY p_type")
+def tech_merge(spark, sf_dir):
+    c = v.component(spark, sf_dir)
+    return p.merge_technologies(c.select(F.col("type").alias("name"), F.round(F.col("complexity") / 50, 6).alias("confidence"), (F.col("id") % 5).alias("usage"), "path")).select("name", "confidence", "usage", F.size("files").cast("long").alias("n_files"))
+
+
+FRAMEWORKS = " UNION ALL ".join(f"""SELECT '{n}' AS name, page_id AS id FROM pages WHERE {" OR ".join(f"regexp_matches(lower(html), '{x.replace(chr(39), chr(39) * 2)}', 'i')" for x in ps)}""" for n, ps in {**p.FRAMEWORKS, **p.DATABASES}.items())
+
+
+@query(f"SELECT name, count(*) AS n_files FROM ({FRAMEWORKS}) GROUP BY name")
+def framework_detection(spark, sf_dir):
+    files = v.table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("content"))
+    return p.detect(files, {**p.FRAMEWORKS, **p.DATABASES})
+
+
+@query(f"""WITH {v.COMPONENT}, s AS (SELECT project_id, 3 * max(CAST(contains(lower(name), 'ring') AS INT)) AS a, 2 * max(CAST(contains(lower(path), 'promo') AS INT)) AS b FROM component GROUP BY project_id) SELECT project_id, (a + b)::BIGINT AS points FROM s""")
+def architecture_points(spark, sf_dir):
+    c = v.component(spark, sf_dir)
+    return p.points(c, "project_id", [(F.contains(F.lower("name"), F.lit("ring")), 3), (F.contains(F.lower("path"), F.lit("promo")), 2)])
+
+
+@query("""WITH m AS (SELECT p_partkey AS id, [p_size > 10, p_size > 20, p_partkey % 2 = 0] AS hit FROM part), s AS (SELECT id, round((CASE WHEN hit[1] THEN 0.5 ELSE 0 END + CASE WHEN hit[2] THEN 0.3 ELSE 0 END + CASE WHEN hit[3] THEN 0.2 ELSE 0 END)::DOUBLE, 6) AS score FROM m)
+ SELECT id, score, CASE WHEN score >= 0.9 THEN 'very_high' WHEN score >= 0.7 THEN 'high' WHEN score >= 0.5 THEN 'medium' WHEN score >= 0.3 THEN 'low' ELSE 'very_low' END AS level FROM s""")
+def indicator_confidence(spark, sf_dir):
+    c = v.component(spark, sf_dir)
+    return c.select("id", *p.indicator_score([(F.col("complexity") > 10, 0.5), (F.col("complexity") > 20, 0.3), (F.col("id") % 2 == 0, 0.2)]))
+
+
+@query(f"WITH {v.COMPONENT}, parts AS (SELECT string_split(path, '/') AS p FROM component) SELECT DISTINCT array_to_string(p[1:i], '/') AS node, i AS depth FROM parts, (VALUES (1), (2), (3)) t(i)")
+def file_tree(spark, sf_dir):
+    return p.tree_nodes(v.component(spark, sf_dir))
+
+
+@query(f"WITH {v.COMPONENT} SELECT project_id, string_agg(type || ':' || n, ',' ORDER BY n DESC, type) AS distribution FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY n DESC, type) AS r FROM (SELECT project_id, type, count(*) AS n FROM component GROUP BY ALL)) WHERE r <= 8 GROUP BY project_id")
+def component_distribution(spark, sf_dir):
+    return p.distribution_text(v.component(spark, sf_dir))
+
+
+@query("SELECT p_type AS type, count(*) AS n FROM part WHERE p_size > 25 GROUP BY p_type")
+def guarded_sql(spark, sf_dir):
+    """User SQL over an allowed view, checked on the parsed plan."""
+    v.component(spark, sf_dir).createOrReplaceTempView("components")
+    return sqlguard.guarded_query(spark, "SELECT type, count(*) AS n FROM components WHERE complexity > 25 GROUP BY type;", {"components"}, 1000)
+
+
+@query("SELECT doc_id, lang, n_chars FROM documents WHERE doc_id = 42")
+def point_lookup(spark, sf_dir):
+    return v.table(spark, sf_dir, "documents").where("doc_id = 42").select("doc_id", "lang", "n_chars")

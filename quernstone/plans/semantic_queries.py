@@ -1 +1,96 @@
-"""Queries."""
+"""Queries over embedded corpora."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quernstone.operators import semantic as s
+from quernstone.plans.memory_queries import SQL_VECTOR, VECTOR
+from quernstone.plans.registry import query
+from quernstone.sources import views as v
+
+OTHER = [((i * 5) % 13 - 6) / 10 for i in range(64)]
+SQL_OTHER = f"CAST({OTHER} AS DOUBLE[])"
+ITEMS = "items AS (SELECT vec_id AS item_id, CASE label % 4 WHEN 0 THEN 'code' WHEN 1 THEN 'pattern' WHEN 2 THEN 'documentation' ELSE 'usage' END AS kind, CASE vec_id % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'go' ELSE 'java' END AS language, embedding FROM embeddings)"
+SCORE = lambda q: f"round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), {q}), 6)"
+
+
+def items(spark, sf_dir):
+    k, n = F.col("label") % 4, F.col("vec_id") % 3
+    e = v.table(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("item_id"), F.when(k == 0, "code").when(k == 1, "pattern").when(k == 2, "documentation").otherwise("usage").alias("kind"), F.when(n == 0, "python").when(n == 1, "go").otherwise("java").alias("language"), "embedding")
+
+
+@query(f"WITH {ITEMS}, h AS (SELECT item_id, kind, language, {SCORE(SQL_VECTOR)} AS score FROM items WHERE kind <> 'code' OR language = 'go') SELECT * FROM h WHERE score >= 0.05")
+def semantic_search(spark, sf_dir):
+    return s.search(items(spark, sf_dir), VECTOR, 0.05, language="go")
+
+
+@query(f"WITH {ITEMS}, h AS (SELECT item_id, kind, language, {SCORE(SQL_VECTOR)} AS score FROM items), f AS (SELECT * FROM h WHERE score >= 0.05 AND language = 'go') SELECT item_id, kind, language, round(score * 1.1, 8) AS score FROM f")
+def context_boost(spark, sf_dir):
+    return s.context_aware(s.search(items(spark, sf_dir), VECTOR, 0.05), "go")
+
+
+@query(f"""WITH {ITEMS}, a AS (SELECT *, {SCORE(SQL_VECTOR)} AS sa, {SCORE(SQL_OTHER)} AS sb FROM items), u AS (SELECT item_id, kind, round(sa * 0.6, 8) AS score, 'semantic' AS origin, 0 AS o FROM a WHERE sa >= 0.05
+ UNION ALL SELECT item_id, kind, round(sa * 0.8, 8), 'pattern', 1 FROM a WHERE sa >= 0.1 AND kind = 'pattern' UNION ALL SELECT item_id, kind, round(sb * 0.7, 8), 'context', 2 FROM a WHERE sb >= 0.05),
+ r AS (SELECT *, row_number() OVER (PARTITION BY item_id, kind ORDER BY score DESC, o) AS r FROM u) SELECT item_id, kind, score, origin FROM r WHERE r = 1""")
+def hybrid_fusion(spark, sf_dir):
+    i = items(spark, sf_dir)
+    return s.fuse({"semantic": s.search(i, VECTOR, 0.05), "pattern": s.search(i, VECTOR, 0.1, ["pattern"]), "context": s.search(i, OTHER, 0.05)})
+
+
+@query(f"""WITH {ITEMS}, h AS (SELECT item_id, kind, language, {SCORE(SQL_VECTOR)} AS score FROM items), f AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY score DESC, item_id) AS r FROM h WHERE score >= 0.0) SELECT item_id, kind, language, score FROM f WHERE r <= 5""")
+def top_per_kind(spark, sf_dir):
+    return s.top_per_kind(s.search(items(spark, sf_dir), VECTOR, 0.0), 5)
+
+
+@query(f"WITH {ITEMS}, t AS (SELECT embedding AS t FROM items WHERE item_id = 7), h AS (SELECT item_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(t AS DOUBLE[])), 6) AS score FROM items, t WHERE item_id <> 7) SELECT * FROM h WHERE score > 0.2 ORDER BY score DESC, item_id LIMIT 3")
+def related_items(spark, sf_dir):
+    return s.related(items(spark, sf_dir), 7, 0.2)
+
+
+@query(f"WITH {ITEMS}, p AS (SELECT item_id AS pattern_id, embedding AS p FROM items WHERE item_id < 25), h AS (SELECT item_id, pattern_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(p AS DOUBLE[])), 6) AS score FROM items, p WHERE kind = 'code') SELECT * FROM h WHERE score >= 0.2")
+def pattern_detection(spark, sf_dir):
+    i = items(spark, sf_dir)
+    return s.detect_patterns(i.where("kind = 'code'"), i.where("item_id < 25").withColumnRenamed("item_id", "pattern_id"), 0.2)
+
+
+@query(f"WITH {ITEMS} SELECT kind, count(*) AS n, list_sort(list(DISTINCT language)) AS languages FROM items GROUP BY kind")
+def corpus_statistics(spark, sf_dir):
+    return s.corpus_statistics(items(spark, sf_dir))
+
+
+TYPES = "['pattern_exact', 'hybrid_pattern', 'context_aware', 'usage_similarity', 'similarity']"
+
+
+@query(f"""WITH {ITEMS}, m AS (SELECT item_id, language, greatest({SCORE(SQL_VECTOR)}, 0.0) AS score, ({TYPES})[item_id % 5 + 1] AS mt, CASE item_id % 2 WHEN 0 THEN 'learn_pattern' ELSE 'get_example' END AS intent FROM items)
+ SELECT item_id, round(least(1.0, score + CASE mt WHEN 'pattern_exact' THEN 0.2 WHEN 'hybrid_pattern' THEN 0.15 WHEN 'context_aware' THEN 0.1 WHEN 'similarity' THEN 0.05 ELSE 0 END + CASE WHEN language = 'go' THEN 0.1 ELSE 0 END
+ + CASE WHEN intent = 'learn_pattern' AND contains(mt, 'pattern') OR intent = 'get_example' AND contains(mt, 'usage') THEN 0.15 ELSE 0 END), 6)::DOUBLE AS confidence FROM m""")
+def confidence_boost(spark, sf_dir):
+    kinds = F.element_at(F.array(*map(F.lit, ["pattern_exact", "hybrid_pattern", "context_aware", "usage_similarity", "similarity"])), (F.col("item_id") % 5 + 1).cast("int"))
+    i = s.search(items(spark, sf_dir), VECTOR, -1.0)
+    return i.select("item_id", s.confidence(F.greatest("score", F.lit(0.0)), kinds, F.col("language") == "go", F.when(F.col("item_id") % 2 == 0, "learn_pattern").otherwise("get_example")).alias("confidence"))
+
+
+INTENT = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in ws) + f" THEN '{n}'" for n, ws in s.INTENTS.items()) + " ELSE 'find_code' END"
+
+
+@query(f"SELECT conv_id, turn, {INTENT} AS intent FROM conversations")
+def intent_detect(spark, sf_dir):
+    return v.table(spark, sf_dir, "conversations").select("conv_id", "turn", s.intent(F.col("text")).alias("intent"))
+
+
+@query(f"SELECT conv_id, turn, list_filter({s.PATTERN_NAMES}, lambda n: contains(lower(text), n)) AS names FROM conversations")
+def pattern_names(spark, sf_dir):
+    return v.table(spark, sf_dir, "conversations").select("conv_id", "turn", s.mentioned_patterns(F.col("text")).alias("names"))
+
+
+@query("SELECT doc_id, substring(sha256(concat_ws(':', source, lang, md5(text))), 1, 32) AS embedding_id FROM documents")
+def embedding_ids(spark, sf_dir):
+    return v.table(spark, sf_dir, "documents").select("doc_id", s.embedding_id(F.col("source"), F.col("lang"), F.col("text")).alias("embedding_id"))
+
+
+@query("SELECT doc_id, concat_ws(' | ', concat('Language: ', lang), concat('Source: ', source), CASE WHEN length(text) > 0 THEN concat('Content: ', substring(text, 1, 500)) END) AS body FROM documents")
+def embedding_texts(spark, sf_dir):
+    parts = [("Language", F.col("lang"), 50), ("Source", F.col("source"), 50), ("Content", F.col("text"), 500)]
+    return v.table(spark, sf_dir, "documents").select("doc_id", s.embedding_text(parts).alias("body"))

@@ -1 +1,128 @@
-"""Queries."""
+"""Queries over code and text."""
+
+from __future__ import annotations
+
+from dataclasses import replace
+
+from pyspark.sql import functions as F
+
+from quernstone.operators import textscan as t
+from quernstone.plans.registry import query
+from quernstone.sources import views as v
+
+CODE = "code AS (SELECT page_id AS id, html AS content, CASE page_id % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'javascript' ELSE 'java' END AS language FROM pages)"
+#: Rules whose pattern means the same in every engine: no look-ahead, and \w and \b on ASCII text alone.
+SHARED = tuple(r for r in t.RULES if "(?!" not in r.pattern and r.name not in ("java_magic_number",))
+
+
+def code(spark, sf_dir):
+    p = F.col("page_id")
+    return v.table(spark, sf_dir, "pages").select(p.alias("id"), F.col("html").alias("content"), F.when(p % 3 == 0, "python").when(p % 3 == 1, "javascript").otherwise("java").alias("language"))
+
+
+def rule_sql() -> str:
+    rows = " UNION ALL ".join(f"""SELECT id, '{r.name}' AS rule, '{r.category}' AS category, '{r.severity}' AS severity, len(regexp_extract_all(content, '(?im){r.pattern.replace("'", "''")}'))::BIGINT AS n FROM code WHERE {"true" if r.language == "all" else f"language = '{r.language}'"}""" for r in SHARED)
+    return f"{CODE}, hits AS ({rows})"
+
+
+@query(f"WITH {rule_sql()} SELECT * FROM hits WHERE n > 0")
+def rule_scan_counts(spark, sf_dir):
+    return t.scan_counts(code(spark, sf_dir), SHARED)
+
+
+@query(f"WITH {rule_sql()}, n AS (SELECT severity, sum(n)::BIGINT AS n FROM hits WHERE n > 0 GROUP BY severity) SELECT s.severity, coalesce(n, 0) AS n FROM (VALUES ('critical'), ('high'), ('medium'), ('low')) s(severity) LEFT JOIN n USING (severity)")
+def rule_severity_dist(spark, sf_dir):
+    return t.severity_distribution(t.scan_counts(code(spark, sf_dir), SHARED))
+
+
+@query(f"WITH {rule_sql()} SELECT id, greatest(100 - sum(n * CASE severity WHEN 'critical' THEN 20 WHEN 'high' THEN 10 WHEN 'medium' THEN 5 ELSE 2 END), 0)::BIGINT AS score FROM hits WHERE n > 0 GROUP BY id")
+def review_score(spark, sf_dir):
+    return t.review_score(t.scan_counts(code(spark, sf_dir), SHARED))
+
+
+@query()
+def rule_scan_positions(spark, sf_dir):
+    """All rules with positions; tests hold them against Python's re."""
+    return t.scan_positions(code(spark, sf_dir))
+
+
+@query()
+def top_issues(spark, sf_dir):
+    return t.top_issues(t.scan_positions(code(spark, sf_dir)))
+
+
+def table_sql(rules) -> str:
+    return "(VALUES " + ", ".join(f"('{r.name}', '{r.category}', '{r.severity}', '{r.language}', {str(r.enabled).lower()})" for r in rules) + ") r(rule, category, severity, language, enabled)"
+
+
+TOGGLED = tuple(replace(r, enabled=i % 4 != 0) for i, r in enumerate(t.RULES))
+
+
+@query(f"SELECT language, category, severity, count(*) AS n, count_if(enabled)::BIGINT AS n_enabled FROM {table_sql(TOGGLED)} GROUP BY GROUPING SETS ((language), (category), (severity), ())")
+def rule_statistics(spark, sf_dir):
+    t.rule_table(spark, TOGGLED).createOrReplaceTempView("quernstone_rules")
+    return spark.sql("SELECT language, category, severity, count(*) AS n, count_if(enabled) AS n_enabled FROM quernstone_rules GROUP BY GROUPING SETS ((language), (category), (severity), ())")
+
+
+LINES = "lines AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_number FROM documents)"
+
+
+@query(f"""WITH {LINES}, n AS (SELECT *, list_filter(regexp_extract_all(line, '\\b([0-9]{{2,9}})\\b', 1), lambda x: x::INT >= 11) AS nums FROM lines)
+ SELECT id, line_number::INT AS line_number, 'long_line' AS issue FROM n WHERE length(trim(line, ' ')) > 120 UNION ALL SELECT id, line_number::INT, 'todo' FROM n WHERE contains(line, 'TODO') OR contains(line, 'FIXME')
+ UNION ALL SELECT id, line_number::INT, 'magic_number' FROM n WHERE len(nums) > 0 AND NOT regexp_matches(lower(line), 'max|min|size|count|len')""")
+def line_review(spark, sf_dir):
+    return t.line_review(v.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")))
+
+
+@query(f"WITH {LINES} " + " UNION ALL ".join(f"""SELECT id, line_number::INT AS line_number, '{m}' AS message FROM lines WHERE regexp_matches(line, '(?i){p.replace("'", "''")}')""" for p, m in t.SECURITY_LINES))
+def secret_scan(spark, sf_dir):
+    return t.security_review(v.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")))
+
+
+@query("""SELECT doc_id AS id, len(list_filter(string_split(text, chr(10)), lambda s: contains(s, 'if') OR contains(s, 'for') OR contains(s, 'while')))::BIGINT AS complexity, ((length(text) - length(replace(text, 'the', ''))) / 3)::BIGINT AS n_the,
+ ((length(text) - length(replace(text, 'and', ''))) / 3)::BIGINT AS n_and, ((length(text) - length(replace(text, 'er', ''))) / 2)::BIGINT AS n_er FROM documents""")
+def light_review(spark, sf_dir):
+    return v.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), *t.light_review(F.col("text")))
+
+
+@query(r"""SELECT doc_id AS id, len(string_split(text, chr(10)))::BIGINT AS all_lines, len(list_filter(string_split(text, chr(10)), lambda s: trim(s, ' ') <> ''))::BIGINT AS code_lines,
+ len(list_filter(regexp_split_to_array(text, '[ \t\n\f\r\v]+'), lambda w: w <> ''))::BIGINT AS n_words FROM documents""")
+def word_count(spark, sf_dir):
+    return v.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), *t.line_counts(F.col("text")))
+
+
+def language_sql() -> str:
+    score = lambda ps: " + ".join(f"len(regexp_extract_all(t, '{p}'))" for p in ps)
+    cols = ", ".join(f"{{'n': {score(ps)}, 'o': {-i}, 'name': '{name}'}}" for i, (name, ps) in enumerate(t.LANGUAGE_PATTERNS.items()))
+    return f"WITH s AS (SELECT page_id AS id, lower(html) AS t FROM pages), b AS (SELECT id, list_max([{cols}]) AS b FROM s) SELECT id, CASE WHEN b.n > 0 THEN b.name ELSE 'unknown' END AS language FROM b"
+
+
+@query(language_sql())
+def language_detect(spark, sf_dir):
+    return v.table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), t.detect_language(F.col("html")).alias("language"))
+
+
+HEAD = "CASE " + " ".join(f"WHEN regexp_matches(s, '{p}') THEN regexp_extract(s, '{p}', {g})" for p, g in t.HEADINGS) + " END"
+
+
+@query(f"SELECT doc_id AS id, list_filter([{HEAD} FOR s IN [trim(x, ' ') FOR x IN string_split(text, chr(10))]], lambda h: h IS NOT NULL) AS headings FROM documents")
+def headings(spark, sf_dir):
+    return v.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), t.headings(F.col("text")).alias("headings"))
+
+
+@query(f"""WITH h AS (SELECT doc_id AS id, text, len(list_filter([{HEAD} FOR s IN [trim(x, ' ') FOR x IN string_split(text, chr(10))]], lambda h: h IS NOT NULL)) AS n FROM documents),
+ c AS (SELECT id, round((least(length(text) / 5000.0, 1.0) + least(n / 20.0, 1.0) + least(len(regexp_extract_all(text, '(?s)```\\w*\\n(.*?)```', 1)) / 10.0, 1.0))::DOUBLE / 3, 6) AS value FROM h)
+ SELECT id, value, CASE WHEN value < 0.3 THEN 'simple' WHEN value < 0.7 THEN 'moderate' ELSE 'complex' END AS label FROM c""")
+def doc_complexity(spark, sf_dir):
+    return v.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), *t.doc_complexity(F.col("text")))
+
+
+@query("""WITH s AS (SELECT doc_id AS id, array_to_string(list_filter([trim(x, ' ') FOR x IN string_split(text, chr(10))], lambda s: s <> '' AND NOT starts_with(s, '#'))[1:3], ' ') AS w FROM documents)
+ SELECT id, CASE WHEN length(w) > 200 THEN concat(substring(w, 1, 200), '...') ELSE w END AS summary FROM s""")
+def doc_summary(spark, sf_dir):
+    return v.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), t.summary(F.col("text")).alias("summary"))
+
+
+@query("SELECT page_id AS id, CASE WHEN contains(lower(url), 'api') THEN 'api' WHEN contains(lower(url), 'guide') THEN 'guide' WHEN contains(lower(url), 'tutorial') THEN 'tutorial' WHEN contains(lower(url), 'license') THEN 'license' WHEN contains(lower(url), 'changelog') THEN 'changelog' ELSE 'readme' END AS doc_type FROM pages")
+def doc_type(spark, sf_dir):
+    return v.table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), t.doc_type(F.col("url")).alias("doc_type"))
