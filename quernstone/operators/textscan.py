@@ -72,6 +72,8 @@ def flags(pattern: str) -> str:
 def scan_counts(code: DataFrame, rules=RULES) -> DataFrame:
     """(id, rule, category, severity, n) for every enabled rule of the code's language or of all languages that matches. One pass; rules are columns, not rows."""
     hit = [F.struct(F.lit(r.name).alias("rule"), F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity"), F.when((F.col("language") == r.language) | F.lit(r.language == "all"), F.regexp_count("content", F.lit(flags(r.pattern)))).otherwise(0).alias("n")) for r in rules if r.enabled]
+    if not hit:
+        return code.limit(0).select("id", *[F.lit("").alias(c) for c in ("rule", "category", "severity")], F.lit(0).cast("long").alias("n"))
     return code.select("id", F.explode_outer(F.filter(F.array(*hit), lambda h: h["n"] > 0)).alias("h")).where("h IS NOT NULL").select("id", "h.rule", "h.category", "h.severity", F.col("h.n").cast("long").alias("n"))
 
 

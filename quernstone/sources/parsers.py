@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -70,7 +71,7 @@ def pattern_components(files: DataFrame, language: str) -> DataFrame:
     if language not in PATTERNS:
         none = F.array().cast("array<string>")
         return files.select("path", none.alias("imports"), none.alias("functions"), none.alias("types"), none.alias("exports"))
-    imports, functions, types = (F.array_distinct(matched_names(F.col("text"), p, p.count("(\\w+)") + p.count("([^'\"]+)") + p.count("([\\w.*]+)") + p.count("([\\w./-]+)") + p.count("([\\w:]+)"))) for p in PATTERNS[language])
+    imports, functions, types = (F.array_distinct(matched_names(F.col("text"), p, re.compile(p).groups)) for p in PATTERNS[language])
     out = files.select("path", imports.alias("imports"), functions.alias("functions"), types.alias("types"))
     names = F.concat("functions", "types")
     return out.withColumn("exports", F.filter(names, lambda n: F.rlike(n, F.lit("^[A-Z]"))) if language == "go" else names)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from quernstone.operators import graph
 from quernstone.sources.snapshots import SnapshotTable
@@ -70,26 +71,16 @@ def sync_graph(changes: DataFrame, nodes: SnapshotTable, edges: SnapshotTable, r
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-class ExpiringCount(StatefulProcessor):
-    """Counts per key that are forgotten ttl_ms after the last event."""
-
-    def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle) -> None:
-        self.state = handle.getValueState("n", "n long", self.ttl_ms)
-
-    def handleInputRows(self, key, rows, timerValues):
-        import pandas as pd
-
-        n = sum(len(df) for df in rows) + (self.state.get()[0] if self.state.exists() else 0)
-        self.state.update((n,))
-        yield pd.DataFrame({"key": [key[0]], "n": [n]})
-
-    def close(self) -> None:
-        pass
-
-
 def expiring_counts(events: DataFrame, key: str, ttl_ms: int = 3_600_000) -> DataFrame:
-    """Needs the RocksDB state store."""
-    return events.groupBy(key).transformWithStateInPandas(ExpiringCount(ttl_ms), "key string, n long", "Update", "ProcessingTime")
+    """(key, n): running counts per key, which are forgotten ttl_ms after the key's last event."""
+
+    def count(k: tuple, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n = sum(len(df) for df in batches) + (state.get[0] if state.exists else 0)
+        state.update((n,))
+        state.setTimeoutDuration(ttl_ms)
+        yield pd.DataFrame({"key": [str(k[0])], "n": [n]})
+
+    return events.groupBy(key).applyInPandasWithState(count, "key string, n long", "n long", "update", GroupStateTimeout.ProcessingTimeTimeout)
