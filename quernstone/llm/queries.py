@@ -64,4 +64,33 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_backoff_automaton, op2_site_tree_text, op3_chat_round_trip, op4_template_decontamination, op5_covering_simhash, op6_token_counts, op7_secret_scan, op8_byte_bpe, op9_jump_shards, op10_quality_rules)}
-ORACLE_SQL: dict[str, str] = {}
+def quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+#: A text conflicts with the template exactly if an end mark stands in it, or a role holds one or a line feed.
+CHAT_SQL = """WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL SELECT -7, t, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
+ l AS (SELECT *, max(CAST(contains(text, '</s>') OR contains(role, '</s>') OR contains(role, chr(10)) AS INT)) OVER (PARTITION BY conv_id) AS level FROM c),
+ n AS (SELECT *, length(role) + length(text) + level * (4 * (length(role || text) - length(replace(role || text, '&', ''))) + 3 * (length(role || text) - length(replace(role || text, '<', '')))
+  + 4 * (length(role || text) - length(replace(role || text, '[', ''))) + 4 * (length(role) - length(replace(role, chr(10), '')))) + CASE WHEN role = 'assistant' THEN 8 ELSE 23 END AS chars FROM l)
+ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+ coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+ (1 + sum(chars))::BIGINT AS formatted_chars, max(level)::INT AS escape_level FROM n GROUP BY conv_id"""
+
+
+def secret_sql() -> str:
+    """Spans from the lengths of the matches and of what lies between them."""
+    found, lists = [], []
+    for i, r in enumerate(secret_ledger.RULES):
+        p = quoted(r.pattern)
+        found.append(f"regexp_extract_all(t, {p}) AS w{i}, regexp_extract_all(t, {p}, {r.group}) AS g{i}, regexp_split_to_array(t, {p}) AS s{i}")
+        start = f"(list_sum([length(x) for x in s{i}[1:k]]) + coalesce(list_sum([length(x) for x in w{i}[1:k - 1]]), 0))"
+        lists.append(f"list_transform(list_filter(range(1, len(w{i}) + 1), lambda k: length(g{i}[k]) >= {r.least}), lambda k: {{'a': {start}::BIGINT, 'b': ({start} + length(w{i}[k]))::BIGINT, 'r': {i}, 'k': '{r.kind}'}})")
+    text = lambda kinds: f"array_to_string([x.k || ':' || x.a || ':' || x.b for x in spans if {kinds}], ',')"
+    base = text("x.r < 3")
+    counts = ", ".join(f"len([x for x in spans if x.k = '{k}'])::BIGINT AS n_{k}" for k in secret_ledger.BASE_KINDS)
+    return f"WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS (SELECT doc_id, {', '.join(found)} FROM d), p AS (SELECT doc_id, list_sort({' || '.join(lists)}) AS spans0 FROM m), q AS (SELECT doc_id, list_transform(spans0, lambda x: x) AS spans FROM p) SELECT doc_id, {counts}, sha256({base}) AS base_sha256, {text('true')} AS spans FROM q"
+
+
+ORACLE_SQL: dict[str, str] = {"op3_chat_round_trip": CHAT_SQL, "op7_secret_scan": secret_sql()}
