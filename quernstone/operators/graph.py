@@ -248,3 +248,54 @@ def incremental_sync(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, n
     kept = nodes.join(gone, "id", "left_anti").join(new_nodes.select("id"), "id", "left_anti").unionByName(new_nodes)
     old = edges.join(gone, edges["src"] == gone["id"], "left_anti").join(gone, edges["dst"] == gone["id"], "left_anti")
     return kept, with_both_ends(old.unionByName(new_edges).distinct(), kept)
+
+
+def dependency_totals(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(total, average, most, without): dependencies over all nodes."""
+    d = degrees(nodes, edges)
+    return d.agg(F.sum("n_out").alias("total"), F.round(F.avg("n_out"), 6).alias("average"), F.max("n_out").alias("most"), F.count_if(F.col("n_out") == 0).alias("without"))
+
+
+def most_connected(nodes: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
+    """(side, id, n): the k nodes with most dependencies and the k most used."""
+    d = degrees(nodes, edges)
+    top = lambda c, side: d.orderBy(F.desc(c), "id").limit(k).select(F.lit(side).alias("side"), "id", F.col(c).alias("n"))
+    return top("n_out", "dependent").unionByName(top("n_in", "used"))
+
+
+def graph_complexity(nodes: DataFrame, edges: DataFrame, cycles: int = 0, depth: int = 0) -> DataFrame:
+    """(density, cyclomatic, structural): E / N, E - N + 2, 2 cycles + depth / 2."""
+    s = statistics(nodes, edges)
+    return s.select(F.round(x.ratio(F.col("n_edges"), F.col("n_nodes")), 6).alias("density"), (F.col("n_edges") - F.col("n_nodes") + 2).alias("cyclomatic"), F.lit(2.0 * cycles + depth * 0.5).alias("structural"))
+
+
+def maintainability_index(nodes: DataFrame, edges: DataFrame, cycles: DataFrame) -> DataFrame:
+    """One row: 100 - 30 I - min(10 E / N, 30) - min(5 cycles, 20), within 0 and 100; cycles has a row for each."""
+    i = instability(nodes, edges).agg(F.avg("instability").alias("i"), F.count("*").alias("n"), F.sum("ce").alias("e"))
+    one = i.crossJoin(F.broadcast(cycles.agg(F.count("*").alias("c"))))
+    value = 100 - 30 * F.col("i") - F.least(10 * x.ratio(F.col("e"), F.col("n")), F.lit(30.0)) - F.least(5.0 * F.col("c"), F.lit(20.0))
+    return one.select(F.round(x.clamp(value, 0, 100), 6).alias("index"))
+
+
+def abstraction_levels(components: DataFrame) -> DataFrame:
+    """(project_id, levels): which of abstract, concrete, implementation and utility a project has."""
+    n, t = F.lower("name"), F.lower("type")
+    level = F.when(t.contains("interface") | n.contains("abstract"), "abstract").when(x.contains_any(n, UTILITY_WORDS), "utility").when(t.contains("class"), "implementation").otherwise("concrete")
+    return components.groupBy("project_id").agg(F.array_sort(F.collect_set(level)).alias("levels"))
+
+
+#: Fixed order of preference of architectures with equal scores.
+ARCHITECTURES = ("microservices", "layered", "event_driven", "plugin", "monolith")
+
+
+def architecture_scores(components: DataFrame, edges: DataFrame) -> DataFrame:
+    """(project_id, architecture, score): additive scores from names and mean degree, the best of each project."""
+    n = F.lower(F.concat_ws(" ", "name", "path"))
+    hit = lambda words: x.ratio(F.count_if(x.contains_any(n, words)), F.count("*"))
+    deg = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("d"))
+    g = components.join(deg, "id", "left").groupBy("project_id").agg(
+        hit(["service", "api", "gateway"]).alias("microservices"), hit(["controller", "model", "view", "repository"]).alias("layered"), hit(["event", "queue", "handler"]).alias("event_driven"),
+        hit(["plugin", "extension"]).alias("plugin"), F.least(F.lit(1.0), x.ratio(F.sum(F.coalesce("d", F.lit(0))), F.count("*")) / 2).alias("monolith"),
+    )
+    best = F.array_max(F.array(*[F.struct(F.round(F.col(a), 6).alias("score"), F.lit(-i).alias("o"), F.lit(a).alias("architecture")) for i, a in enumerate(ARCHITECTURES)]))
+    return g.select("project_id", best["architecture"].alias("architecture"), best["score"].alias("score"))

@@ -116,3 +116,11 @@ def file_statistics(files: DataFrame) -> DataFrame:
 def directory_statistics(files: DataFrame) -> DataFrame:
     """(directory, n_files, bytes) of direct files."""
     return files.groupBy(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("directory")).agg(F.count("*").alias("n_files"), F.sum("size_bytes").alias("bytes"))
+
+
+def project_complexity(files: DataFrame) -> DataFrame:
+    """Counts, depth, test ratio and an additive score from 1 to 10, in one aggregation."""
+    directory = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    s = files.agg(F.count("*").alias("n_files"), F.countDistinct(directory).alias("n_directories"), F.countDistinct("language").alias("n_languages"), F.max(F.size(F.split("path", "/"))).cast("long").alias("depth"), F.round(F.avg(F.col("is_test").cast("int")), 6).alias("test_ratio"), F.round(F.avg("size_bytes"), 6).alias("avg_bytes"))
+    steps = [(F.col("n_files") > 100, 2), (F.col("n_files") > 1000, 2), (F.col("n_directories") > 50, 1), (F.col("n_languages") > 3, 2), (F.col("depth") > 5, 1), (F.col("test_ratio") < 0.1, 1)]
+    return s.withColumn("score", F.least(F.greatest(sum((F.when(c, w).otherwise(0) for c, w in steps), F.lit(1)), F.lit(1)), F.lit(10)).cast("long"))

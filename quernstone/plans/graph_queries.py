@@ -204,3 +204,42 @@ def changed_nodes(spark, sf_dir):
     c = v.component(spark, sf_dir)
     paths = spark.createDataFrame([("./12",)], "path string").unionByName(c.where("id = 8").select(F.concat(F.lit("repo/"), "path").alias("path")))
     return g.changed_nodes(c, c.where("id = 5"), paths)
+
+
+@query(f"WITH {DEG} SELECT sum(n_out)::BIGINT AS total, round(avg(n_out), 6) AS average, max(n_out) AS most, count_if(n_out = 0)::BIGINT AS without FROM deg")
+def dependency_totals(spark, sf_dir):
+    return g.dependency_totals(*tables(spark, sf_dir))
+
+
+@query(f"WITH {DEG}, a AS (SELECT 'dependent' AS side, id, n_out AS n FROM deg ORDER BY n_out DESC, id LIMIT 5), b AS (SELECT 'used' AS side, id, n_in AS n FROM deg ORDER BY n_in DESC, id LIMIT 5) SELECT * FROM a UNION ALL SELECT * FROM b")
+def most_connected(spark, sf_dir):
+    return g.most_connected(*tables(spark, sf_dir))
+
+
+@query(f"WITH {DEG} SELECT round(sum(n_out) / count(*)::DOUBLE, 6) AS density, (sum(n_out) - count(*) + 2)::BIGINT AS cyclomatic, 5.0::DOUBLE AS structural FROM deg")
+def graph_complexity(spark, sf_dir):
+    return g.graph_complexity(*tables(spark, sf_dir), cycles=2, depth=2)
+
+
+@query(f"""WITH {DEG}, two AS (SELECT count(*) AS c FROM edge a JOIN edge b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst)
+ SELECT round(least(greatest(100 - 30 * avg(instability) - least(10 * sum(n_out) / count(*)::DOUBLE, 30) - least(5.0 * (SELECT c FROM two), 20), 0), 100)::DOUBLE, 6) AS index FROM inst""")
+def maintainability_index(spark, sf_dir):
+    c, e = tables(spark, sf_dir)
+    back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return g.maintainability_index(c, e, e.join(back, ["src", "dst"], "left_semi").where("src < dst"))
+
+
+@query(f"""WITH {v.COMPONENT} SELECT project_id, list_sort(list(DISTINCT CASE WHEN contains(lower(type), 'interface') OR contains(lower(name), 'abstract') THEN 'abstract'
+ WHEN regexp_matches(lower(name), 'util|helper|common|shared|base|core|lib|tools|utils|misc') THEN 'utility' WHEN contains(lower(type), 'class') THEN 'implementation' ELSE 'concrete' END)) AS levels FROM component GROUP BY project_id""")
+def abstraction_levels(spark, sf_dir):
+    return g.abstraction_levels(v.component(spark, sf_dir))
+
+
+HITS = lambda words: f"count_if(regexp_matches(lower(concat_ws(' ', name, path)), '{words}')) / count(*)::DOUBLE"
+
+
+@query(f"""WITH {DEG}, s AS (SELECT project_id, [{{'score': round({HITS("service|api|gateway")}, 6), 'o': 0, 'architecture': 'microservices'}}, {{'score': round({HITS("controller|model|view|repository")}, 6), 'o': -1, 'architecture': 'layered'}},
+ {{'score': round({HITS("event|queue|handler")}, 6), 'o': -2, 'architecture': 'event_driven'}}, {{'score': round({HITS("plugin|extension")}, 6), 'o': -3, 'architecture': 'plugin'}},
+ {{'score': round(least(1.0, sum(n_out) / count(*)::DOUBLE / 2)::DOUBLE, 6), 'o': -4, 'architecture': 'monolith'}}] AS a FROM component c JOIN deg USING (id) GROUP BY project_id), b AS (SELECT project_id, list_max(a) AS b FROM s) SELECT project_id, b.architecture, b.score FROM b""")
+def architecture_scores(spark, sf_dir):
+    return g.architecture_scores(*tables(spark, sf_dir))

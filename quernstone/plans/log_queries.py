@@ -131,3 +131,31 @@ def guarded_sql(spark, sf_dir):
 @query("SELECT doc_id, lang, n_chars FROM documents WHERE doc_id = 42")
 def point_lookup(spark, sf_dir):
     return v.table(spark, sf_dir, "documents").where("doc_id = 42").select("doc_id", "lang", "n_chars")
+
+
+FILES = """files AS (SELECT doc_id AS id, concat(source, '/', lang, '/', CAST(doc_id AS VARCHAR), '.txt') AS path, strlen(text)::BIGINT AS size_bytes, lang AS language, doc_id % 97 = 0 AS is_binary, doc_id % 13 = 0 AS is_generated,
+ doc_id % 5 = 0 AS is_test, doc_id % 11 = 0 AS is_config, doc_id % 7 = 0 AS is_documentation FROM documents)"""
+
+
+def files(spark, sf_dir):
+    d, k = v.table(spark, sf_dir, "documents"), F.col("doc_id")
+    flags = {"is_binary": 97, "is_generated": 13, "is_test": 5, "is_config": 11, "is_documentation": 7}
+    return d.select(k.alias("id"), F.concat(F.concat_ws("/", "source", "lang", k.cast("string")), F.lit(".txt")).alias("path"), F.octet_length("text").cast("long").alias("size_bytes"), F.col("lang").alias("language"), *[(k % n == 0).alias(c) for c, n in flags.items()])
+
+
+@query(f"""WITH {FILES}, l AS (SELECT language, count(*) AS n FROM files GROUP BY language) SELECT count(*) AS n_files, sum(size_bytes)::BIGINT AS bytes, count_if(is_binary)::BIGINT AS is_binary, count_if(is_generated)::BIGINT AS is_generated, count_if(is_test)::BIGINT AS is_test,
+ count_if(is_config)::BIGINT AS is_config, count_if(is_documentation)::BIGINT AS is_documentation, (SELECT language FROM l ORDER BY n DESC LIMIT 1) AS main_language, (SELECT count(*) FROM l) AS n_languages FROM files""")
+def file_statistics(spark, sf_dir):
+    return p.file_statistics(files(spark, sf_dir))
+
+
+@query(f"WITH {FILES} SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS directory, count(*) AS n_files, sum(size_bytes)::BIGINT AS bytes FROM files GROUP BY 1")
+def directory_statistics(spark, sf_dir):
+    return p.directory_statistics(files(spark, sf_dir))
+
+
+@query(f"""WITH {FILES}, s AS (SELECT count(*) AS n, count(DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1)) AS d, count(DISTINCT language) AS l, max(len(string_split(path, '/'))) AS depth, avg(CAST(is_test AS INT)) AS tests, avg(size_bytes) AS size FROM files)
+ SELECT n AS n_files, d AS n_directories, l AS n_languages, depth::BIGINT AS depth, round(tests, 6) AS test_ratio, round(size, 6) AS avg_bytes,
+ least(greatest(1 + CASE WHEN n > 100 THEN 2 ELSE 0 END + CASE WHEN n > 1000 THEN 2 ELSE 0 END + CASE WHEN d > 50 THEN 1 ELSE 0 END + CASE WHEN l > 3 THEN 2 ELSE 0 END + CASE WHEN depth > 5 THEN 1 ELSE 0 END + CASE WHEN tests < 0.1 THEN 1 ELSE 0 END, 1), 10)::BIGINT AS score FROM s""")
+def project_complexity(spark, sf_dir):
+    return p.project_complexity(files(spark, sf_dir))
