@@ -4,7 +4,7 @@ A row's shard follows from its key and the number of shards alone: no ring table
 looked up, and with one more shard a row either stays or moves into the new shard.
 
 Defined cases: a null key is a key of its own; a null text has no bytes and checksum 0; repeated rows
-share a shard and take separate slots; an empty table gives an empty result; further columns pass through.
+share a shard and take separate slots; an empty table gives an empty result; further columns pass through, except that shard, slot and grown_shard are the results.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ def assign(df: DataFrame, key: str, shards: int) -> DataFrame:
         now, grown = jump(hashed.to_numpy(np.int64).view(np.uint64), shards)
         return pd.DataFrame({"shard": now.astype(np.int32), "grown_shard": grown.astype(np.int32)})
 
-    return df.withColumn("__p", placed(F.xxhash64(F.col(key)))).select(*df.columns, "__p.shard", "__p.grown_shard")
+    return df.withColumn("__p", placed(F.xxhash64(F.col(key)))).select(*[c for c in df.columns if c not in ("shard", "grown_shard")], "__p.shard", "__p.grown_shard")
 
 
 def with_slots(df: DataFrame, key: str, shards: int, order: list[str], buckets: int = 1024) -> DataFrame:
@@ -64,7 +64,7 @@ def with_slots(df: DataFrame, key: str, shards: int, order: list[str], buckets:
     inside = Window.partitionBy("shard", "__b").orderBy(*order)
     placed = assign(df, key, shards).withColumn("__b", bucket).withColumn("__i", F.row_number().over(inside) - 1)
     out = placed.join(offsets, ["shard", "__b"])
-    return out.select(*df.columns, "shard", (F.col("__off") + F.col("__i")).cast("long").alias("slot"), "grown_shard")
+    return out.select(*[c for c in df.columns if c not in ("shard", "slot", "grown_shard")], "shard", (F.col("__off") + F.col("__i")).cast("long").alias("slot"), "grown_shard")
 
 
 def shard(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text") -> DataFrame:

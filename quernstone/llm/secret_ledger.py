@@ -115,7 +115,7 @@ def scan_incremental(docs: DataFrame, ledger: DataFrame | None = None, rules: tu
     if ledger is not None:
         hits = hits.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
     hits = hits.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
-    out = addressed.join(hits, "__blob", "left").select(*docs.columns, F.col("__blob").alias("blob"), F.coalesce("__spans", F.array().cast(SPAN)).alias("spans"))
+    out = addressed.join(hits, "__blob", "left").select(*[c for c in docs.columns if c not in ("blob", "spans")], F.col("__blob").alias("blob"), F.coalesce("__spans", F.array().cast(SPAN)).alias("spans"))
     return out, fresh
 
 

@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 pytest.importorskip("quernstone.llm")
 from quernstone.llm import chat_format, jump_shard, quality_gbt, queries, secret_ledger, token_fst  # noqa: E402
@@ -172,6 +173,13 @@ def test_ledger_scans_new_pairs_only(spark):
     assert {tuple(r.rules) for r in again.collect()} == {("hex:2",)}
 
 
+def test_clashing_columns(spark):
+    made = edge_docs(spark).withColumns({"spans": F.lit(1), "blob": F.lit(2), "shard": F.lit(3), "slot": F.lit(4), "kept": F.lit(5), "n_tokens": F.lit(6), "quality_score": F.lit(7)})
+    assert secret_ledger.report(secret_ledger.scan_incremental(made)[0]).count() == len(EDGE)
+    assert sorted(r.slot >= 0 for r in jump_shard.with_slots(made, "doc_id", 3, ["text"]).collect()) == [True] * len(EDGE)
+    assert quality_gbt.judge(made, None).where("kept").count() <= len(EDGE)
+
+
 def test_redaction(spark):
     made = spark.createDataFrame([(1, "a secret=AKIAABCDEFGHIJKLMN b"), (2, None), (3, "x")], "doc_id long, text string")
     found, _ = secret_ledger.scan_incremental(made)
