@@ -44,6 +44,8 @@ RULES = (
     Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, ("-----BEGIN ",)),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*", 0, 1, ("eyJ",)),
 )
+#: Tasks over which the rows of one blob are dealt when findings go back to them.
+SALTS = 16
 BASE_KINDS = ("assign", "access", "hex")
 SPAN = "array<struct<start:int,end:int,rank:int,kind:string>>"
 
@@ -114,8 +116,9 @@ def scan_incremental(docs: DataFrame, ledger: DataFrame | None = None, rules: tu
     hits = known.where(F.size("spans") > 0)
     if ledger is not None:
         hits = hits.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
-    hits = hits.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
-    out = addressed.join(hits, "__blob", "left").select(*[c for c in docs.columns if c not in ("blob", "spans")], F.col("__blob").alias("blob"), F.coalesce("__spans", F.array().cast(SPAN)).alias("spans"))
+    # One blob may be the content of a third of all rows: its rows are dealt over SALTS tasks, and the few blobs with findings are offered to each.
+    hits = hits.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
+    out = addressed.withColumn("__salt", F.pmod(F.xxhash64("doc_id" if "doc_id" in docs.columns else docs.columns[0]), F.lit(SALTS)).cast("int")).join(hits, ["__blob", "__salt"], "left").select(*[c for c in docs.columns if c not in ("blob", "spans")], F.col("__blob").alias("blob"), F.coalesce("__spans", F.array().cast(SPAN)).alias("spans"))
     return out, fresh
 
 
