@@ -8,7 +8,10 @@ and 3 pears may become 7 and 7, but not 7 and 9. Windows with slots on an alignm
 
 A document is contaminated by an item if MIN_RUN windows of it match (a run of 13 tokens, when they are neighbours), or all
 if it has fewer, or half of all. An item shorter than a window is one window of its own length; one of under MIN_TOKENS
-tokens says too little to be searched for. A window needs more plain tokens than placeholders.
+tokens says too little to be searched for by template. A template window needs more plain tokens than placeholders.
+
+Items that these two rules shorten (any window with half or more placeholders, or under MIN_TOKENS tokens) are searched for verbatim as
+well: windows of raw tokens, all of them, under the same bounds; `leaks` gives both kinds.
 
 Names are capitalised words inside a sentence; at its start, where any word has a capital, a word stays plain.
 
@@ -146,7 +149,48 @@ def checked_slots(docs: DataFrame, shifts: DataFrame, index: DataFrame) -> DataF
     return shifts.join(flags, ["row_key", "item_id", "shift"], "left").withColumn("broken", F.coalesce("broken", F.lit(False))).withColumn("changed", F.coalesce("changed", F.lit(False)))
 
 
-def clean_documents(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """The rows that no benchmark item contaminates."""
-    bad = contaminated_pairs(docs, bench).select(F.col("row_key").alias("__k")).distinct().cache()
+def verbatim_windows(bench: DataFrame) -> DataFrame:
+    """item_id, size, n_windows, ipos, h, w: all raw windows of the items of which the template index lacks some."""
+    items = bench.where("text is not null").select("item_id", template(F.col("text")).alias("t"), tokens(clean(F.col("text"))).alias("raw")).where(F.size("t") > 0)
+    items = items.withColumn("size", F.least(F.size("t"), F.lit(WINDOW))).withColumn("n_windows", (F.size("t") - F.col("size") + 1).cast("long"))
+    starts = items.select("*", F.explode(F.sequence(F.lit(0), F.size("t") - F.col("size"))).alias("ipos"))
+    slots = F.size(F.filter(F.slice("t", F.col("ipos") + 1, F.col("size")), lambda t: F.startswith(t, F.lit(MARK))))
+    lacking = starts.where((2 * slots >= F.col("size")) | (F.size("t") < MIN_TOKENS)).select("item_id").distinct()
+    cut = starts.join(lacking, "item_id", "left_semi").select("item_id", "size", "n_windows", "ipos", F.slice("raw", F.col("ipos") + 1, F.col("size")).alias("w"))
+    return cut.withColumn("h", F.xxhash64(token_hashes(F.col("w")), F.col("size")))
+
+
+def verbatim_pairs(docs: DataFrame, bench: DataFrame) -> DataFrame:
+    """As contaminated_pairs, by windows of raw tokens."""
+    docs = docs.select("doc_id", "text")
+    index = verbatim_windows(bench).cache()
+    sizes = sorted(r["size"] for r in index.select("size").distinct().collect())
+    n_index = index.count()
+    # A row with a matching window shares a block with it, or the whole window where that is shorter than a block; stride as in candidates()
+    long = [k for k in sizes if k >= BLOCK]
+    inner = F.transform(F.sequence(F.lit(0), F.col("size") - BLOCK), lambda i: F.xxhash64(token_hashes(F.slice("w", i + 1, F.lit(BLOCK)))))
+    starts = index.select(F.explode(F.when(F.col("size") >= BLOCK, inner).otherwise(F.array("h"))).alias("b")).distinct()
+    parts = lambda h: F.concat(F.array().cast("array<bigint>"), *[blocks(h, k - BLOCK + 1) for k in long[:1]], *[F.transform(windows(h, k), lambda w: w["h"]) for k in sizes if k < BLOCK])
+    raw = lambda: token_hashes(tokens(clean(F.col("text"))))
+    keyed = docs.limit(0) if not sizes else docs
+    hashed = keyed.select(row_key().alias("row_key"), let(raw(), parts).alias("__b"))
+    rows = checkpoint(hashed.select("row_key", F.explode_outer("__b").alias("b")).join(maybe_broadcast(starts, starts.count()), "b", "left_semi").select("row_key").distinct())
+    near = docs.withColumn("row_key", row_key()).join(maybe_broadcast(rows, rows.count()), "row_key", "left_semi").dropDuplicates(["row_key"])
+    cut = near.select("doc_id", "row_key", let(raw(), lambda h: F.concat(F.array().cast("array<struct<pos:int,h:bigint>>"), *[windows(h, k) for k in sizes])).alias("__w"))
+    found = cut.select("doc_id", "row_key", F.explode_outer("__w").alias("__w")).select("doc_id", "row_key", "__w.h")
+    hits = found.join(maybe_broadcast(index.select("h", "item_id", "ipos", "n_windows"), n_index), "h")
+    pairs = hits.groupBy("row_key", "item_id", "n_windows").agg(F.first("doc_id").alias("doc_id"), F.countDistinct("ipos").alias("n_matched"))
+    enough = (F.col("n_matched") >= F.least(F.lit(MIN_RUN), F.col("n_windows"))) | (2 * F.col("n_matched") >= F.col("n_windows"))
+    return pairs.where(enough).select("doc_id", "row_key", "item_id", "n_windows", "n_matched", (F.col("n_matched") / F.col("n_windows")).alias("coverage"), F.lit(False).alias("reparameterised"))
+
+
+def leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
+    """contaminated_pairs, and the verbatim pairs that it lacks."""
+    by_template = checkpoint(contaminated_pairs(docs, bench))
+    return by_template.unionByName(verbatim_pairs(docs, bench).join(by_template, ["row_key", "item_id"], "left_anti"))
+
+
+def clean_documents(docs: DataFrame, bench: DataFrame, pairs=contaminated_pairs) -> DataFrame:
+    """The rows that no benchmark item contaminates, by `pairs`."""
+    bad = pairs(docs, bench).select(F.col("row_key").alias("__k")).distinct().cache()
     return docs.withColumn("__k", row_key()).join(maybe_broadcast(bad, bad.count()), "__k", "left_anti").select(*docs.columns)

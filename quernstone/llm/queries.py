@@ -26,7 +26,7 @@ def op3_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = decontaminate.contaminated_pairs(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    pairs = decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return pairs.drop("row_key")
 
 
