@@ -1,7 +1,9 @@
 """Main text: page forms, tables, the merged tree against a plain count, and defined edge cases."""
 
 import html
+import math
 import re
+from collections import Counter
 
 import pytest
 
@@ -13,7 +15,8 @@ CASES = [
     ("<body><nav>m</nav><main><h1>T</h1><p>a\n  b</p><aside>s</aside></main><footer>f</footer>", "T a b"),
     ("<article><p>one<br>two</p><script>var a='</p><p>no';</script><style>p{}</style><!-- c --><form>q<input></form></article>", "one two"),
     ("<article><p>keep</p><div class='comments'><p>c</p></div><section id=user-comments>d</section></article><div class=ad-slot>x</div>", "keep"),
-    ("<article class='post comment-closed-no'>x</article>", ""),
+    ("<article class='post comment-closed-no'>x</article>", "x"), ("<article class='post-12 comments-open share'>x</article>", "x"), ("<div class='search results'><article>y</article></div>", "y"),
+    ("<body class=has-sidebar><div id=comments><article class=comment>c</article></div><article>z</article>", "z"), ("<div class=no-sidebar><p>kept</p></div><div class=sidebar>s</div>", "kept"),
     ("<div id=cookieNotice>c</div><div class=content><ul><li>a<li>b</ul><table><tr><td>1<td>2</table></div>", "a b 1 2"),
     ("<article><p>unclosed <i>it<p>next &#233;&nbsp;&lt;b&gt; &copy", "unclosed it next é <b> ©"),
     ("<article><p title=\"a > b\">q</p><p data-x='<p>'>r</p></article>", "q r"),
@@ -23,9 +26,59 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize(("page", "text"), CASES)
-def test_forms(page, text):
-    assert site_tree.Page(page).main_text() == text
+def test_forms(spark):
+    """Each page on a host of its own, where only what a branch says of itself can tell."""
+    pages = spark.createDataFrame([(i, f"http://h{i}.example/", page) for i, (page, _) in enumerate(CASES)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in site_tree.extract(pages).collect()} == {i: text for i, (_, text) in enumerate(CASES)}
+
+
+def plain_tree(pages):
+    """Occurrences and importance of each node, from Page.branches alone, counted with dictionaries."""
+    seen = {}
+    for host, page in pages:
+        for key, _, weight, text, around, layout in site_tree.Page(page).branches():
+            rows = seen.setdefault((host, key), ({}, weight))[0]
+            rows[text, around] = min(layout, rows.get((text, around), layout))
+    out = {}
+    for node, (rows, weight) in seen.items():
+        m = len(rows)
+        texts, layouts = Counter(t for t, _ in rows), Counter(rows.values())
+        left = lambda c: 1 - sum(n * math.log(n) for n in c.values()) / (m * math.log(m)) if m > 1 else 1.0  # noqa: B023, E731
+        out[node] = (weight, m, (1 - site_tree.GAMMA) * left(layouts) + site_tree.GAMMA * left(texts))
+    return out
+
+
+def test_tree_and_text_against_plain_counts(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").withColumn("host", site_tree.host_of("url"))
+    rows = pages.collect()
+    want = plain_tree([(r.host, r.html) for r in rows])
+    got = {(r.host, r.key): (r.weight, r.occurrences, r.importance) for r in site_tree.style_tree(pages).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k][:2] == want[k][:2] and got[k][2] == pytest.approx(want[k][2], abs=1e-9) for k in want)
+    low = {}
+    for (host, key), (weight, _, importance) in want.items():
+        if weight * importance < site_tree.LEAST:
+            low.setdefault(host, set()).add(key)
+    text = {r.page_id: r.text for r in site_tree.extract(pages).collect()}
+    assert all(text[r.page_id] == site_tree.Page(r.html).main_text(low.get(r.host, set())) for r in rows)
+    assert all(text[r.page_id] != site_tree.Page(r.html).main_text(set()) for r in rows)
+
+
+def test_inside_articles_and_among_copies(spark):
+    """Repeated unnamed branches go inside an article too; copied pages, alone or among others, and dominant nodes keep their text."""
+    say = lambda i: f"story {i} " * 9
+    rows = [(i, "http://a.example", f"<article><p>{say(i)}</p><div class=x9>Read our terms</div></article>") for i in range(30)]
+    rows += [(100 + i, "http://copies.example", f"<body><nav>n{i}</nav><div class=c><p>{say(0)}</p></div></body>") for i in range(5)]
+    rows += [(200 + i, "http://hot.example", f"<body><div class=c><p>{say(0 if i < 45 else i)}</p></div><div class=by>author {i}</div></body>") for i in range(50)]
+    out = {r.page_id: r.text for r in site_tree.extract(spark.createDataFrame(rows * 2, "page_id long, url string, html string")).collect()}
+    assert all(out[i] == say(i).strip() for i in range(30))
+    assert all(out[100 + i] == say(0).strip() for i in range(5))
+    assert all(out[200 + i].startswith(say(0 if i < 45 else i).strip()) for i in range(50))
+
+
+def test_time_is_linear_in_depth():
+    page = site_tree.Page("<div>" * 60_000 + "deep" + "</div>" * 60_000)
+    assert page.main_text({key for key, *_ in page.branches()}) == "deep"
 
 
 def article_by_pattern(page):
@@ -51,7 +104,7 @@ def test_tree_removes_what_repeats(spark):
     out = {r.page_id: r.text for r in site_tree.extract(pages).collect()}
     assert all(out[i] == body(i).strip() for i in range(40))
     assert out[100] == f"Always the same line {body(100)}End of all" and out[None] == ""
-    tree = {(r.host, r.key.rpartition("/")[2]): r for r in site_tree.style_tree(pages.select(site_tree.host_of(pages.url).alias("host"), "html")).collect()}
+    tree = {(r.host, r.name): r for r in site_tree.style_tree(pages.select(site_tree.host_of(pages.url).alias("host"), "html")).collect()}
     assert tree["a.example", "div.t1"].occurrences == 40
     assert tree["a.example", "div.t1"].importance == pytest.approx(0, abs=1e-9)
     assert tree["a.example", "div.t2"].importance == pytest.approx(0.9, abs=1e-9)
