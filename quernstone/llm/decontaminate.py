@@ -190,7 +190,7 @@ def leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
     return by_template.unionByName(verbatim_pairs(docs, bench).join(by_template, ["row_key", "item_id"], "left_anti"))
 
 
-def clean_documents(docs: DataFrame, bench: DataFrame, pairs=contaminated_pairs) -> DataFrame:
+def clean_documents(docs: DataFrame, bench: DataFrame, pairs=leaks) -> DataFrame:
     """The rows that no benchmark item contaminates, by `pairs`."""
     bad = pairs(docs, bench).select(F.col("row_key").alias("__k")).distinct().cache()
     return docs.withColumn("__k", row_key()).join(maybe_broadcast(bad, bad.count()), "__k", "left_anti").select(*docs.columns)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.llm import byte_bpe, chat_format, decontaminate, jump_shard, lm_scoring, quality_gbt, secret_ledger, simhash, site_tree, token_fst
-from quernstone.llm.common import documents
+from quernstone.llm.common import documents, shared_folder
 
 
 def op1_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,8 +44,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = secret_ledger.scan_incremental(documents(spark, sf_dir).select("doc_id", "text"))
-    return secret_ledger.report(found)
+    """The rows arrive in two runs over one ledger, which scan each blob once between them; the findings of both go back to all rows."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    folder = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    first = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    secret_ledger.scan_into(docs.where(first), folder)
+    return secret_ledger.report(secret_ledger.scan_into(docs, folder))
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +92,7 @@ def secret_sql() -> str:
         p = quoted(r.pattern)
         found.append(f"regexp_extract_all(t, {p}) AS w{i}, regexp_extract_all(t, {p}, {r.group}) AS g{i}, regexp_split_to_array(t, {p}) AS s{i}")
         start = f"(list_sum([length(x) for x in s{i}[1:k]]) + coalesce(list_sum([length(x) for x in w{i}[1:k - 1]]), 0))"
-        lists.append(f"list_transform(list_filter(range(1, len(w{i}) + 1), lambda k: length(g{i}[k]) >= {r.least}), lambda k: {{'a': {start}::BIGINT, 'b': ({start} + length(w{i}[k]))::BIGINT, 'r': {i}, 'k': '{r.kind}'}})")
+        lists.append(f"list_transform(list_filter(range(1, len(w{i}) + 1), lambda k: length(g{i}[k]) >= {r.least}), lambda k: {{'a': {start}::BIGINT, 'r': {i}, 'b': ({start} + length(w{i}[k]))::BIGINT, 'k': '{r.kind}'}})")
     text = lambda kinds: f"array_to_string([x.k || ':' || x.a || ':' || x.b for x in spans if {kinds}], ',')"
     base = text("x.r < 3")
     counts = ", ".join(f"len([x for x in spans if x.k = '{k}'])::BIGINT AS n_{k}" for k in secret_ledger.BASE_KINDS)

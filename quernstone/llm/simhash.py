@@ -175,14 +175,16 @@ def near_links(fps: DataFrame, radius: int = RADIUS, most: int = MAX_BUCKET) ->
     return out.unionByName(links_in_buckets(again, radius)).distinct()
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, root) for every node of the links (a, b); root is the component's smallest node."""
+def components(links: DataFrame, rounds: int = 100) -> DataFrame:
+    """(node, root) for every node of the links (a, b); root is the component's smallest node. Rounds grow with the logarithm of a component's size; not to settle is an error."""
     e = checkpoint(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
-    for _ in range(rounds):
+    for done in range(rounds + 1):
         mark = e.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("h")).first()
         if mark == before or not mark.n:
             break
+        if done == rounds:
+            raise RuntimeError(f"components have not settled in {rounds} rounds")
         before = mark
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -9,7 +9,7 @@ pytest.importorskip("quernstone.llm")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from test_byte_bpe import want as bpe_want  # noqa: E402
 from test_decontaminate import brute as brute_leaks  # noqa: E402
-from test_simhash import brute_components, brute_fingerprint  # noqa: E402
+from test_near_copies import brute_kept  # noqa: E402
 from test_simple_ops import brute_quality  # noqa: E402
 
 from quernstone.llm import quality_gbt, secret_ledger  # noqa: E402
@@ -25,7 +25,7 @@ def test_run(spark, sf):
         x = np.array([quality_gbt.statistics(t)[len(quality_gbt.COUNTS) :]], float)
         if not (b[0] < 50 or 100 * b[4] > 50 * b[0]) and (model is None or model.score(x)[0] >= 0.5):
             good[i] = t
-    kept = {i: good[i] for i, _, c in brute_components([(i, brute_fingerprint(t)) for i, t in good.items()]) if i == c}
+    kept = {i: good[i] for i in brute_kept(list(good.items()))}
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     leaks = {d for d, *_ in brute_leaks(list(kept.items()), bench)}
     left = {i: t for i, t in kept.items() if i not in leaks}

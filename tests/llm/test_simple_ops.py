@@ -173,6 +173,24 @@ def test_ledger_scans_new_pairs_only(spark):
     assert {tuple(r.rules) for r in again.collect()} == {("hex:2",)}
 
 
+def test_ledger_follows_rule_versions_and_paths(spark, tmp_path):
+    """After each change of rules and rows, the findings through the ledger are those of a scan from nothing."""
+    from dataclasses import replace
+
+    rows = [("a", 1, "x 0123456789abcdef y"), ("a", 2, "clean"), ("a", 3, "x 0123456789abcdef y"), ("b", 1, "secret=AKIAABCDEFGHIJKLMN"), ("b", 2, None), ("c", 1, "0123456789abcdef" * 3)]
+    docs = spark.createDataFrame(rows, "path string, version long, text string")
+    wider = tuple(replace(r, version=2, pattern="[0-9a-f]{32,}", least=32) if r.kind == "hex" else r for r in secret_ledger.RULES)
+    fewer = wider[1:]
+    folder = f"{tmp_path}/ledger"
+    spans = lambda df: sorted((r.path, r.version, str(r.spans)) for r in df.collect())
+    for table, rules in ((docs.limit(0), secret_ledger.RULES), (docs.where("path = 'a'"), secret_ledger.RULES), (docs, secret_ledger.RULES), (docs, wider), (docs, fewer), (docs, secret_ledger.RULES), (docs.where("path <> 'b'"), wider)):
+        assert spans(secret_ledger.scan_into(table, folder, rules)) == spans(secret_ledger.scan_incremental(table, rules=rules)[0])
+    done = [(r.blob, k) for r in spark.read.parquet(folder).collect() for k in r.rules]
+    assert len(done) == len(set(done)) == 5 * 6
+    told = {(r.path, r.kind, r.first_version, r.last_version, r.n_versions) for r in secret_ledger.history(secret_ledger.scan_into(docs, folder)).collect()}
+    assert told == {("a", "hex", 1, 3, 2), ("b", "assign", 1, 1, 1), ("b", "access", 1, 1, 1), ("c", "hex", 1, 1, 1)}
+
+
 def test_clashing_columns(spark):
     made = edge_docs(spark).withColumns({"spans": F.lit(1), "blob": F.lit(2), "shard": F.lit(3), "slot": F.lit(4), "kept": F.lit(5), "n_tokens": F.lit(6), "quality_score": F.lit(7)})
     assert secret_ledger.report(secret_ledger.scan_incremental(made)[0]).count() == len(EDGE)
