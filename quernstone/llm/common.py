@@ -11,8 +11,14 @@ from pyspark.sql import functions as F
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that is read in fewer parts than there are cores, as one small file is, dealt over all of them; larger ones are left as they are. No result depends on it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,10 +39,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def estimated_bytes(df: DataFrame, text: str = "text") -> int:
-    """Spark's own size estimate of the plan (file sizes for plain scans); where it has none, the texts are measured. It only sizes partitions; no result depends on it."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size if size < 1 << 60 else int(df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first().n)
+def text_bytes(df: DataFrame, text: str = "text") -> int:
+    """The bytes of all texts, measured: plan statistics multiply the sizes of joined tables. It only sizes partitions; no result depends on it."""
+    return int(df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first().n)
 
 
 def ascii_lower(col) -> Column:

@@ -8,7 +8,7 @@ and 3 pears may become 7 and 7, but not 7 and 9. Windows with slots on an alignm
 
 A document is contaminated by an item if MIN_RUN windows of it match (a run of 13 tokens, when they are neighbours), or all
 if it has fewer, or half of all. An item shorter than a window is one window of its own length; one of under MIN_TOKENS
-tokens says too little to be searched for by template. A template window needs more plain tokens than placeholders.
+tokens says too little to be searched for by template, and is searched for verbatim. A template window needs more plain tokens than placeholders.
 
 Items that these two rules shorten (any window with half or more placeholders, or under MIN_TOKENS tokens) are searched for verbatim as
 well: windows of raw tokens, all of them, under the same bounds; `leaks` gives both kinds.
@@ -114,7 +114,7 @@ def candidates(docs: DataFrame, index: DataFrame, stride: int) -> DataFrame:
 def contaminated_pairs(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """doc_id, row_key, item_id, n_windows, n_matched, coverage, reparameterised; a row for each contaminated row and item."""
     docs = docs.select("doc_id", "text")
-    index = benchmark_windows(bench).cache()
+    index = checkpoint(benchmark_windows(bench))
     sizes = sorted(r["size"] for r in index.select("size").distinct().collect()) or [WINDOW]
     n_index = index.count()
     rows = checkpoint(candidates(docs, index, min(sizes) - BLOCK + 1))
@@ -163,7 +163,7 @@ def verbatim_windows(bench: DataFrame) -> DataFrame:
 def verbatim_pairs(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """As contaminated_pairs, by windows of raw tokens."""
     docs = docs.select("doc_id", "text")
-    index = verbatim_windows(bench).cache()
+    index = checkpoint(verbatim_windows(bench))
     sizes = sorted(r["size"] for r in index.select("size").distinct().collect())
     n_index = index.count()
     # A row with a matching window shares a block with it, or the whole window where that is shorter than a block; stride as in candidates()
@@ -192,5 +192,5 @@ def leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, bench: DataFrame, pairs=leaks) -> DataFrame:
     """The rows that no benchmark item contaminates, by `pairs`."""
-    bad = pairs(docs, bench).select(F.col("row_key").alias("__k")).distinct().cache()
+    bad = checkpoint(pairs(docs, bench).select(F.col("row_key").alias("__k")).distinct())
     return docs.withColumn("__k", row_key()).join(maybe_broadcast(bad, bad.count()), "__k", "left_anti").select(*docs.columns)

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 #: Labelled documents used for training: those with the smallest hashed ids. The bound also holds what reaches the driver.
 TRAIN_ROWS = 8192
+LEAST_LABELS = 20
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
 
@@ -164,11 +165,12 @@ def with_statistics(docs: DataFrame, text: str = "text", name: str = "__q") -> D
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, text: str = "text") -> Trees | None:
-    """Fit on at most `rows` labelled documents. The sample of ids is bounded, so it is broadcast; its statistics come to the driver."""
+    """Fit on at most `rows` labelled documents; None, and so no verdict but the base rule's, with fewer than LEAST_LABELS or one class alone. The sample of ids is bounded, so it is broadcast; its statistics come to the driver.
+    Of several labels of an id the lowest counts, of several texts the one whose statistics are smallest, in their order."""
     sample = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = with_statistics(docs.select("doc_id", text).join(F.broadcast(sample), "doc_id"), text).dropDuplicates(["doc_id"]).select("doc_id", "quality", *[f"__q.{f}" for f in FEATURES]).limit(rows).toPandas().sort_values("doc_id")
+    found = with_statistics(docs.select("doc_id", text).join(F.broadcast(sample), "doc_id"), text).groupBy("doc_id", "quality").agg(F.min(F.struct(*[f"__q.{f}" for f in FEATURES])).alias("__q")).select("doc_id", "quality", *[f"__q.{f}" for f in FEATURES]).toPandas().sort_values("doc_id")
     y = (found["quality"].to_numpy() > 0).astype(float)
-    if len(y) < 20 or y.min() == y.max():
+    if len(y) < LEAST_LABELS or y.min() == y.max():
         return None
     return Boosting().fit(found[list(FEATURES)].to_numpy(float), y)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.llm import byte_bpe, chat_format, decontaminate, jump_shard, lm_scoring, quality_gbt, secret_ledger, simhash, site_tree, token_fst
-from quernstone.llm.common import documents, shared_folder
+from quernstone.llm.common import documents, shared_folder, spread
 
 
 def op1_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +16,7 @@ def op1_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_site_tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
     return site_tree.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -10,8 +10,8 @@ store has a bound, as lazy automata in regular-expression engines have.
 No piece of such a vocabulary has a space sign after another character, and a line feed is in no
 longer piece; at these places every state goes to the start state. A chunk of text therefore maps all
 incoming states to one outgoing state once it holds a boundary: its map is (head, count, tail). The
-maps of chunks are composed by a parallel prefix scan, which is associative, so a text can be cut
-anywhere. If a vocabulary breaks these rules, the whole text is one unit and still counted rightly.
+maps of chunks are composed along a tree, as in the first half of a parallel prefix scan, whose last value is all that is wanted; composition is
+associative, so a text can be cut anywhere, and no more than one map a level of the tree is held. If a vocabulary breaks these rules, the whole text is one unit and still counted rightly.
 
 Defined cases: null and empty texts have no tokens; repeated rows, ties and further columns do not
 matter; very long texts are cut into chunks and long unbroken words take linear time.
@@ -137,7 +137,7 @@ class Transducer:
         text = " " + (text.replace(SPACE, " ") if SPACE in text else text)
         if len(text) <= chunk:
             return sum(map(self.words.__getitem__, self.unit.findall(text)))
-        head, count, tail = prefix_scan([self.mapped(text[i : i + chunk]) for i in range(0, len(text), chunk)], self.compose)[-1]
+        head, count, tail = scanned((self.mapped(text[i : i + chunk]) for i in range(0, len(text), chunk)), self.compose)
         return count + (self.words[head] if head else 0) + (self.words[tail] if tail else 0)
 
     def mapped(self, chunk: str) -> tuple[str, int, str | None]:
@@ -154,13 +154,18 @@ class Transducer:
         return (lead[0] if lead else head, n, end if end is not None else last[0] if last else None)
 
 
-def prefix_scan(items: list, compose) -> list:
-    """Inclusive scan in log2(n) rounds; the compositions of a round do not depend on one another."""
-    out, gap = list(items), 1
-    while gap < len(out):
-        out = [x if i < gap else compose(out[i - gap], x) for i, x in enumerate(out)]
-        gap *= 2
-    return out
+def scanned(items, compose):
+    """The composition of all items, in order, along a balanced tree: neighbours of equal height are composed as soon as both are there."""
+    stack: list = []  # (height, map)
+    for x in items:
+        height = 0
+        while stack and stack[-1][0] == height:
+            x, height = compose(stack.pop()[1], x), height + 1
+        stack.append((height, x))
+    last = stack.pop()[1]
+    while stack:
+        last = compose(stack.pop()[1], last)
+    return last
 
 
 _compiled: dict[str, Transducer] = {}

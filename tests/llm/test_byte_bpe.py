@@ -21,6 +21,31 @@ def want(text):
     return len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()
 
 
+def merged(piece, ranks):
+    """Byte pair encoding by its definition: of neighbours, the pair of the lowest rank is joined, the leftmost of equals, until none has a rank."""
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while len(parts) > 1:
+        rank, at = min((ranks.get(parts[i] + parts[i + 1], float("inf")), i) for i in range(len(parts) - 1))
+        if rank == float("inf"):
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return [ranks[p] for p in parts]
+
+
+def test_ids_by_the_definition(spark, sf):
+    """Without the library: pre-tokens by the pattern, merges by rank, on whole documents and odd texts."""
+    import regex
+
+    ranks, known = byte_bpe.read_ranks(PATH), {}
+    texts = [t for t in TEXTS if t is None or len(t) < 4000] + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in byte_bpe.encode(docs, PATH, public_tokenizers.PATTERN).collect()}
+    for i, text in enumerate(texts):
+        pieces = regex.findall(public_tokenizers.PATTERN, text or "")
+        known.update((p, merged(p.encode("utf-8", "surrogatepass"), ranks)) for p in pieces if p not in known)
+        assert got[i] == [x for p in pieces for x in known[p]]
+
+
 @settings(max_examples=500, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("ab'slt  \n\n\t\x1c\x1f\x85\xa0 é漢1٣😀%#")), max_size=30))
 def test_units_encode_apart(text):

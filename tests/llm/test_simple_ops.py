@@ -48,6 +48,17 @@ def test_shards(spark, sf):
         assert out["text_crc32"][i] == zlib.crc32((t or "").encode())
     for _, slots in out.groupby("shard")["slot"]:
         assert sorted(slots) == list(range(len(slots)))
+    hashed = {r.doc_id: r.h % 2**64 for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    for i, key in hashed.items():
+        # the published loop, with 24 shards and one more
+        placed = []
+        for n in (24, 25):
+            b, j, k = -1, 0, key
+            while j < n:
+                b, k = j, (k * 2862933555777941757 + 1) % 2**64
+                j = int((b + 1) * (float(1 << 31) / ((k >> 33) + 1)))
+            placed.append(b)
+        assert (out["shard"][i], out["grown_shard"][i]) == tuple(placed)
     edge = jump_shard.shard(edge_docs(spark)).toPandas()
     assert len(edge) == len(EDGE) and edge["text_crc32"].min() == 0
     assert jump_shard.shard(edge_docs(spark).limit(0)).count() == 0
@@ -80,6 +91,19 @@ def test_token_counts_of_tables(spark, sf, piece):
     assert token_fst.count_tokens(edge_docs(spark).limit(0), path).count() == 0
 
 
+def test_memory_of_one_long_word(piece):
+    """20 million characters without a boundary: the scan holds little more than the text."""
+    import tracemalloc
+
+    _, fst, _ = piece
+    word = "ab" * 10_000_000
+    tracemalloc.start()
+    n = fst.count(word)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6 and n == fst.count("ab" * 5_000_000) * 2 - fst.count("ab" * 1000) * 2 + fst.count("ab" * 2000)
+
+
 def test_a_vocabulary_with_inner_spaces_is_one_unit():
     scores = {c: -100.0 for c in "ab▁"} | {"a▁b": -1.0, "▁b": -2.0, "ab": -3.0}
     fst = token_fst.Transducer(scores)
@@ -129,6 +153,19 @@ def test_trees_learn_and_keep_their_constraints(spark):
     assert quality_gbt.train(docs, labels.limit(0)) is None
 
 
+def test_labels_and_texts_that_repeat(spark):
+    """The lowest of several labels counts, whichever row comes first, and an id with two texts gives one model."""
+    good, bad = "a plain sentence of many different words that says something new each time number ", "# $ % & "
+    texts = [(i, good * 3 + str(i)) if i % 2 else (i, bad * 20 + str(i)) for i in range(60)]
+    labels = [(i, i % 2) for i in range(60)] + [(1, 0), (3, None), (None, 1)]
+    docs, more = spark.createDataFrame([*texts, (5, "other text")], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    a, b = quality_gbt.train(docs, more), quality_gbt.train(docs.orderBy(F.desc("text")), more.orderBy(F.desc("quality")))
+    x = quality_gbt.with_statistics(docs).select("__q.*").toPandas()[list(quality_gbt.FEATURES)].to_numpy(float)
+    assert a.score(x).tolist() == b.score(x).tolist()
+    few = more.where("doc_id < 10")
+    assert quality_gbt.train(docs, few) is None and quality_gbt.train(docs, more.where("quality = 1")) is None
+
+
 def brute_secrets(text):
     text, spans = text or "", []
     for k, (kind, pat, g, least) in enumerate([("assign", r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12), ("access", r"AKIA[A-Z0-9]+", 0, 18), ("hex", r"[0-9a-f]+", 0, 16)]):
