@@ -90,8 +90,20 @@ def terms(text: str) -> list[str]:
 
 
 def glob_to_regex(pattern: str) -> str:
-    """A shell pattern as a Java regular expression that ignores case."""
+    """A shell pattern as a Java regular expression that ignores case: *, ?, [set], [!set]; a [ that is not closed stands for itself."""
     import re
 
-    out = "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in pattern)
+    out, i = "", 0
+    while i < len(pattern):
+        c, i = pattern[i], i + 1
+        if c == "*":
+            out += ".*"
+        elif c == "?":
+            out += "."
+        elif c == "[" and (end := pattern.find("]", i + 1 + (pattern[i : i + 1] == "!"))) >= 0:
+            body = pattern[i:end].replace("\\", "\\\\").replace("[", "\\[").replace("&&", "&\\&")
+            out += "[" + ("^" + body[1:] if body[0] == "!" else "\\" + body if body[0] == "^" else body) + "]"
+            i = end + 1
+        else:
+            out += re.escape(c)
     return f"(?is)^{out}$"

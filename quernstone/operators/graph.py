@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import os
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quernstone.functions import exprs as x
 
@@ -23,10 +25,20 @@ UTILITY_WORDS = ["util", "helper", "common", "shared", "base", "core", "lib", "t
 ENTRY_WORDS = ["main", "index", "app", "server", "start", "init", "bootstrap", "run", "__main__"]
 
 
+def shared_folder(spark) -> str:
+    """The folder of spark.checkpoint.dir. Only a local master may do without (tests): on a cluster each machine would write to a folder of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        folder = f"/tmp/checkpoints/{os.getpid()}"
+    return folder
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{os.getpid()}")
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -98,6 +110,20 @@ def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return degrees(nodes, edges).agg(F.count("*").alias("n_nodes"), F.sum("n_out").alias("n_edges"), F.round(F.avg("n_in"), 6).alias("avg_in"), F.round(F.avg("n_out"), 6).alias("avg_out"), F.max("n_in").alias("max_in"), F.max("n_out").alias("max_out"), n("is_leaf").alias("leaves"), n("is_root").alias("roots"), n("is_isolated").alias("isolated"))
 
 
+def graph_statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(measure, key, value) of all measures: totals, nodes and edges by type, degrees, flags, cycles, components and the largest. nodes has type, edges has type."""
+    one = statistics(nodes, edges).select(F.explode(F.map_from_arrays(F.array(*map(F.lit, STATISTICS)), F.array(*[F.col(c).cast("double") for c in STATISTICS]))).alias("measure", "value")).withColumn("key", F.lit(""))
+    by = lambda t, name: t.groupBy(F.col("type").alias("key")).agg(F.count("*").cast("double").alias("value")).withColumn("measure", F.lit(name))
+    parts = components_of(nodes, edges)
+    sccs = parts.groupBy("component").agg(F.count("*").alias("n"), F.max("on_cycle").alias("c")).agg(F.count("*").alias("sccs"), F.max("n").alias("largest_scc"), F.count_if("c").alias("cycles"))
+    names = ["sccs", "largest_scc", "cycles"]
+    more = sccs.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.col(c).cast("double") for c in names]))).alias("measure", "value")).withColumn("key", F.lit(""))
+    return one.unionByName(by(nodes, "nodes_by_type")).unionByName(by(edges, "edges_by_type")).unionByName(more)
+
+
+STATISTICS = ("n_nodes", "n_edges", "avg_in", "avg_out", "max_in", "max_out", "leaves", "roots", "isolated")
+
+
 def instability(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, ca, ce, instability): ce / (ca + ce); 0 for isolated nodes."""
     d = degrees(nodes, edges)
@@ -105,8 +131,22 @@ def instability(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def coupling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    i = instability(nodes, edges)
-    return i.agg(F.round(F.avg("ca"), 6).alias("avg_ca"), F.round(F.avg("ce"), 6).alias("avg_ce"), F.round(x.ratio(F.sum("ce"), F.sum("ca") + F.sum("ce")), 6).alias("total"), F.round(F.avg("instability"), 6).alias("avg_instability"), F.count_if(F.col("instability") < 0.3).alias("stable"), F.count_if(F.col("instability") > 0.7).alias("unstable"))
+    """Averages over the components, and how many are in each class of instability."""
+    i, n = instability(nodes, edges), F.count_if
+    v = F.col("instability")
+    return i.agg(
+        F.round(F.avg("ca"), 6).alias("avg_ca"), F.round(F.avg("ce"), 6).alias("avg_ce"), F.round(x.ratio(F.sum("ce"), F.sum("ca") + F.sum("ce")), 6).alias("total"), F.round(F.avg("instability"), 6).alias("avg_instability"), n(v < 0.3).alias("stable"), n(v > 0.7).alias("unstable"),
+        n(v < 0.2).alias("very_stable"), n((v >= 0.2) & (v < 0.5)).alias("fairly_stable"), n((v >= 0.5) & (v < 0.8)).alias("fairly_unstable"), n(v >= 0.8).alias("very_unstable"),
+    )
+
+
+def coupling_by_name(deps: DataFrame, components: DataFrame) -> DataFrame:
+    """(id, ca, ce, instability): efferent counts the dependency strings of a component, afferent counts the strings that equal its id. deps has src and dep."""
+    out = deps.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("ce"))
+    into = deps.groupBy("dep").agg(F.count("*").alias("ca"))
+    both = components.select("id").join(out, "id", "left").join(into, F.col("id").cast("string") == F.col("dep"), "left")
+    ca, ce = F.coalesce("ca", F.lit(0)), F.coalesce("ce", F.lit(0))
+    return both.select("id", ca.alias("ca"), ce.alias("ce"), F.round(x.ratio(ce, ca + ce), 6).alias("instability"))
 
 
 def package(path: Column) -> Column:
@@ -115,7 +155,7 @@ def package(path: Column) -> Column:
 
 
 def packages(components: DataFrame) -> DataFrame:
-    return components.groupBy(package(F.col("path")).alias("package")).agg(F.count("*").alias("n"), F.array_sort(F.collect_set("language")).alias("languages"), F.sum("line_count").alias("lines"))
+    return components.groupBy(package(F.col("path")).alias("package")).agg(F.count("*").alias("n"), F.array_sort(F.collect_set("language")).alias("languages"), F.sum("line_count").alias("lines"), F.array_sort(F.collect_list("id")).alias("ids"))
 
 
 def package_graph(components: DataFrame, edges: DataFrame) -> DataFrame:
@@ -133,16 +173,106 @@ def cohesion(components: DataFrame, edges: DataFrame) -> DataFrame:
     return both.agg(F.count("*").alias("n_edges"), F.round(F.coalesce(F.avg((F.col("a") == F.col("b")).cast("double")), F.lit(0.0)), 6).alias("cohesion"))
 
 
-def maintainability(stats: dict, cycles: int) -> float:
-    """100 - 30 I - min(10 E / N, 30) - min(5 cycles, 20), within 0 and 100."""
-    per_node = stats["n_edges"] / stats["n_nodes"] if stats["n_nodes"] else 0.0
-    return min(100.0, max(0.0, 100 - 30 * stats["avg_instability"] - min(10 * per_node, 30) - min(5 * cycles, 20)))
+def dependency_packages(deps: DataFrame, components: DataFrame) -> DataFrame:
+    """(src_package, dst_package) of dependency strings: the package, first by name, with a component whose name is the string or its end. All ends of the string that begin at a letter are join keys, so this is an equi-join."""
+    named = components.where("name <> ''").groupBy("name").agg(F.min(package(F.col("path"))).alias("dst_package"))
+    ends = F.transform(F.sequence(F.lit(1), F.length("dep")), lambda i: F.substr(F.col("dep"), i))
+    wanted = deps.where("dep <> ''").join(components.select(F.col("id").alias("src"), package(F.col("path")).alias("src_package")), "src").select("src_package", "dep").distinct()
+    hits = wanted.select("src_package", "dep", F.explode(ends).alias("name")).join(named, "name").groupBy("src_package", "dep").agg(F.min("dst_package").alias("dst_package"))
+    return hits.where("src_package <> dst_package").select("src_package", "dst_package").distinct()
+
+
+def chart_links(deps: DataFrame, components: DataFrame) -> DataFrame:
+    """(src, dst): each trimmed dependency string as an id, else as a name (the last component of that name), else as the end of a path (the first component by id); each pair once."""
+    d = deps.select("src", F.trim("dep").alias("dep")).where("dep <> ''")
+    path = F.col("path")
+    ends = F.transform(F.sequence(F.lit(1), F.length(path)), lambda i: F.concat(F.lit("p:"), F.substr(path, i)))
+    offers = F.array(F.struct(F.lit(0).alias("stage"), F.concat(F.lit("i:"), F.col("id").cast("string")).alias("key")), F.struct(F.lit(1).alias("stage"), F.concat(F.lit("n:"), "name").alias("key")))
+    keys = components.select("id", F.explode(F.concat(offers, F.transform(ends, lambda k: F.struct(F.lit(2).alias("stage"), k.alias("key"))))).alias("k")).groupBy("k.stage", "k.key").agg(F.max(F.when(F.col("k.stage") < 2, F.col("id"))).alias("last"), F.min("id").alias("first"))
+    wanted = d.select("src", "dep", F.explode(F.array(*[F.concat(F.lit(p), "dep") for p in ("i:", "n:", "p:")])).alias("key"))
+    hits = wanted.join(keys, "key").groupBy("src", "dep").agg(F.min_by(F.coalesce("last", "first"), "stage").alias("dst"))
+    return hits.select("src", "dst").distinct()
+
+
+def project_components(projects: DataFrame, components: DataFrame, edges: DataFrame) -> DataFrame:
+    """(project, id, dst): the components of each project with the dependencies they have, a null dst for those with none."""
+    c = projects.select(F.col("id").alias("project")).join(components.select(F.col("project_id").alias("project"), "id"), "project")
+    return c.join(edges.select(F.col("src").alias("id"), "dst"), "id", "left").select("project", "id", "dst")
 
 
 def issues(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, issue): out-degree over 10; in-degree over 15 with out-degree over 5."""
-    d = degrees(nodes, edges)
-    return d.select("id", F.explode(x.labels([(F.col("n_out") > 10, "too_many_dependencies"), ((F.col("n_in") > 15) & (F.col("n_out") > 5), "god_component")])).alias("issue"))
+    """(issue, severity, id, n): each cycle with its smallest node and its size; out-degree over 10; in-degree over 15 with out-degree over 5; a chain deeper than 7, without a node."""
+    d, lv = degrees(nodes, edges), levels(nodes, edges)
+    row = lambda t, issue, severity, n: t.select(F.lit(issue).alias("issue"), F.lit(severity).alias("severity"), F.col("id"), F.col(n).cast("long").alias("n"))
+    cycles = lv.where("on_cycle").groupBy(F.col("component").alias("id")).agg(F.count("*").alias("n"))
+    deep = lv.agg(F.max("depth").alias("n")).where("n > 7").withColumn("id", F.lit(None).cast("long"))
+    out = row(cycles, "circular_dependency", "high", "n").unionByName(row(d.where("n_out > 10"), "high_coupling", "medium", "n_out"))
+    return out.unionByName(row(d.where("n_in > 15 AND n_out > 5"), "god_object", "high", "n_in")).unionByName(row(deep, "deep_hierarchy", "low", "n"))
+
+
+def components_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component, on_cycle) of every node, for graphs of any size: component is the smallest node of the strongly connected component."""
+    from quernstone.operators.kernels import strongly_connected_large
+
+    loops = edges.where("src = dst").select(F.col("src").alias("id"), F.lit(True).alias("loop")).distinct()
+    out = nodes.select("id").distinct().join(strongly_connected_large(edges), "id", "left").join(loops, "id", "left")
+    return out.select("id", F.coalesce("component", "id").alias("component"), (F.col("component").isNotNull() | F.col("loop").isNotNull()).alias("on_cycle"))
+
+
+#: Nodes of a strongly connected component up to which its simple paths are searched; a larger one counts as a cycle through all its nodes.
+SEARCHED_NODES = 12
+
+
+def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component, on_cycle, layer, depth), for graphs of any size. layer: 0 without dependencies, else 1 more than the highest layer depended on, on the graph of components.
+    depth: steps of the longest chain from the node; a step back onto the chain counts and ends it."""
+    parts = checkpoint(components_of(nodes, edges))
+    e = edges.select("src", "dst").distinct().join(parts.select(F.col("id").alias("src"), F.col("component").alias("a")), "src").join(parts.select(F.col("id").alias("dst"), F.col("component").alias("b")), "dst")
+    e = checkpoint(e)
+    left, done, layer = parts, None, 0
+    while not left.isEmpty():
+        waits = e.where("a <> b").join(left.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("a").alias("component")).distinct()
+        free = left.join(waits, "component", "left_anti")
+        mine = e.join(free.select(F.col("id").alias("src"), "on_cycle"), "src")
+        if done is None:
+            exits = mine.where("a <> b").select("src", "a", F.lit(0).alias("d")).limit(0)
+        else:
+            exits = mine.where("a <> b").join(done.select(F.col("id").alias("dst"), "depth"), "dst").select("src", "a", (F.col("depth") + 1).alias("d"))
+        best = exits.groupBy("src").agg(F.max("d").alias("d"))
+        plain = free.where("NOT on_cycle").join(best, F.col("id") == F.col("src"), "left").select("id", "component", "on_cycle", F.coalesce("d", F.lit(0)).cast("long").alias("depth"))
+        inner = mine.where("a = b AND on_cycle").select("a", "src", "dst", F.lit(None).cast("long").alias("d"))
+        tied = inner.unionByName(best.join(free.where("on_cycle"), F.col("src") == F.col("id")).select(F.col("component").alias("a"), "src", F.lit(None).cast("long").alias("dst"), F.col("d").cast("long").alias("d")))
+        now = checkpoint(plain.unionByName(tied.groupBy("a").applyInPandas(chains_in_component, "id long, component long, depth long").select("id", "component", F.lit(True).alias("on_cycle"), "depth")).withColumn("layer", F.lit(layer).cast("long")))
+        done = now if done is None else checkpoint(done.unionByName(now))
+        left = checkpoint(left.join(now.select("id"), "id", "left_anti"))
+        layer += 1
+    return done if done is not None else left.select("id", "component", "on_cycle", F.lit(0).cast("long").alias("layer"), F.lit(0).cast("long").alias("depth"))
+
+
+def chains_in_component(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
+    """The longest chains from each node of one strongly connected component; rows without dst give what follows outside."""
+    inner = df[df["dst"].notna()]
+    out = dict(zip(df.loc[df["dst"].isna(), "src"], df.loc[df["dst"].isna(), "d"], strict=True))
+    succ: dict = {}
+    for a, b in zip(inner["src"], inner["dst"].astype("int64"), strict=True):
+        succ.setdefault(a, []).append(b)
+    most = max(out.values(), default=0)
+
+    def longest(start: int) -> int:
+        if len(succ) > SEARCHED_NODES:
+            return max(len(succ), len(succ) - 1 + most)
+        best, stack = 0, [(start, frozenset([start]))]
+        while stack:
+            at, seen = stack.pop()
+            steps = len(seen) - 1
+            best = max(best, steps + out.get(at, 0))
+            for b in succ.get(at, ()):
+                best = max(best, steps + 1)
+                if b not in seen:
+                    stack.append((b, seen | {b}))
+        return best
+
+    return pd.DataFrame([(v, key[0], longest(v)) for v in sorted(succ)], columns=["id", "component", "depth"]).astype("int64")
 
 
 def reach(edges: DataFrame, start: DataFrame, reverse: bool = False, depth: int | None = None, both: bool = False) -> DataFrame:
@@ -176,9 +306,22 @@ def impact(edges: DataFrame, start: DataFrame) -> DataFrame:
     return out.withColumn("indirect", F.greatest(F.col("affected") - F.col("direct"), F.lit(0))).withColumn("critical", (F.col("direct") > 5) | (F.col("affected") > 20))
 
 
+def critical_paths(edges: DataFrame, start: DataFrame, most: int = 20) -> DataFrame:
+    """(start, path): the shortest path to each start from its direct dependents, the first `most` by id. A dependent is one step away, so the path is that step."""
+    w = Window.partitionBy("start").orderBy("src")
+    near = edges.select("src", "dst").distinct().join(start.select(F.col("id").alias("start")).distinct(), F.col("dst") == F.col("start"))
+    return near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).select("start", F.when(F.col("src") == F.col("start"), F.array("start")).otherwise(F.array("src", "start")).alias("path"))
+
+
+def neighbour_levels(edges: DataFrame, start: DataFrame, depth: int = 1) -> DataFrame:
+    """(start, level, n, ids): neighbours either way at each distance of 1 to depth (1 to 6), the start left out."""
+    near = reach(edges, start, depth=min(max(depth, 1), 6), both=True).where("id <> start")
+    return near.groupBy("start", "level").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("id")).alias("ids"))
+
+
 def shortest_path(edges: DataFrame, start: int, end: int, max_depth: int = 15) -> DataFrame:
-    """One row with the path as an array of ids, or none. Of equal paths the one with the smallest predecessors is kept."""
-    spark = edges.sparkSession
+    """One row with the path as an array of ids, or none; max_depth steps at most (1 to 30). Of equal paths the one with the smallest predecessors is kept."""
+    spark, max_depth = edges.sparkSession, min(max(max_depth, 1), 30)
     if start == end:
         return spark.createDataFrame([([start],)], "path array<long>")
     e = edges.select("src", "dst").distinct()
@@ -210,17 +353,18 @@ def simple_paths(edges: DataFrame, start: int, end: int, max_nodes: int = 6) ->
     return out
 
 
-def layers(nodes: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
+def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, layer) by Kahn's algorithm from nodes without dependents; nodes on cycles and behind them get no row."""
     e = checkpoint(edges.select("src", "dst").distinct())
-    left, out = checkpoint(nodes.select("id").distinct()), None
-    for level in range(most):
+    left, out, level = checkpoint(nodes.select("id").distinct()), None, 0
+    while True:
         free = checkpoint(left.join(e.select(F.col("dst").alias("id")).distinct(), "id", "left_anti").withColumn("layer", F.lit(level)))
         if free.isEmpty():
             break
         out = free if out is None else out.unionByName(free)
         left = checkpoint(left.join(free.select("id"), "id", "left_anti"))
         e = checkpoint(e.join(free.select(F.col("id").alias("src")), "src", "left_anti"))
+        level += 1
     return out if out is not None else left.select("id", F.lit(0).alias("layer")).limit(0)
 
 
@@ -263,39 +407,67 @@ def most_connected(nodes: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
     return top("n_out", "dependent").unionByName(top("n_in", "used"))
 
 
-def graph_complexity(nodes: DataFrame, edges: DataFrame, cycles: int = 0, depth: int = 0) -> DataFrame:
+def dependency_cycles(nodes: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
+    """(component, ids): the first k cycles by smallest node, each as the sorted nodes of its strongly connected component."""
+    c = components_of(nodes, edges).where("on_cycle")
+    first = c.select("component").distinct().orderBy("component").limit(k)
+    return c.join(first, "component").groupBy("component").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+
+
+def shape(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(n_cycles, depth, n_layers), one row: strongly connected components with a cycle, the longest chain, and the layers from nodes without dependents."""
+    lv = levels(nodes, edges)
+    one = lv.agg(F.count_distinct(F.when(F.col("on_cycle"), F.col("component"))).alias("n_cycles"), F.max("depth").alias("depth"))
+    return one.crossJoin(F.broadcast(layers(nodes, edges).agg(F.count_distinct("layer").alias("n_layers"))))
+
+
+def graph_complexity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(density, cyclomatic, structural): E / N, E - N + 2, 2 cycles + depth / 2."""
-    s = statistics(nodes, edges)
-    return s.select(F.round(x.ratio(F.col("n_edges"), F.col("n_nodes")), 6).alias("density"), (F.col("n_edges") - F.col("n_nodes") + 2).alias("cyclomatic"), F.lit(2.0 * cycles + depth * 0.5).alias("structural"))
+    s = statistics(nodes, edges).crossJoin(F.broadcast(shape(nodes, edges)))
+    return s.select(F.round(x.ratio(F.col("n_edges"), F.col("n_nodes")), 6).alias("density"), (F.col("n_edges") - F.col("n_nodes") + 2).alias("cyclomatic"), (2.0 * F.col("n_cycles") + F.col("depth") * 0.5).alias("structural"))
 
 
-def maintainability_index(nodes: DataFrame, edges: DataFrame, cycles: DataFrame) -> DataFrame:
-    """One row: 100 - 30 I - min(10 E / N, 30) - min(5 cycles, 20), within 0 and 100; cycles has a row for each."""
-    i = instability(nodes, edges).agg(F.avg("instability").alias("i"), F.count("*").alias("n"), F.sum("ce").alias("e"))
-    one = i.crossJoin(F.broadcast(cycles.agg(F.count("*").alias("c"))))
-    value = 100 - 30 * F.col("i") - F.least(10 * x.ratio(F.col("e"), F.col("n")), F.lit(30.0)) - F.least(5.0 * F.col("c"), F.lit(20.0))
-    return one.select(F.round(x.clamp(value, 0, 100), 6).alias("index"))
+def maintainability_index(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: 100 - 30 I - min(10 E / N, 30) - min(5 cycles, 20), within 0 and 100; I is all efferent over all coupling."""
+    i = degrees(nodes, edges).agg(F.sum("n_in").alias("ca"), F.sum("n_out").alias("ce"), F.count("*").alias("n"))
+    c = components_of(nodes, edges).agg(F.count_distinct(F.when(F.col("on_cycle"), F.col("component"))).alias("c"))
+    value = 100 - 30 * x.ratio(F.col("ce"), F.col("ca") + F.col("ce")) - F.least(10 * x.ratio(F.col("ce"), F.col("n")), F.lit(30.0)) - F.least(5.0 * F.col("c"), F.lit(20.0))
+    return i.crossJoin(F.broadcast(c)).select(F.round(x.clamp(value, 0, 100), 6).alias("index"))
+
+
+def abstraction_level() -> Column:
+    n, t = F.lower("name"), F.lower("type")
+    return F.when(t.isin("interface", "abstract") | x.contains_any(n, ["base", "abstract"]), "abstract").when(t.isin("class", "struct"), "implementation").when(x.contains_any(n, ["util", "helper"]), "utility").otherwise("concrete")
 
 
 def abstraction_levels(components: DataFrame) -> DataFrame:
     """(project_id, levels): which of abstract, concrete, implementation and utility a project has."""
-    n, t = F.lower("name"), F.lower("type")
-    level = F.when(t.contains("interface") | n.contains("abstract"), "abstract").when(x.contains_any(n, UTILITY_WORDS), "utility").when(t.contains("class"), "implementation").otherwise("concrete")
-    return components.groupBy("project_id").agg(F.array_sort(F.collect_set(level)).alias("levels"))
+    return components.groupBy("project_id").agg(F.array_sort(F.collect_set(abstraction_level())).alias("levels"))
 
 
-#: Fixed order of preference of architectures with equal scores.
-ARCHITECTURES = ("microservices", "layered", "event_driven", "plugin", "monolith")
+#: Architectures in their order of preference, each with the score it has to reach.
+ARCHITECTURES = {"microservices": 0.7, "layered": 0.6, "event_driven": 0.6, "plugin": 0.5, "monolith": 0.8}
 
 
 def architecture_scores(components: DataFrame, edges: DataFrame) -> DataFrame:
-    """(project_id, architecture, score): additive scores from names and mean degree, the best of each project."""
-    n = F.lower(F.concat_ws(" ", "name", "path"))
-    hit = lambda words: x.ratio(F.count_if(x.contains_any(n, words)), F.count("*"))
-    deg = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("d"))
-    g = components.join(deg, "id", "left").groupBy("project_id").agg(
-        hit(["service", "api", "gateway"]).alias("microservices"), hit(["controller", "model", "view", "repository"]).alias("layered"), hit(["event", "queue", "handler"]).alias("event_driven"),
-        hit(["plugin", "extension"]).alias("plugin"), F.least(F.lit(1.0), x.ratio(F.sum(F.coalesce("d", F.lit(0))), F.count("*")) / 2).alias("monolith"),
-    )
-    best = F.array_max(F.array(*[F.struct(F.round(F.col(a), 6).alias("score"), F.lit(-i).alias("o"), F.lit(a).alias("architecture")) for i, a in enumerate(ARCHITECTURES)]))
-    return g.select("project_id", best["architecture"].alias("architecture"), best["score"].alias("score"))
+    """(architecture, score, chosen) of one graph: additive scores from names, degrees, layers, cycles and depth; the best is chosen if it reaches its bound."""
+    n = F.lower("name")
+    some = lambda words: F.coalesce(F.max(x.contains_any(n, words).cast("int")), F.lit(0)) == 1
+    when = lambda c, w: F.when(c, w).otherwise(0.0)
+    f = degrees(components, edges).join(components.select("id", "name", "type"), "id").agg(
+        F.count("*").alias("n"), F.avg("n_out").alias("mean"), F.avg((F.col("n_out") <= 2).cast("double")).alias("apart"), F.max("n_in").alias("central"), F.size(F.collect_set(abstraction_level())).alias("kinds"),
+        *[some(w).alias(a) for a, w in (("service", ["service", "api", "controller", "handler"]), ("api", ["api", "endpoint"]), ("event", ["event", "message", "queue", "publisher", "subscriber", "listener"]), ("broker", ["mediator", "broker", "dispatcher", "router"]), ("plugin", ["plugin", "extension", "module", "addon", "component"]), ("loader", ["registry", "factory", "loader", "manager"]))],
+        (F.max((F.lower("type") == "interface").cast("int")) == 1).alias("interface"),
+    ).crossJoin(F.broadcast(shape(components, edges)))
+    c = F.col
+    scores = {
+        "microservices": when(c("service"), 0.3) + when(c("mean") < 3, 0.3) + when(c("apart") > 0.3, 0.2) + when(c("api"), 0.2),
+        "layered": F.when(c("n_layers") >= 3, 0.4).when(c("n_layers") >= 2, 0.2).otherwise(0.0) + F.when(c("n_cycles") == 0, 0.3).when(c("n_cycles") <= 0.1 * c("n"), 0.1).otherwise(0.0) + when(c("kinds") >= 3, 0.3),
+        "event_driven": when(c("event"), 0.4) + when(c("mean") < 2, 0.3) + when(c("broker"), 0.3),
+        "plugin": when(c("plugin"), 0.4) + when(c("interface"), 0.3) + when(c("loader"), 0.3),
+        "monolith": when(c("mean") > 5, 0.3) + when(c("n_cycles") > 0.2 * c("n"), 0.3) + when(c("central") > 5, 0.2) + when(c("depth") > 5, 0.2),
+    }
+    rows = F.array(*[F.struct(F.lit(a).alias("architecture"), F.round(F.least(scores[a], F.lit(1.0)), 6).alias("score"), F.lit(-i).alias("o"), F.lit(least).alias("least")) for i, (a, least) in enumerate(ARCHITECTURES.items())])
+    top = F.array_max(F.transform("rows", lambda r: F.struct(r["score"].alias("score"), r["o"].alias("o"))))
+    best = f.select(rows.alias("rows")).withColumn("top", top).select("top", F.explode("rows").alias("r"))
+    return best.select("r.architecture", "r.score", ((F.col("r.o") == F.col("top.o")) & (F.col("r.score") >= F.col("r.least"))).alias("chosen"))

@@ -26,11 +26,29 @@ def first_messages(messages: DataFrame, n: int = 50) -> DataFrame:
     return messages.withColumn("rn", F.row_number().over(Window.partitionBy("session_id").orderBy("seq", "role"))).where(F.col("rn") <= n)
 
 
-def run_steps(steps: DataFrame, n: int = 100) -> DataFrame:
-    """(run_id, n_steps, steps): the first n steps of each run, in order."""
-    w = Window.partitionBy("run_id").orderBy("step_index")
-    first = steps.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
-    return first.groupBy("run_id").agg(F.count("*").alias("n_steps"), F.transform(F.sort_array(F.collect_list(F.struct("step_index", "name"))), lambda s: s["name"]).alias("steps"))
+def run_steps(steps: DataFrame) -> DataFrame:
+    """(run_id, n_steps, steps): all steps of each run, in order; the array is the output row."""
+    return steps.groupBy("run_id").agg(F.count("*").alias("n_steps"), F.transform(F.sort_array(F.collect_list(F.struct("step_index", "name"))), lambda s: s["name"]).alias("steps"))
+
+
+def latest_session(sessions: DataFrame) -> DataFrame:
+    """(agent, session_id): the newest active session of each agent."""
+    return sessions.where("is_active").groupBy("agent").agg(F.max_by("session_id", F.struct("created_at", "session_id")).alias("session_id"))
+
+
+def project_page(projects: DataFrame, offset: int = 0, limit: int = 50) -> DataFrame:
+    """A page of the projects, the newest change first; the limit is held within 1 and 200."""
+    return projects.orderBy(F.desc("updated_at"), "id").offset(max(offset, 0)).limit(min(max(limit, 1), 200))
+
+
+def search_report(searches: DataFrame, last: int = 10) -> DataFrame:
+    """(measure, key, value): the total, counts by intent, scope and language, the mean number of results, and the newest searches with their place; one pass makes all counters."""
+    pair = lambda m, k: F.struct(F.lit(m).alias("measure"), k.alias("key"))
+    counters = F.array(*[pair(c, F.col(c)) for c in ("intent", "scope", "language")], pair("total", F.lit("")))
+    counts = searches.select(F.explode(counters).alias("c")).groupBy("c.measure", "c.key").agg(F.count("*").cast("double").alias("value"))
+    mean = searches.agg(F.round(F.coalesce(F.avg("n_results"), F.lit(0.0)), 6).alias("value")).select(F.lit("avg_results").alias("measure"), F.lit("").alias("key"), "value")
+    newest = searches.orderBy(F.desc("ts"), F.desc("id")).limit(last).agg(F.collect_list("id").alias("ids")).select(F.posexplode("ids").alias("i", "id"))
+    return counts.unionByName(mean).unionByName(newest.select(F.lit("recent").alias("measure"), F.col("id").cast("string").alias("key"), (F.col("i") + 1).cast("double").alias("value")))
 
 
 def latest(rows: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
@@ -88,3 +106,17 @@ def parse_git_status(lines: DataFrame, line: str = "line") -> DataFrame:
     code = F.substr(line, F.lit(1), F.lit(2))
     state = F.when(code == "??", "untracked").when(F.contains(code, F.lit("D")), "deleted").when(F.contains(code, F.lit("A")), "added").when(F.contains(code, F.lit("R")), "renamed").otherwise("modified")
     return lines.where(F.length(line) > 3).select(state.alias("state"), F.substr(line, F.lit(4)).alias("path"))
+
+
+def parse_git_diff(diffs: DataFrame, text: str = "text") -> DataFrame:
+    """(id, path, n_added, n_deleted, n_hunks) of each file in unified diffs, cut at the file headers."""
+    parts = F.filter(F.split(F.col(text), r"(?m)^(?=diff --git )"), lambda p: F.startswith(p, F.lit("diff --git ")))
+    body = lambda p, mark, header: F.size(F.regexp_extract_all(p, F.lit(rf"(?m)^{mark}(?!{header})"), F.lit(0))).cast("long")
+    one = lambda p: F.struct(F.regexp_extract(p, r"^diff --git a/\S+ b/(\S+)", 1).alias("path"), body(p, r"\+", r"\+\+ ").alias("n_added"), body(p, "-", "-- ").alias("n_deleted"), body(p, "@@ ", "$").alias("n_hunks"))
+    return diffs.select("id", F.explode(F.transform(parts, one)).alias("d")).select("id", "d.*")
+
+
+def changed_paths(paths: Column) -> Column:
+    """Paths without blanks and repeats, in order: stripped, slashes turned, ./ and / at the start taken off."""
+    bare = F.transform(paths, lambda p: F.regexp_replace(F.regexp_replace(F.trim(p), r"\\", "/"), r"^(\./)+|^/+", ""))
+    return F.array_distinct(F.filter(bare, lambda p: F.coalesce(p != "", F.lit(False))))

@@ -19,8 +19,21 @@ def scoped(memories: DataFrame, agent: str | None = None, memory_type: str | Non
 
 
 def contains_metadata(metadata: str, wanted: dict) -> Column:
-    """Flat JSON containment: every given key has the given value."""
-    return x.both([F.get_json_object(metadata, f"$.{k}") == F.lit(v if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else str(v)) for k, v in wanted.items()])
+    """JSON containment: every given key has the given value, objects recursively, and arrays as sets of plain values."""
+
+    def tests(path: str, value) -> list[Column]:
+        if isinstance(value, dict):
+            # an empty object is contained in any object
+            return [F.startswith(F.ltrim(F.get_json_object(metadata, path)), F.lit("{"))] + [t for k, v in value.items() for t in tests(f"{path}['{k}']", v)]
+        if isinstance(value, (list, tuple)):
+            held = F.from_json(F.get_json_object(metadata, path), "array<string>")
+            return [F.startswith(F.ltrim(F.get_json_object(metadata, path)), F.lit("["))] + [F.array_contains(held, text(v)) for v in value]
+        return [F.get_json_object(metadata, path) == F.lit(text(value))]
+
+    def text(v) -> str:
+        return v if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else str(v)
+
+    return F.coalesce(x.both([t for k, v in wanted.items() for t in tests(f"$['{k}']", v)]), F.lit(False))
 
 
 def vector_search(memories: DataFrame, query: list[float], k: int = 10, min_similarity: float | None = None) -> DataFrame:
@@ -66,6 +79,65 @@ def upsert(existing: DataFrame, incoming: DataFrame, scope: tuple[str, ...] = ("
     return grouped.select("fingerprint", F.coalesce("old.id", "fresh.id").alias("id"), "memory_type", *scope, "importance", "copies", F.col("old").isNull().alias("is_new"))
 
 
+SCOPE_KEYS = ("project_id", "session_id", "component_id")
+
+
+def store(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """A new snapshot (id, content, memory_type, agent, importance, metadata, updated_seq, embedding) after storing rows, in one pass: each is matched with the rows as they were before.
+
+    A row equals an active one with its fingerprint, type and, where it has one, agent, if that row's metadata hold the row's values of SCOPE_KEYS. The newest such row takes the highest importance and the metadata keys that
+    it lacks, the first value of each; other rows are added with stripped content, equal ones once. metadata is a map of strings; a row that is not active is kept as it is.
+    """
+    new = incoming.withColumn("content", F.trim("content")).withColumn("f", fingerprint())
+    own = lambda c: F.map_filter(F.coalesce(c, F.create_map().cast("map<string,string>")), lambda k, v: v.isNotNull())
+    new = new.select("id", "content", "memory_type", "agent", "importance", own(F.col("metadata")).alias("metadata"), "updated_seq", "f")
+    asked = F.array(*[F.try_element_at("metadata", F.lit(k)) for k in SCOPE_KEYS])
+    # equal rows are one: their first makes the row, the others add what it lacks
+    group = ["f", "memory_type", "agent", "scope"]
+    in_order = lambda key, m: F.transform(F.sort_array(F.collect_list(F.struct(key, F.map_entries(m).alias("e")))), lambda r: F.map_from_entries(r["e"]))
+    rows = in_order("id", F.col("metadata"))
+    merged = F.aggregate(rows, F.create_map().cast("map<string,string>"), lambda acc, r: F.map_concat(acc, F.map_filter(r, lambda k, v: ~F.map_contains_key(acc, k))))
+    once = new.withColumn("scope", asked).groupBy(*group).agg(F.min("id").alias("new_id"), F.min_by("content", "id").alias("new_content"), F.max("importance").alias("new_importance"), merged.alias("new_metadata"), F.max("updated_seq").alias("new_seq"))
+    old = existing.withColumn("f", fingerprint())
+    held = old.where("is_active").select("f", "memory_type", F.col("agent").alias("old_agent"), F.col("id").alias("old_id"), F.col("metadata").alias("old_metadata"), "updated_seq")
+    fits = (F.col("agent").isNull() | (F.col("agent") == F.col("old_agent"))) & F.forall(F.sequence(F.lit(1), F.lit(len(SCOPE_KEYS))), lambda i: F.element_at("scope", i).isNull() | F.coalesce(F.try_element_at("old_metadata", F.element_at(F.array(*map(F.lit, SCOPE_KEYS)), i)) == F.element_at("scope", i), F.lit(False)))
+    target = once.join(held, ["f", "memory_type"]).where(fits).groupBy(*group).agg(F.max_by("old_id", F.struct("updated_seq", "old_id")).alias("old_id"))
+    marked = once.alias("o").join(target.alias("t"), [F.col(f"o.{c}").eqNullSafe(F.col(f"t.{c}")) for c in group], "left").select("o.*", "t.old_id")
+    hits = marked.where("old_id IS NOT NULL").groupBy("old_id").agg(F.max("new_importance").alias("new_importance"), in_order("new_id", F.col("new_metadata")).alias("rows"))
+    extra = F.aggregate("rows", own(F.col("metadata")), lambda acc, r: F.map_concat(acc, F.map_filter(r, lambda k, v: ~F.map_contains_key(acc, k))))
+    columns = ["id", "content", "memory_type", "agent", "importance", "metadata", "updated_seq", "embedding", "is_active"]
+    kept = existing.join(hits, existing["id"] == hits["old_id"], "left").withColumn("metadata", F.when(F.col("old_id").isNull(), F.col("metadata")).otherwise(extra)).withColumn("importance", F.greatest("importance", "new_importance")).select(*columns)
+    added = marked.where("old_id IS NULL").select(F.col("new_id").alias("id"), F.col("new_content").alias("content"), "memory_type", "agent", F.col("new_importance").alias("importance"), F.col("new_metadata").alias("metadata"), F.col("new_seq").alias("updated_seq"), F.lit(None).cast("array<float>").alias("embedding"), F.lit(True).alias("is_active"))
+    return kept.unionByName(added)
+
+
+def embedded(rows: DataFrame, dim: int = 768) -> DataFrame:
+    """Add `new_embedding`, the hash embedding of the content; null for a content without words."""
+    slots = embedding_from_slots(rows.select("id", embed_slots(F.col("content"), dim).alias("slots")), "id", dim).withColumnRenamed("embedding", "new_embedding")
+    return rows.join(slots, "id", "left")
+
+
+def updated(memories: DataFrame, changes: DataFrame, dim: int = 768) -> DataFrame:
+    """A snapshot after changes (id, content, metadata; null leaves as it is): a content that differs is embedded anew, metadata are replaced."""
+    c = changes.select("id", F.col("content").alias("new_content"), F.col("metadata").alias("new_metadata"))
+    both = memories.join(c, "id", "left")
+    differs = F.col("new_content").isNotNull() & ~F.col("new_content").eqNullSafe(F.col("content"))
+    fresh = embedded(both.where(differs).select("id", F.col("new_content").alias("content")), dim).select("id", "new_embedding")
+    out = both.withColumn("__differs", differs).join(fresh, "id", "left")
+    return out.withColumns({"content": F.when(F.col("__differs"), F.col("new_content")).otherwise(F.col("content")), "embedding": F.when(F.col("__differs"), F.col("new_embedding")).otherwise(F.col("embedding")), "metadata": F.coalesce("new_metadata", "metadata")}).select(*memories.columns)
+
+
+def backfill(memories: DataFrame, limit: int = 100, dim: int = 768, dry_run: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(the rows that get a vector with it, a report: scanned, reindexed, failed, candidates, failures). Rows that can't be embedded are counted and named, and stop no others; a dry run only names its candidates."""
+    missing = missing_embeddings(memories, limit)
+    tried = embedded(missing.select("id", "content"), dim)
+    ok = F.col("new_embedding").isNotNull() & F.lit(not dry_run)
+    ids = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("id"))))
+    failed = F.col("new_embedding").isNull() & F.lit(not dry_run)
+    report = tried.agg(F.count("*").alias("scanned"), F.count_if(ok).alias("reindexed"), F.count_if(failed).alias("failed"), ids(F.lit(dry_run)).alias("candidates"), ids(failed).alias("failures"))
+    return tried.where(ok).select("id", F.col("new_embedding").alias("embedding")), report
+
+
 def merge_metadata(old: Column, new: Column) -> Column:
     """Existing keys win; keys without a value are not added. Needs spark.sql.mapKeyDedupPolicy=LAST_WIN."""
     return F.map_concat(F.map_filter(new, lambda k, v: v.isNotNull()), old)

@@ -29,9 +29,21 @@ def health_score(instability: Column) -> Column:
     return F.round(x.clamp(sum(parts, F.lit(0.0)) / 5, 0, 100), 6)
 
 
-def scored(components: DataFrame, instability: Column | None = None) -> DataFrame:
-    inst = F.lit(0.5) if instability is None else instability
-    return components.withColumn("quality", quality_score()).withColumn("health", health_score(inst))
+def scored(components: DataFrame, instability: DataFrame) -> DataFrame:
+    """Add instability, quality and health; instability has (id, instability), and components that it lacks have 0."""
+    known = components.join(instability.select("id", "instability"), "id", "left").withColumn("instability", F.coalesce("instability", F.lit(0.0)))
+    return known.withColumn("quality", quality_score()).withColumn("health", health_score(F.col("instability")))
+
+
+def project_summary(rows: DataFrame) -> DataFrame:
+    """(project_id, measure, key, value): means, counts by type and language, and how many are in each class of health. One pass makes all counters."""
+    pair = lambda m, k: F.struct(F.lit(m).alias("measure"), k.alias("key"))
+    bounds, rest, at_least = HEALTH_BUCKETS
+    counters = F.array(pair("type", F.col("type")), pair("language", F.col("language")), pair("health", x.bucket(F.col("health"), bounds, rest, at_least)), pair("total", F.lit("")))
+    counts = rows.select("project_id", F.explode(counters).alias("c")).groupBy("project_id", "c.measure", "c.key").agg(F.count("*").cast("double").alias("value"))
+    means = rows.groupBy("project_id").agg(*[F.round(F.avg(c), 6).alias(c) for c in ("quality", "complexity", "coverage_pct")])
+    long = means.select("project_id", F.explode(F.create_map(*[y for c in ("quality", "complexity", "coverage_pct") for y in (F.lit(f"average_{c}"), F.col(c))])).alias("measure", "value"))
+    return counts.unionByName(long.select("project_id", "measure", F.lit("").alias("key"), "value"))
 
 
 def distribution(rows: DataFrame, value: str, buckets: tuple) -> DataFrame:
@@ -53,22 +65,30 @@ def project_metrics(rows: DataFrame) -> DataFrame:
 
 
 def health_summary(rows: DataFrame) -> DataFrame:
-    """Mean health and risk flags per project."""
-    out = rows.groupBy("project_id").agg(F.avg("health").alias("h"), F.avg("complexity").alias("c"), F.avg("coverage_pct").alias("t"), x.ratio(F.count_if(F.col("quality") < 50), F.count("*")).alias("low"))
+    """Mean health, how many are in each class, and risk flags per project."""
+    bounds, rest, at_least = HEALTH_BUCKETS
+    level = x.bucket(F.col("health"), bounds, rest, at_least)
+    out = rows.groupBy("project_id").agg(*[F.count_if(level == b).alias(b) for b in [n for _, n in bounds] + [rest]], F.avg("health").alias("h"), F.avg("complexity").alias("c"), F.avg("coverage_pct").alias("t"), x.ratio(F.count_if(F.col("quality") < 50), F.count("*")).alias("low"))
     flags = x.labels([(F.col("c") > 10, "high_complexity"), (F.col("t") < 50, "low_coverage"), (F.col("low") > 0.2, "low_quality")])
-    return out.select("project_id", F.round("h", 6).alias("avg_health"), flags.alias("risks"))
+    return out.select("project_id", F.round("h", 6).alias("avg_health"), *[n for _, n in bounds], rest, flags.alias("risks"))
 
 
 def insights(rows: DataFrame) -> DataFrame:
-    """(id, rule, severity) for every rule that a component breaks: one pass over the rows."""
-    rules = [(F.col("quality") < 50, "low_quality", "high"), (F.col("complexity") > 15, "high_complexity", "medium"), ((F.col("coverage_pct") < 50) & F.col("type").isin("class", "function"), "low_coverage", "medium"), (F.col("n_deps") > 10, "many_dependencies", "medium"), (F.col("security_score") < 0.5, "security", "high")]
-    hit = F.filter(F.array(*[F.when(c, F.struct(F.lit(r).alias("rule"), F.lit(s).alias("severity"))) for c, r, s in rules]), lambda v: v.isNotNull())
-    return rows.select("id", F.explode(hit).alias("i")).select("id", "i.rule", "i.severity")
+    """(id, rule, severity, confidence) for every rule that a component breaks: one pass over the rows."""
+    rules = [
+        (F.col("quality") < 50, "quality_issue", "high", 0.9), (F.col("complexity") > 15, "complexity_issue", "medium", 0.95), ((F.col("coverage_pct") < 50) & F.col("type").isin("class", "function"), "testing_issue", "medium", 0.8),
+        (F.col("n_deps") > 10, "dependency_issue", "medium", 0.7), (F.col("security_score") < 0.5, "security_issue", "high", 0.85),
+    ]
+    hit = F.filter(F.array(*[F.when(c, F.struct(F.lit(r).alias("rule"), F.lit(s).alias("severity"), F.lit(w).alias("confidence"))) for c, r, s, w in rules]), lambda v: v.isNotNull())
+    return rows.select("id", F.explode(hit).alias("i")).select("id", "i.rule", "i.severity", "i.confidence")
 
 
 def recommendations(rows: DataFrame) -> DataFrame:
-    rules = [(F.col("quality") < 60, "refactor"), (F.col("doc_score") < 0.4, "document"), (F.col("coverage_pct") < 70, "test")]
-    return rows.select("id", F.explode(x.labels(rules)).alias("action"))
+    """(id, action, priority)."""
+    heavy = F.coalesce(F.col("cpu_heavy"), F.lit(False)) | F.coalesce(F.col("memory_heavy"), F.lit(False))
+    rules = [(F.col("quality") < 60, "quality", "high"), (F.col("doc_level").isin("none", "basic"), "documentation", "medium"), (F.col("coverage_pct") < 70, "testing", "high"), (heavy, "performance", "medium")]
+    hit = F.filter(F.array(*[F.when(c, F.struct(F.lit(a).alias("action"), F.lit(p).alias("priority"))) for c, a, p in rules]), lambda v: v.isNotNull())
+    return rows.select("id", F.explode(hit).alias("r")).select("id", "r.action", "r.priority")
 
 
 def project_insights(rows: DataFrame) -> DataFrame:
@@ -78,11 +98,13 @@ def project_insights(rows: DataFrame) -> DataFrame:
 
 
 def class_labels() -> list[Column]:
-    """Complexity, security and documentation classes."""
+    """Classes of complexity, stability and security, and the share of five documentation flags: docstring, examples, parameters (met where there are none), returns, exceptions."""
+    flags = [F.col("has_docstring"), F.col("has_examples"), F.col("has_parameters") | (F.col("n_parameters") == 0), F.col("has_returns"), F.col("has_exceptions")]
     return [
-        x.bucket(F.col("complexity"), [(5, "low"), (10, "medium"), (20, "high")], "very_high", False).alias("complexity_class"),
-        x.bucket(100 * F.col("security_score"), [(90, "secure"), (70, "acceptable"), (50, "at_risk")], "vulnerable").alias("security_class"),
-        x.bucket(F.col("doc_score"), [(0.8, "complete"), (0.5, "partial"), (0.2, "basic")], "none").alias("doc_class"),
+        x.bucket(F.col("complexity"), [(5, "simple"), (10, "moderate"), (20, "complex")], "very_complex", False).alias("complexity_class"),
+        x.bucket(F.col("instability"), [(0.2, "very_stable"), (0.5, "stable"), (0.8, "unstable")], "very_unstable", False).alias("stability_class"),
+        x.bucket(100 * F.col("security_score"), [(90, "excellent"), (70, "good"), (50, "fair")], "poor").alias("security_class"),
+        F.round(sum((f.cast("int") for f in flags), F.lit(0)) / 5, 6).alias("doc_completeness"),
     ]
 
 
@@ -92,11 +114,11 @@ def shares(rows: DataFrame, by: str) -> DataFrame:
     return groups.crossJoin(F.broadcast(rows.agg(F.count("*").alias("t")))).select(by, "n", F.round(F.col("n") * 100.0 / F.col("t"), 1).cast("double").alias("pct"))
 
 
-def browser_health(rows: DataFrame) -> DataFrame:
-    """100 less penalties for coverage, complexity and number of languages, rounded and clamped."""
-    g = rows.groupBy("project_id").agg(F.avg("coverage_pct").alias("t"), F.avg("complexity").alias("c"), F.countDistinct("language").alias("l"))
-    penalty = F.when(F.col("t") < 50, 20).otherwise(0) + F.when(F.col("c") > 10, 20).otherwise(0) + F.when(F.col("l") > 5, 10).otherwise(0)
-    return g.select("project_id", F.least(F.greatest(100 - penalty, F.lit(0)), F.lit(100)).cast("long").alias("score"))
+def browser_health() -> Column:
+    """100 less 50 times what the test ratio lacks to 0.8, 10 for each point of complexity over 7 and 20 more for each over 10, 5 for a single language and 10 for more than five; rounded half up, within 0 and 100."""
+    t, c, n = (F.col(k).cast("double") for k in ("test_ratio", "complexity_score", "n_languages"))
+    lost = F.greatest(0.8 - t, F.lit(0.0)) * 50 + F.greatest(c - 7, F.lit(0.0)) * 10 + F.greatest(c - 10, F.lit(0.0)) * 20 + F.when(n == 1, 5).when(n > 5, 10).otherwise(0)
+    return x.clamp(F.floor(F.round(100 - lost, 9) + 0.5), 0, 100).cast("long")
 
 
 def trend(metrics: DataFrame) -> DataFrame:
@@ -110,9 +132,12 @@ def trend(metrics: DataFrame) -> DataFrame:
 
 
 def percentile_rank(rows: DataFrame, value: str, by: str) -> DataFrame:
-    """100 (index of the first equal value + 1) / n within each group."""
+    """100 (index of the first equal value + 1) / n within each group. Distinct values are counted first, so a window sees them and not the rows."""
+    counts = rows.groupBy(by, value).agg(F.count("*").alias("__n"))
     w = Window.partitionBy(by)
-    return rows.withColumn("percentile", F.round(F.rank().over(w.orderBy(value)) * 100.0 / F.count("*").over(w), 6).cast("double"))
+    below = F.sum("__n").over(w.orderBy(value)) - F.col("__n")
+    ranks = counts.withColumn("percentile", F.round((below + 1) * 100.0 / F.sum("__n").over(w), 6).cast("double")).drop("__n")
+    return rows.join(ranks, (rows[by].eqNullSafe(ranks[by])) & (rows[value].eqNullSafe(ranks[value])), "left").drop(ranks[by]).drop(ranks[value])
 
 
 def last_n(rows: DataFrame, by: list[str], order: list, n: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,8 +43,8 @@ def best_by_type(components: DataFrame, kind: str = "type") -> DataFrame:
 
 
 def facets(components: DataFrame) -> DataFrame:
-    """(facet, value, n) over type, language and tags: one pass, one aggregation."""
-    pairs = F.concat(F.array(F.struct(F.lit("type").alias("facet"), F.col("type").alias("value")), F.struct(F.lit("language").alias("facet"), F.col("language").alias("value"))), F.transform(F.array_distinct("tags"), lambda t: F.struct(F.lit("tag").alias("facet"), t.alias("value"))))
+    """(facet, value, n) over type, language, tags and categories: one pass, one aggregation."""
+    pairs = F.concat(F.array(F.struct(F.lit("type").alias("facet"), F.col("type").alias("value")), F.struct(F.lit("language").alias("facet"), F.col("language").alias("value"))), F.transform(F.array_distinct("tags"), lambda t: F.struct(F.lit("tag").alias("facet"), t.alias("value"))), F.transform(F.array_distinct("categories"), lambda t: F.struct(F.lit("category").alias("facet"), t.alias("value"))))
     return components.select(F.explode(pairs).alias("p")).groupBy("p.facet", "p.value").agg(F.count("*").alias("n"))
 
 
@@ -56,7 +57,7 @@ def orderings() -> dict[str, list]:
     name = F.lower("name")
     return {
         "relevance": [F.desc("relevance"), "id"], "name_asc": [name.asc(), "id"], "name_desc": [name.desc(), "id"], "quality_desc": [F.desc("quality"), "id"],
-        "quality_asc": [F.asc("quality"), "id"], "complexity_asc": [F.asc("complexity"), "id"], "complexity_desc": [F.desc("complexity"), "id"], "recent": [F.desc("id")],
+        "quality_asc": [F.asc("quality"), "id"], "complexity_asc": [F.asc("complexity"), "id"], "complexity_desc": [F.desc("complexity"), "id"], "recent": [F.desc("modified"), "id"],
     }
 
 
@@ -75,10 +76,20 @@ def fuzzy_relevance(query: str) -> Column:
     return F.round(F.least(F.lit(1.0), score), 6)
 
 
+def regex_search(components: DataFrame, pattern: str) -> DataFrame:
+    """Rows with a relevance above 0; none for a pattern that is not a regular expression."""
+    jvm = components.sparkSession.sparkContext._jvm
+    try:
+        jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException:
+        return components.withColumn("relevance", F.lit(0.0)).limit(0)
+    return components.withColumn("relevance", regex_relevance(pattern)).where("relevance > 0")
+
+
 def regex_relevance(pattern: str) -> Column:
     r = F.lit(f"(?i){pattern}")
     hit = lambda c, w: F.when(F.rlike(c, r), w).otherwise(0.0)
-    return F.round(hit(F.col("name"), 0.5) + hit(F.col("path"), 0.3) + F.aggregate("tags", F.lit(0.0), lambda s, t: s + hit(t, 0.2)), 6)
+    return F.round(hit(F.col("name"), 0.5) + hit(F.col("path"), 0.3) + F.aggregate(F.concat("tags", "categories"), F.lit(0.0), lambda s, t: s + hit(t, 0.2)), 6)
 
 
 def parse_structural(query: str) -> dict:
@@ -108,9 +119,19 @@ def structural_relevance(criteria: dict) -> Column:
     return F.lit(0.0) if not met else F.round(sum((F.when(c, 1.0).otherwise(0.0) for c in met), F.lit(0.0)) / len(met), 6)
 
 
-def highlights(query: str) -> Column:
+def match_info(query: str) -> list[Column]:
+    """(highlights, reasons): where a query stands in the name, the path, each tag and each category."""
     q = F.lit(query.lower())
-    return x.labels([(F.contains(F.lower("name"), q), "name"), (F.contains(F.lower("path"), q), "path"), (F.exists("tags", lambda t: F.contains(F.lower(t), q)), "tags")])
+    has = lambda c: F.contains(F.lower(c), q)
+    one = lambda c, mark, reason: F.when(has(F.col(c)), F.array(F.struct(F.concat(F.lit(mark), F.col(c)).alias("h"), F.lit(reason).alias("r")))).otherwise(F.array().cast("array<struct<h:string,r:string>>"))
+    each = lambda c, mark: F.transform(F.filter(c, has), lambda t: F.struct(F.concat(F.lit(f"{mark}: "), t).alias("h"), F.concat(F.lit(f"{mark} '"), t, F.lit("' matches query")).alias("r")))
+    found = F.concat(one("name", "Name: ", "Name contains query"), one("path", "Path: ", "Path contains query"), each("tags", "Tag"), each("categories", "Category"))
+    return [F.transform(found, lambda f: f["h"]).alias("highlights"), F.transform(found, lambda f: f["r"]).alias("reasons")]
+
+
+def search_response(matches: DataFrame, order: str = "relevance", offset: int = 0, limit: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(a page of the matches in one of the eight orders, one row with the total, facets); total and facets are those of all matches."""
+    return page(matches, orderings()[order], offset, limit), matches.agg(F.count("*").alias("total")), facets(matches)
 
 
 def completions(components: DataFrame, prefix: str, limit: int = 5, pool: int = 100) -> DataFrame:
@@ -121,11 +142,11 @@ def completions(components: DataFrame, prefix: str, limit: int = 5, pool: int =
 
 def similar(components: DataFrame, target: int, least: float = 0.7, limit: int = 10) -> DataFrame:
     """Components of the target's project that resemble it; weights .2 type, .15 language, .25 tags, .2 categories, .1 name, .1 complexity."""
-    t = components.where(F.col("id") == target).select(*[F.col(c).alias(f"t_{c}") for c in ("id", "project_id", "name", "type", "language", "tags", "complexity")])
+    t = components.where(F.col("id") == target).select(*[F.col(c).alias(f"t_{c}") for c in ("id", "project_id", "name", "type", "language", "tags", "categories", "complexity")])
     pairs = components.join(F.broadcast(t), (F.col("project_id") == F.col("t_project_id")) & (F.col("id") != F.col("t_id")))
     high, low = F.greatest("complexity", "t_complexity"), F.least("complexity", "t_complexity")
     same = lambda c, w: F.when(F.col(c) == F.col(f"t_{c}"), w).otherwise(0.0)
-    score = same("type", 0.2) + same("language", 0.15) + 0.25 * x.jaccard(F.col("tags"), F.col("t_tags")) + same("type", 0.2) + 0.1 * x.string_similarity(F.lower("name"), F.lower("t_name")) + 0.1 * F.when(high == 0, 1.0).otherwise(low / high)
+    score = same("type", 0.2) + same("language", 0.15) + 0.25 * x.jaccard(F.col("tags"), F.col("t_tags")) + 0.2 * x.jaccard(F.col("categories"), F.col("t_categories")) + 0.1 * x.string_similarity(F.lower("name"), F.lower("t_name")) + 0.1 * F.when(high > 0, low / high).otherwise(0.0)
     return pairs.withColumn("similarity", F.round(score, 6)).where(F.col("similarity") >= least).orderBy(F.desc("similarity"), "id").limit(limit).select("id", "similarity")
 
 

@@ -63,6 +63,25 @@ def mentioned_patterns(text: Column) -> Column:
     return F.filter(F.array(*map(F.lit, PATTERN_NAMES)), lambda n: F.contains(t, n))
 
 
+def pattern_hits(text: Column) -> Column:
+    """(name, score) of the patterns that a text names; a name that stands there counts 1."""
+    return F.transform(mentioned_patterns(text), lambda n: F.struct(n.alias("name"), F.lit(1.0).alias("score")))
+
+
+def post_filter(hits: DataFrame, language: str | None = None, attribute: str | None = None, least: float | None = None) -> DataFrame:
+    """Hits of a language, with an attribute, and with a weighted score of at least `least`; what is None does not filter."""
+    keep = [F.coalesce(F.col("language") == language, F.lit(False))] if language is not None else []
+    if attribute is not None:
+        keep.append(F.col(attribute).isNotNull() if attribute in hits.columns else F.lit(False))
+    return hits.where(x.both(keep + ([F.col("score") >= least] if least is not None else [])))
+
+
+def by_confidence(hits: DataFrame, least: float = 0.0, limit: int | None = None) -> DataFrame:
+    """Hits of at least a confidence, the best first, cut at a limit."""
+    out = hits.where(F.col("confidence") >= least).orderBy(F.desc("confidence"), "item_id")
+    return out if limit is None else out.limit(limit)
+
+
 def related(items: DataFrame, target: int, least: float = 0.7, limit: int = 3) -> DataFrame:
     """The items most similar to one of them, itself aside."""
     t = items.where(F.col("item_id") == target).select(F.col("embedding").alias("t"))
@@ -88,6 +107,57 @@ def embedding_text(parts: list[tuple[str, Column, int]]) -> Column:
     return F.concat_ws(" | ", *[F.when(F.length(c) > 0, F.concat(F.lit(f"{label}: "), F.substr(c, F.lit(1), F.lit(cap)))) for label, c, cap in parts])
 
 
+def joined(values: Column, most: int | None = None) -> Column:
+    return F.array_join(values if most is None else F.slice(values, 1, most), " | ")
+
+
+def bars(*parts: Column) -> Column:
+    """Parts that are not null, joined by bars."""
+    return F.concat_ws(" | ", *parts)
+
+
+def labelled(label: str, value: Column) -> Column:
+    return F.when(F.length(value) > 0, F.concat(F.lit(f"{label}: "), value))
+
+
+def code_text(functions: Column, classes: Column, imports: Column, complexity: Column, code: Column) -> Column:
+    """Text of code for its embedding; functions have name and args (as text), classes name and methods."""
+    say = F.concat(
+        F.transform(functions, lambda f: F.concat(F.lit("function "), f["name"], F.lit(" with args "), f["args"])), F.transform(classes, lambda c: F.concat(F.lit("class "), c["name"], F.lit(" with methods "), F.array_join(c["methods"], ", "))),
+        F.transform(imports, lambda i: F.concat(F.lit("import "), i)), F.array(F.concat(F.lit("complexity "), complexity.cast("string")), F.concat(F.lit("code: "), F.substr(code, F.lit(1), F.lit(500)))),
+    )
+    return F.array_join(say, " | ")
+
+
+def functionality_text(code: Column, language: Column) -> Column:
+    """Comment lines and, for Python, names of functions and classes; the start of the code where there are none."""
+    lines = F.filter(F.transform(F.split(code, "\n"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: F.rlike(s, F.lit("^(#|//|\"\"\"|\'\'\')")))
+    named = lambda word, label: F.transform(F.regexp_extract_all(code, F.lit(rf"{word}\s+(\w+)"), F.lit(1)), lambda n: F.concat(F.lit(f"{label} "), n))
+    found = F.concat(lines, F.when(language == "python", F.concat(named("def", "function"), named("class", "class"))).otherwise(F.array().cast("array<string>")))
+    return F.when(F.size(found) > 0, F.array_join(found, " | ")).otherwise(F.substr(code, F.lit(1), F.lit(500)))
+
+
+def documentation_text(content: Column, sections: Column, examples: Column, summary: Column) -> Column:
+    """Summary, ten sections, three examples cut at 100 characters, and the start of the content."""
+    short = F.transform(F.slice(examples, 1, 3), lambda e: F.when(F.length(e) > 100, F.concat(F.substr(e, F.lit(1), F.lit(100)), F.lit("..."))).otherwise(e))
+    return bars(labelled("Summary", summary), F.when(F.size(sections) > 0, F.concat(F.lit("Sections: "), joined(sections, 10))), F.when(F.size(examples) > 0, F.concat(F.lit("Code examples: "), joined(short))), F.concat(F.lit("Content: "), F.substr(content, F.lit(1), F.lit(500))))
+
+
+def usage_text(code: Column, description: Column, kind: Column, context: Column, tags: Column, features: dict[str, Column]) -> Column:
+    """Description, type, context, tags, features (five functions, three classes and imports) and the start of the code; empty parts are left out."""
+    part = lambda label, v, most=None: F.when(F.size(v) > 0, F.concat(F.lit(f"{label}: "), joined(v, most)))
+    return bars(
+        labelled("Description", description), F.concat(F.lit("Type: "), kind), labelled("Context", context), part("Tags", tags), part("Patterns", features["patterns"]), part("Functions", features["functions"], 5), part("Classes", features["classes"], 3),
+        part("Imports", features["imports"], 3), F.concat(F.lit("Code: "), F.substr(code, F.lit(1), F.lit(300))),
+    )
+
+
+def pattern_text(description: Column, intent: Column, motivation: Column, applicability: Column, examples: Column, implementations: Column) -> Column:
+    """The parts of a pattern's description, its examples, and 200 characters of the first implementation."""
+    fixed = [F.concat(F.lit(f"{label}: "), c) for label, c in (("Pattern", description), ("Intent", intent), ("Motivation", motivation), ("Applicability", applicability))]
+    return bars(*fixed, F.when(F.size(examples) > 0, F.concat(F.lit("Examples: "), joined(examples))), F.when(F.size(implementations) > 0, F.concat(F.lit("Implementation: "), F.substr(F.element_at(implementations, 1), F.lit(1), F.lit(200)))))
+
+
 def top_per_kind(hits: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("kind").orderBy(F.desc("score"), "item_id")
     return hits.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")

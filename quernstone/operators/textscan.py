@@ -66,7 +66,8 @@ def rule_table(spark, rules=RULES) -> DataFrame:
 
 
 def flags(pattern: str) -> str:
-    return f"(?im){pattern}"
+    """Case is ignored, ^ and $ match at lines, only \\n ends a line, and classes hold all of Unicode."""
+    return f"(?imdU){pattern}"
 
 
 def scan_counts(code: DataFrame, rules=RULES) -> DataFrame:
@@ -84,10 +85,10 @@ def confidence(rule: Rule) -> float:
 
 
 def scan_positions(code: DataFrame, rules=RULES, around: int = 50) -> DataFrame:
-    """(id, rule, severity, line, column, snippet, confidence) of every match. The text is cut at the matches, so offsets need no Python; lines and columns start at 1."""
+    """(id, rule, category, severity, line, column, snippet, confidence) of every match. The text is cut at the matches, so offsets need no Python; lines and columns start at 1."""
 
     def found(r: Rule):
-        return lambda at: F.struct(F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity"), F.lit(confidence(r)).alias("base"), at.alias("at"))
+        return lambda at: F.struct(F.lit(r.name).alias("rule"), F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity"), F.lit(confidence(r)).alias("base"), at["at"].alias("at"), at["end"].alias("end"))
 
     spans = []
     for r in rules:
@@ -95,18 +96,18 @@ def scan_positions(code: DataFrame, rules=RULES, around: int = 50) -> DataFrame:
             continue
         p = flags(r.pattern)
         pairs = F.arrays_zip(F.split("content", p, -1).alias("gap"), F.regexp_extract_all("content", F.lit(p), F.lit(0)).alias("hit"))
-        step = lambda acc, t: F.struct((acc["at"] + F.length(t["gap"]) + F.length(t["hit"])).alias("at"), F.concat(acc["out"], F.array(acc["at"] + F.length(t["gap"]))).alias("out"))
-        starts = F.aggregate(F.filter(pairs, lambda t: t["hit"].isNotNull()), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), step, lambda a: a["out"])
+        step = lambda acc, t: F.struct((acc["at"] + F.length(t["gap"]) + F.length(t["hit"])).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(t["gap"])).alias("at"), (acc["at"] + F.length(t["gap"]) + F.length(t["hit"])).alias("end")))).alias("out"))
+        starts = F.aggregate(F.filter(pairs, lambda t: t["hit"].isNotNull()), F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,end:int>>").alias("out")), step, lambda a: a["out"])
         wanted = ((F.col("language") == r.language) | F.lit(r.language == "all")) & F.rlike("content", F.lit(p))
-        spans.append(F.transform(F.when(wanted, starts).otherwise(F.array().cast("array<int>")), found(r)))
+        spans.append(F.transform(F.when(wanted, starts).otherwise(F.array().cast("array<struct<at:int,end:int>>")), found(r)))
     rows = code.select("id", "content", F.explode_outer(F.concat(*spans)).alias("s")).where("s IS NOT NULL")
     before = F.substr("content", F.lit(1), F.col("s.at"))
     lines = F.split(before, "\n")
     line = F.concat(F.element_at(lines, -1), F.substring_index(F.substr("content", F.col("s.at") + 1), "\n", 1))
-    comment = F.rlike(line, F.lit(r"^\s*(#|//|/\*|\*)"))
+    comment = F.rlike(line, F.lit(r"^\s*(#|//)"))
     value = x.clamp(F.col("s.base") * F.when(comment, 0.5).otherwise(1.0), 0.1, 1.0)
     first = F.greatest(F.col("s.at") - around, F.lit(0))
-    return rows.select("id", "s.rule", "s.severity", F.size(lines).alias("line"), (F.length(F.element_at(lines, -1)) + 1).alias("column"), F.substr("content", first + 1, F.col("s.at") - first + around).alias("snippet"), F.round(value, 6).alias("confidence"))
+    return rows.select("id", "s.rule", "s.category", "s.severity", F.size(lines).alias("line"), (F.length(F.element_at(lines, -1)) + 1).alias("column"), F.substr("content", first + 1, F.col("s.end") - first + around).alias("snippet"), F.round(value, 6).alias("confidence"))
 
 
 def severity_rank(severity: Column) -> Column:
@@ -126,14 +127,40 @@ def severity_distribution(issues: DataFrame) -> DataFrame:
     return F.broadcast(names).join(issues.groupBy("severity").agg(F.sum("n").alias("n")), "severity", "left").select("severity", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def issue_report(issues: DataFrame, limit: int = 50) -> DataFrame:
+    """(measure, key, n): severities, with zeros, and categories of the issues that the limit shows, and how many there are in all."""
+    shown = top_issues(issues, limit).withColumn("n", F.lit(1))
+    severities = severity_distribution(shown).select(F.lit("severity").alias("measure"), F.col("severity").alias("key"), F.col("n").cast("long").alias("n"))
+    categories = shown.groupBy("category").agg(F.count("*").alias("n")).select(F.lit("category").alias("measure"), F.col("category").alias("key"), "n")
+    return severities.unionByName(categories).unionByName(issues.agg(F.count("*").alias("n")).select(F.lit("total_issues").alias("measure"), F.lit("").alias("key"), "n"))
+
+
 def line_review(code: DataFrame) -> DataFrame:
-    """(id, line_number, issue): lines over 120 characters, TODO and FIXME, and unnamed numbers of 11 and above."""
+    """(id, line_number, issue, severity, category, found): lines over 120 characters, TODO and FIXME, and a row for each unnamed number of two digits or more that is 11 or above."""
     lines = code.select("id", F.posexplode(F.split("content", "\n")).alias("i", "line"))
-    bare = F.trim("line")
-    numbers = F.filter(F.regexp_extract_all("line", F.lit(r"\b([0-9]{2,9})\b"), F.lit(1)), lambda n: n.cast("int") >= 11)
+    bare = F.trim(F.regexp_replace("line", r"^\s+|\s+$", ""))
+    # compared by length first, so that a number may have any length
+    numbers = F.filter(F.regexp_extract_all("line", F.lit(r"\b([0-9]{2,})\b"), F.lit(1)), lambda n: (F.length(F.regexp_replace(n, "^0+", "")) > 2) | (F.regexp_replace(n, "^0+", "").cast("int") > 10))
     named = x.contains_any(F.lower("line"), ["max", "min", "size", "count", "len"])
-    found = x.labels([(F.length(bare) > 120, "long_line"), (F.contains("line", F.lit("TODO")) | F.contains("line", F.lit("FIXME")), "todo"), ((F.size(numbers) > 0) & ~named, "magic_number")])
-    return lines.select("id", (F.col("i") + 1).alias("line_number"), F.explode(found).alias("issue"))
+    row = lambda issue, severity, category, found: F.struct(F.lit(issue).alias("issue"), F.lit(severity).alias("severity"), F.lit(category).alias("category"), found.alias("found"))
+    none = F.array().cast("array<struct<issue:string,severity:string,category:string,found:string>>")
+    hits = F.concat(
+        F.when(F.length(bare) > 120, F.array(row("long_line", "low", "style", F.length(bare).cast("string")))).otherwise(none),
+        F.when(F.contains("line", F.lit("TODO")) | F.contains("line", F.lit("FIXME")), F.array(row("todo", "medium", "maintainability", F.lit("")))).otherwise(none),
+        F.when(~named, F.transform(numbers, lambda n: row("magic_number", "low", "maintainability", n))).otherwise(none),
+    )
+    return lines.select("id", (F.col("i") + 1).alias("line_number"), F.explode(hits).alias("h")).select("id", "line_number", "h.*")
+
+
+def basic_review(code: DataFrame) -> DataFrame:
+    """(id, line_number, issue, severity, category) of lines that call eval or exec."""
+    lines = code.select("id", F.posexplode(F.split("content", "\n")).alias("i", "line")).where(x.contains_any(F.col("line"), ["eval(", "exec("]))
+    return lines.select("id", (F.col("i") + 1).alias("line_number"), F.lit("eval_exec").alias("issue"), F.lit("critical").alias("severity"), F.lit("security").alias("category"))
+
+
+def review_order(issues: DataFrame) -> DataFrame:
+    """Issues by severity, the worst first, then by line."""
+    return issues.orderBy(severity_rank(F.col("severity")).desc(), "line_number", "issue", "id")
 
 
 def security_review(code: DataFrame) -> DataFrame:
@@ -148,10 +175,111 @@ def review_score(issues: DataFrame) -> DataFrame:
     return issues.groupBy("id").agg(F.greatest(100 - F.sum(cost * F.col("n")), F.lit(0)).cast("long").alias("score"))
 
 
-def light_review(text: Column) -> list[Column]:
-    """Lines that branch or loop, and the counts of some plain words."""
-    lines = F.split(text, "\n")
-    return [F.size(F.filter(lines, lambda s: x.contains_any(s, ["if", "for", "while"]))).cast("long").alias("complexity"), *[x.occurrences(text, w).alias(f"n_{w}") for w in ("the", "and", "er")]]
+#: Categories of review issues.
+REVIEW_CATEGORIES = ("style", "logic", "security", "performance", "maintainability", "documentation", "testing")
+
+
+def review_metrics(code: DataFrame, issues: DataFrame) -> DataFrame:
+    """(id, line_count, character_count, issue_count, n_<severity>, n_<category>, complexity_score, functions, classes, imports, score) per file. code has complexities (an array) and the counts of functions, classes and imports;
+    the score is 100 less the issues' costs, 10 for a complexity over 15 or 5 over 10, and 5 for functions without a documentation issue, at least 0."""
+    names = [*SEVERITY_RANK, *REVIEW_CATEGORIES]
+    per = issues.groupBy("id").agg(F.count("*").alias("issue_count"), *[F.count_if(F.col("severity") == s).alias(f"n_{s}") for s in SEVERITY_RANK], *[F.count_if(F.col("category") == c).alias(f"n_{c}") for c in REVIEW_CATEGORIES])
+    out = code.select("id", F.size(F.split("content", "\n")).cast("long").alias("line_count"), F.length("content").cast("long").alias("character_count"), F.aggregate("complexities", F.lit(0).cast("long"), lambda a, b: a + b).alias("complexity_score"), "functions", "classes", "imports").join(per, "id", "left")
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ["issue_count", *[f"n_{n}" for n in names]]})
+    cost = 20 * F.col("n_critical") + 10 * F.col("n_high") + 5 * F.col("n_medium") + 2 * F.col("n_low") + F.when(F.col("complexity_score") > 15, 10).when(F.col("complexity_score") > 10, 5).otherwise(0)
+    cost = cost + F.when((F.col("functions") > 0) & (F.col("n_documentation") == 0), 5).otherwise(0)
+    return out.withColumn("score", F.greatest(100 - cost, F.lit(0)).cast("long"))
+
+
+def light_review(code: DataFrame, security: bool = False) -> DataFrame:
+    """(id, line_count, n_issues, complexity, maintainability, score): lines over 120 characters (low), TODO and FIXME (medium) and, on demand, eval and exec (high); complexity counts lines with if, for or while."""
+    lines = F.split("content", "\n")
+    n = lambda test: F.size(F.filter(lines, test)).cast("long")
+    long = n(lambda s: F.length(F.regexp_replace(s, r"^\s+|\s+$", "")) > 120)
+    todo, evil = n(lambda s: x.contains_any(s, ["TODO", "FIXME"])), n(lambda s: x.contains_any(s, ["eval(", "exec("])) if security else F.lit(0).cast("long")
+    out = code.select("id", F.size(lines).cast("long").alias("line_count"), todo.alias("m"), evil.alias("h"), (long + todo + evil).alias("n_issues"), n(lambda s: x.contains_any(s, ["if", "for", "while"])).alias("complexity"))
+    zero = F.lit(0).cast("long")
+    return out.select("id", "line_count", "n_issues", "complexity", F.greatest(100 - 5 * F.col("n_issues"), zero).alias("maintainability"), F.greatest(100 - 20 * F.col("h") - 10 * F.col("m") - 5 * F.col("n_issues"), zero).alias("score"))
+
+
+def snippet_smells(code: DataFrame) -> DataFrame:
+    """Counts of plain words as signs of nesting, branching, calls, types and error handling, the smells that they show, and patterns that would help."""
+    c = F.col("content")
+    n = lambda *words: sum((x.occurrences(c, w) for w in words), F.lit(0))
+    out = code.select(
+        "id", F.size(F.split(c, "\n")).cast("long").alias("line_count"), n("for", "while").alias("nested_loops"), n("if", "switch").alias("conditional_statements"),
+        (x.occurrences(c, "(") - n("if", "for", "while")).alias("function_calls"), n("class", "struct").alias("class_definitions"), n("try", "catch", "except").alias("exception_handling"),
+    )
+    smells = [(F.col("nested_loops") > 2, "High nesting detected"), (F.col("conditional_statements") > 5, "Complex conditional logic"), ((F.col("exception_handling") == 0) & (F.col("line_count") > 10), "No error handling")]
+    helps = [(F.col("nested_loops") > 1, "Iterator"), (F.col("conditional_statements") > 3, "Strategy"), (F.col("class_definitions") > 0, "Factory")]
+    return out.withColumn("smells", x.labels(smells)).withColumn("patterns", x.labels(helps))
+
+
+#: Secrets that the commit checks look for.
+HOOK_SECRETS = tuple(p for p, _ in SECURITY_LINES[:4])
+
+
+def commit_checks(files: DataFrame, max_bytes: int = 10_000, max_line: int = 120, docstrings: bool = False) -> DataFrame:
+    """(hook, status, n_issues, n_warnings) of the checks on changed files (path, content, checked): quality fails on long lines and warns of large files and TODO, security fails on secrets and eval, documentation on a missing README."""
+    c, lines = F.col("content"), F.split("content", "\n")
+    n = lambda test: F.size(F.filter(lines, test))
+    on = lambda v: F.coalesce(F.sum(F.when(F.col("checked"), v).otherwise(0)), F.lit(0)).cast("long")
+    secrets = sum((F.regexp_count(c, F.lit(f"(?i){p}")) for p in HOOK_SECRETS), F.lit(0)) + x.contains_any(c, ["eval(", "exec("]).cast("int")
+    readme = F.coalesce(F.max(F.rlike(F.lower("path"), F.lit(r"readme\.(md|rst|txt)$")).cast("int")), F.lit(0))
+    bare = F.rlike("path", F.lit(r"\.(py|js|ts|java)$")) & x.contains_any(c, ["def ", "class "]) & ~x.contains_any(c, ['"' * 3, "'" * 3])
+    g = files.agg(
+        on(n(lambda s: F.length(s) > max_line)).alias("long"), on((F.octet_length(c) > max_bytes).cast("int") + n(lambda s: x.contains_any(s, ["TODO", "FIXME"]))).alias("warn"), on(secrets).alias("secrets"),
+        (1 - readme + (F.coalesce(F.sum(bare.cast("int")), F.lit(0)) if docstrings else F.lit(0))).cast("long").alias("docs"),
+    )
+    none = F.lit(0).cast("long")
+    rows = F.array(*[F.struct(F.lit(h).alias("hook"), i.alias("n_issues"), w.alias("n_warnings")) for h, i, w in (("code_quality", F.col("long"), F.col("warn")), ("security_scan", F.col("secrets"), none), ("documentation", F.col("docs"), none))])
+    status = F.when(F.col("n_issues") > 0, "failed").when(F.col("n_warnings") > 0, "warning").otherwise("passed")
+    return g.select(F.explode(rows).alias("r")).select("r.*").select("hook", status.alias("status"), "n_issues", "n_warnings")
+
+
+def needs(c: Column, words: list[str]) -> Column:
+    return x.both([F.contains(c, F.lit(w)) for w in words])
+
+
+#: Per language, (patterns of functions, classes, imports; whether functions and imports are sets; words that together show a code pattern; keywords).
+FEATURES = {
+    "python": (
+        [r"def\s+(\w+)\s*\("], [r"class\s+(\w+)"], [r"import\s+(\w+)", r"from\s+(\w+)"], False, True,
+        [("class", ["class ", "__init__"]), ("method", ["def ", "self"]), ("import", ["import ", "from "]), ("exception_handling", ["try:", "except"]), ("context_manager", ["with "]), ("generator", ["def ", "yield"]), ("decorator", ["@", "def "])],
+        ["def", "class", "import", "from", "try", "except", "with", "if", "else", "for", "while"],
+    ),
+    "javascript": (
+        [r"function\s+(\w+)", r"const\s+(\w+)\s*=\s*\("], [r"class\s+(\w+)"], [r"import.*from\s+['\"]([^'\"]+)['\"]", r"require\(['\"]([^'\"]+)['\"]\)"], True, True,
+        [("class", ["class ", "constructor"]), ("function", ["function "]), ("async", ["async ", "await "]), ("exception_handling", ["try {", "catch"]), ("promise", ["Promise"]), ("api_call", ["fetch("])],
+        ["function", "class", "const", "let", "var", "if", "else", "for", "while", "try", "catch"],
+    ),
+    "java": (
+        [r"(?:public|private|protected)?\s*(?:static)?\s*\w+\s+(\w+)\s*\("], [r"public\s+class\s+(\w+)"], [r"import\s+([^;]+);"], False, False,
+        [("class", ["public class "]), ("interface", ["interface "]), ("inheritance", ["extends "]), ("implementation", ["implements "])], [],
+    ),
+    "other": ([], [], [], False, False, [("class", ["class"]), ("exception_handling", ["try", "catch"])], []),
+}
+
+
+def code_features(code: DataFrame) -> DataFrame:
+    """(id, size_class, functions, classes, imports, patterns, keywords) of snippets; sets are sorted. Over 50 lines is complex, over 20 moderate."""
+    c = F.col("content")
+    language = F.when(F.col("language") == "typescript", "javascript").when(F.col("language").isin(*FEATURES), F.col("language")).otherwise("other")
+    names = lambda ps: F.concat(F.array().cast("array<string>"), *[F.regexp_extract_all(c, F.lit(p), F.lit(1)) for p in ps])
+    of = {}
+    for k, (functions, classes, imports, set_functions, set_imports, patterns, keywords) in FEATURES.items():
+        sets = lambda a, yes: F.array_sort(F.array_distinct(a)) if yes else a
+        tests = [(needs(c, ws), n) for n, ws in patterns]
+        if k == "javascript":
+            tests[1] = (x.contains_any(c, ["function ", "=> "]), "function")
+        if k == "other":
+            tests = [(x.contains_any(c, ["function", "def", "func"]), "function"), tests[0], (x.contains_any(c, ["import", "include"]), "import"), tests[1]]
+        of[k] = F.struct(sets(names(functions), set_functions).alias("functions"), names(classes).alias("classes"), sets(names(imports), set_imports).alias("imports"), x.labels(tests).alias("patterns"), (x.labels([(F.contains(c, F.lit(w)), w) for w in keywords]) if keywords else F.array().cast("array<string>")).alias("keywords"))
+    found = F
+    for k, v in of.items():
+        found = found.when(language == k, v)
+    lines = F.size(F.split(c, "\n"))
+    return code.select("id", F.when(lines > 50, "complex").when(lines > 20, "moderate").otherwise("simple").alias("size_class"), found.otherwise(None).alias("f")).select("id", "size_class", "f.*")
 
 
 def line_counts(text: Column) -> list[Column]:
@@ -180,7 +308,16 @@ def headings(text: Column) -> Column:
 
 
 def code_blocks(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"(?s)```\w*\n(.*?)```"), F.lit(1))
+    """The bodies of fenced blocks."""
+    return F.regexp_extract_all(text, F.lit(r"(?s)```(?:\w+)?\n(.*?)\n```"), F.lit(1))
+
+
+def code_examples(text: Column) -> Column:
+    """Fenced blocks, then inline code of one line, then runs of indented lines; a blank indented line ends a run."""
+    inline = F.filter(F.regexp_extract_all(text, F.lit(r"`([^`]+)`"), F.lit(1)), lambda c: ~F.contains(c, F.lit("\n")))
+    lines = F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^(?: {4}|\t)(.+)$"), F.lit(1)), lambda s: F.when(F.rlike(s, F.lit(r"^\s*$")), F.lit("\x00")).otherwise(s))
+    runs = F.filter(F.transform(F.split(F.array_join(lines, "\n"), "\x00"), lambda s: F.btrim(s, F.lit("\n"))), lambda s: s != "")
+    return F.concat(code_blocks(text), inline, runs)
 
 
 def summary(text: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quernstone.operators import memory as m
+from quernstone.plans.literals import Literal
 from quernstone.plans.registry import query
 from quernstone.sources import views as v
 
@@ -90,8 +91,82 @@ def metadata_merge(spark, sf_dir):
     return merged.select("id", F.col("md")["lang"].alias("lang"), F.col("md")["source"].alias("source"), F.col("md")["rank"].alias("rank"))
 
 
-@query()
+WORDS = "list_filter(string_split_regex(lower({0}), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')"
+MOD = "list_reduce(list_prepend(0::BIGINT, [('0x' || substring(h, 1 + 8 * i, 8))::BIGINT FOR i IN range(8)]), lambda acc, d: (acc * {base} + d) % {dim})"
+
+
+def embedding_sql(rows: str, dim: int = 768) -> str:
+    """(id, embedding) of rows(id, content), the digest taken modulo dim eight hex digits at a time."""
+    mod = MOD.format(base=(1 << 32) % dim, dim=dim)
+    return f"""toks AS (SELECT id, unnest({WORDS.format("content")}) AS w, generate_subscripts({WORDS.format("content")}, 1) - 1 AS i FROM {rows}), digests AS (SELECT id, i, sha256(w) AS h FROM toks), mods AS (SELECT id, i, {mod} AS m FROM digests),
+ slots AS (SELECT id, (m + j * 7919) % {dim} AS slot, sum(1 / (1 + 0.1::DOUBLE * i)) AS w FROM mods, range(8) t(j) GROUP BY ALL), norms AS (SELECT id, sqrt(sum(w * w)) AS n FROM slots GROUP BY id)"""
+
+
+@query(f"WITH rows AS (SELECT item_id AS id, text AS content FROM benchmark), {embedding_sql('rows')} SELECT id, slot::INT AS slot, round((w / n)::FLOAT::DOUBLE, 6) AS weight FROM slots JOIN norms USING (id)")
 def hash_embedding(spark, sf_dir):
-    """Hash embedding of each benchmark item; tests hold it against hashlib."""
+    """The slots of the hash embedding of each benchmark item that are not 0."""
     rows = v.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), m.embed_slots(F.col("text")).alias("slots"))
-    return m.embedding_from_slots(rows)
+    e = m.embedding_from_slots(rows)
+    return e.select("id", F.posexplode("embedding").alias("slot", "w")).where("w <> 0").select("id", "slot", F.round(F.col("w").cast("double"), 6).alias("weight"))
+
+
+BACKLOG = f"""WITH {v.MEMORY}, miss AS (SELECT id, CASE WHEN id % 9 = 0 THEN '  ' ELSE content END AS content FROM memory WHERE is_active AND (embedding IS NULL OR id % 3 = 0) ORDER BY created_seq, id LIMIT 60)"""
+
+
+@query(f"""{BACKLOG}, ok AS (SELECT id, trim(content, ' ') <> '' AS ok FROM miss) SELECT count(*) AS scanned, count_if(ok)::BIGINT AS reindexed, count_if(NOT ok)::BIGINT AS failed, CAST([] AS BIGINT[]) AS candidates, coalesce(list(id ORDER BY id) FILTER (NOT ok), []) AS failures FROM ok
+ UNION ALL SELECT count(*), 0, 0, list(id ORDER BY id), [] FROM miss""")
+def embedding_backfill(spark, sf_dir):
+    """The reports of a run and of a dry run; some contents have no word and fail."""
+    k = F.col("id")
+    rows = v.memory(spark, sf_dir).withColumn("embedding", F.when(k % 3 == 0, F.lit(None)).otherwise(F.col("embedding"))).withColumn("content", F.when(k % 9 == 0, "  ").otherwise(F.col("content")))
+    return m.backfill(rows, 60)[1].unionByName(m.backfill(rows, 60, dry_run=True)[1])
+
+
+@query(f"""WITH {v.MEMORY}, r AS (SELECT id, content, embedding, CASE id % 4 WHEN 0 THEN concat('new ', memory_type) WHEN 1 THEN content END AS fresh FROM memory), c AS (SELECT id, coalesce(fresh, content) AS content, fresh IS NOT NULL AND fresh <> content AS differs, embedding FROM r),
+ d AS (SELECT id, content FROM c WHERE differs), {embedding_sql("d", 64)}, e AS (SELECT id, list(round(w / n, 5) ORDER BY slot) AS weights FROM slots JOIN norms USING (id) GROUP BY id)
+ SELECT c.id, md5(c.content) AS content_md5, CASE WHEN differs THEN weights WHEN embedding IS NOT NULL THEN [round(embedding[1]::DOUBLE, 5)] END AS weights, CASE WHEN c.id % 2 = 0 THEN 'changed' ELSE 'old' END AS tag FROM c LEFT JOIN e USING (id)""")
+def memory_update(spark, sf_dir):
+    """Half of the rows are updated, a quarter with another content."""
+    k = F.col("id")
+    rows = v.memory(spark, sf_dir).withColumn("metadata", F.create_map(F.lit("tag"), F.lit("old")))
+    to = rows.where("id % 4 <> 3").select("id", F.when(k % 4 == 0, F.concat(F.lit("new "), "memory_type")).when(k % 4 == 1, F.col("content")).alias("content"), F.when(k % 2 == 0, F.create_map(F.lit("tag"), F.lit("changed"))).alias("metadata"))
+    out = m.updated(rows, to, 64)
+    fresh = F.transform(F.filter("embedding", lambda w: w != 0), lambda w: F.round(w.cast("double"), 5))
+    return out.select("id", F.md5("content").alias("content_md5"), F.when(k % 4 == 0, fresh).when(F.col("embedding").isNotNull(), F.array(F.round(F.element_at("embedding", 1).cast("double"), 5))).alias("weights"), F.col("metadata")["tag"].alias("tag"))
+
+
+HELD = Literal(((1, "same text", "note", "a", 3, "p1", None, 10, True), (2, "same text", "note", "a", 5, "p1", None, 20, True), (3, "same text", "note", "b", 1, "p2", None, 30, True), (4, "gone", "note", "a", 9, "p1", None, 5, False), (5, "other", "fact", None, 2, None, "x", 1, True)), "id long, content string, memory_type string, agent string, importance int, project string, tag string, updated_seq long, is_active boolean")
+COME = Literal(((11, "  same text ", "note", "a", 7, "p1", "t1"), (12, "same text", "note", "a", 4, "p1", "t2"), (13, "same text", "note", None, 2, None, "t3"), (14, "gone", "note", "a", 1, "p1", None), (15, "gone ", "note", "a", 6, "p1", "t4"), (16, "other", "fact", "c", 8, None, "y"), (17, "same text", "note", "a", 9, "p9", None)), "id long, content string, memory_type string, agent string, importance int, project string, tag string")
+
+
+@query(Literal(
+    (
+        (1, "same text", 3, "p1", None, True), (2, "same text", 7, "p1", "t1", True), (3, "same text", 2, "p2", "t3", True), (4, "gone", 9, "p1", None, False), (5, "other", 2, None, "x", True),
+        (14, "gone", 6, "p1", "t4", True), (16, "other", 8, None, "y", True), (17, "same text", 9, "p9", None, True),
+    ),
+    "id long, content string, importance int, project string, tag string, is_active boolean",
+).select())
+def memory_store(spark, sf_dir):
+    """Rows stored against held ones; the results were worked out by hand."""
+    made = lambda t: t.withColumn("metadata", F.map_filter(F.create_map(F.lit("project_id"), "project", F.lit("tag"), "tag"), lambda k, v: v.isNotNull()))
+    held = made(HELD.df(spark)).withColumn("embedding", F.lit(None).cast("array<float>"))
+    out = m.store(held, made(COME.df(spark)).withColumn("updated_seq", F.lit(100).cast("long")))
+    return out.select("id", "content", "importance", F.col("metadata")["project_id"].alias("project"), F.col("metadata")["tag"].alias("tag"), "is_active")
+
+
+JSONS = Literal(((1, '{"a": 1, "b": {"c": "x", "d": [1, 2]}}'), (2, '{"a": 1, "b": {"c": "y"}}'), (3, '{"a": 2}'), (4, None), (5, '{"b": "x", "t": ["p", "q"], "e": {}}'), (6, "not json")), "id long, metadata string")
+
+
+@query(Literal(((1, "flat"), (2, "flat"), (1, "nested"), (1, "array"), (5, "list"), (5, "empty")), "id long, test string").select())
+def nested_containment(spark, sf_dir):
+    """The results were worked out by hand."""
+    t = JSONS.df(spark)
+    tests = {"flat": {"a": 1}, "nested": {"a": 1, "b": {"c": "x"}}, "array": {"b": {"d": [2]}}, "list": {"t": ["q", "p"]}, "empty": {"e": {}}}
+    return t.select("id", F.explode(F.array(*[F.when(m.contains_metadata("metadata", w), F.lit(n)) for n, w in tests.items()])).alias("test")).where("test IS NOT NULL")
+
+
+@query("SELECT event_id AS id FROM events WHERE event_type ILIKE '%click%' OR event_type ILIKE '%error%' OR props ILIKE '%click%' OR props ILIKE '%error%' ORDER BY value DESC, event_id DESC LIMIT 25")
+def lexical_metadata(spark, sf_dir):
+    """Terms in the content or in the metadata, by importance."""
+    e = v.metric(spark, sf_dir).select("id", F.col("metric").alias("content"), F.col("value").alias("importance"), F.col("id").alias("created_seq"), "props")
+    return m.lexical_search(e.where(F.lit(True)), "click error", 25, "props").select("id")

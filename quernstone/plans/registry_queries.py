@@ -33,7 +33,7 @@ def summary_by_type(spark, sf_dir):
     return v.component(spark, sf_dir).groupBy("project_id", "type").agg(F.count("*").alias("n"), F.round(F.avg("complexity"), 6).alias("avg_complexity"))
 
 
-@query(f"""WITH {C}, f AS (SELECT 'type' AS facet, type AS value FROM component UNION ALL SELECT 'language', language FROM component UNION ALL SELECT 'tag', t FROM (SELECT unnest(list_distinct(tags)) AS t FROM component))
+@query(f"""WITH {C}, f AS (SELECT 'type' AS facet, type AS value FROM component UNION ALL SELECT 'language', language FROM component UNION ALL SELECT 'tag', t FROM (SELECT unnest(list_distinct(tags)) AS t FROM component) UNION ALL SELECT 'category', t FROM (SELECT unnest(list_distinct(categories)) AS t FROM component))
  SELECT facet, value, count(*) AS n FROM f GROUP BY facet, value""")
 def component_facets(spark, sf_dir):
     return r.facets(v.component(spark, sf_dir))
@@ -78,7 +78,7 @@ def exact_relevance(spark, sf_dir):
 
 
 SIM = lambda a, b: f"(CASE WHEN length({a}) = 0 THEN 0 ELSE 1 - levenshtein({a}, {b}) / greatest(length({a}), length({b}))::DOUBLE END)"
-FUZZY_Q = "small blue ring"
+FUZZY_Q = "small gear"
 SQL_FUZZY = f"""round(least(1.0, CASE WHEN {SIM("lower(name)", f"'{FUZZY_Q}'")} > 0.7 THEN 0.8 * {SIM("lower(name)", f"'{FUZZY_Q}'")} ELSE 0 END + CASE WHEN contains(lower(name), '{FUZZY_Q}') THEN 0.6 ELSE 0 END
  + CASE WHEN {SIM("lower(path)", f"'{FUZZY_Q}'")} > 0.6 THEN 0.4 * {SIM("lower(path)", f"'{FUZZY_Q}'")} ELSE 0 END
  + list_sum([CASE WHEN {SIM("lower(t)", f"'{FUZZY_Q}'")} > 0.7 THEN 0.3 * {SIM("lower(t)", f"'{FUZZY_Q}'")} ELSE 0 END for t in tags])), 6)"""
@@ -90,9 +90,10 @@ def fuzzy_relevance(spark, sf_dir):
 
 
 @query(f"""WITH {C}, s AS (SELECT id, round(CASE WHEN regexp_matches(name, '(?i)r[aei]d?') THEN 0.5 ELSE 0 END + CASE WHEN regexp_matches(path, '(?i)r[aei]d?') THEN 0.3 ELSE 0 END
- + list_sum([CASE WHEN regexp_matches(t, '(?i)r[aei]d?') THEN 0.2 ELSE 0 END for t in tags])::DOUBLE, 6)::DOUBLE AS relevance FROM component) SELECT * FROM s WHERE relevance > 0""")
+ + list_sum([CASE WHEN regexp_matches(t, '(?i)r[aei]d?') THEN 0.2 ELSE 0 END for t in list_concat(tags, categories)])::DOUBLE, 6)::DOUBLE AS relevance FROM component) SELECT * FROM s WHERE relevance > 0""")
 def regex_search(spark, sf_dir):
-    return v.component(spark, sf_dir).select("id", r.regex_relevance("r[aei]d?").alias("relevance")).where("relevance > 0")
+    c = v.component(spark, sf_dir)
+    return r.regex_search(c, "r[aei]d?").unionByName(r.regex_search(c, "r[aei")).select("id", "relevance")
 
 
 @query(f"""WITH {C}, k AS (SELECT *, CASE id % 2 WHEN 0 THEN 'class' ELSE 'function' END AS kind, id % 3 = 0 AS is_async FROM component)
@@ -102,10 +103,38 @@ def structural_relevance(spark, sf_dir):
     return k.select("id", r.structural_relevance(r.parse_structural("simple async class")).alias("relevance")).where("relevance > 0")
 
 
-@query(f"""WITH {C} SELECT id, list_filter([CASE WHEN contains(lower(name), 'ring') THEN 'name' END, CASE WHEN contains(lower(path), 'ring') THEN 'path' END,
- CASE WHEN len(list_filter(tags, lambda t: contains(lower(t), 'ring'))) > 0 THEN 'tags' END], lambda v: v IS NOT NULL) AS highlights FROM component""")
+HAS = lambda mark: f"""list_concat(CASE WHEN contains(lower(name), 'ring') THEN [{mark("Name", "name")}] ELSE [] END, CASE WHEN contains(lower(path), 'ring') THEN [{mark("Path", "path")}] ELSE [] END,
+ [{mark("Tag", "t")} FOR t IN tags IF contains(lower(t), 'ring')], [{mark("Category", "t")} FOR t IN categories IF contains(lower(t), 'ring')])"""
+REASON = lambda mark, value: f"'{mark} contains query'" if value != "t" else f"concat('{mark} ' || chr(39), t, chr(39) || ' matches query')"
+
+
+@query(f"""WITH {C} SELECT id, {HAS(lambda m, c: f"concat('{m}: ', {c})")} AS highlights, {HAS(REASON)} AS reasons FROM component""")
 def search_highlights(spark, sf_dir):
-    return v.component(spark, sf_dir).select("id", r.highlights("ring").alias("highlights"))
+    return v.component(spark, sf_dir).select("id", *r.match_info("ring"))
+
+
+def orders_sql() -> str:
+    sql = {
+        "relevance": "relevance DESC, id", "name_asc": "lower(name), id", "name_desc": "lower(name) DESC, id", "quality_desc": "quality DESC, id", "quality_asc": "quality, id", "complexity_asc": "complexity, id",
+        "complexity_desc": "complexity DESC, id", "recent": "modified DESC, id",
+    }
+    return " UNION ALL ".join(f"(SELECT '{k}' AS part, 'id' AS facet, CAST(id AS VARCHAR) AS value, row_number() OVER (ORDER BY {o}) - 5 AS n FROM m ORDER BY {o} LIMIT 7 OFFSET 5)" for k, o in sql.items())
+
+
+@query(f"""WITH {C}, m AS (SELECT *, {SQL_EXACT} AS relevance, maintainability AS quality, id * 7919 % 1000 AS modified FROM component WHERE complexity <= 40), hit AS (SELECT * FROM m WHERE relevance > 0),
+ {orders_sql().join(["o AS (", ")"]).replace("FROM m ORDER", "FROM hit ORDER")}, f AS (SELECT 'type' AS facet, type AS value FROM hit UNION ALL SELECT 'language', language FROM hit UNION ALL SELECT 'tag', t FROM (SELECT unnest(list_distinct(tags)) AS t FROM hit)
+ UNION ALL SELECT 'category', t FROM (SELECT unnest(list_distinct(categories)) AS t FROM hit)) SELECT * FROM o UNION ALL SELECT 'total', '', '', count(*) FROM hit UNION ALL SELECT 'facet', facet, value, count(*) FROM f GROUP BY facet, value""")
+def search_response(spark, sf_dir):
+    """A page in each of the eight orders, with the place of each row, the total and the facets of one search."""
+    c = v.component(spark, sf_dir).withColumns({"relevance": r.exact_relevance("red"), "quality": F.col("maintainability"), "modified": F.col("id") * 7919 % 1000})
+    hit = r.thresholds(c, max_complexity=40).where("relevance > 0")
+    out = None
+    for name in r.orderings():
+        page, total, facets = r.search_response(hit, name, 5, 7)
+        rows = page.agg(F.collect_list("id").alias("ids")).select(F.posexplode("ids").alias("i", "id")).select(F.lit(name).alias("part"), F.lit("id").alias("facet"), F.col("id").cast("string").alias("value"), (F.col("i") + 1).cast("long").alias("n"))
+        out = rows if out is None else out.unionByName(rows)
+    out = out.unionByName(total.select(F.lit("total").alias("part"), F.lit("").alias("facet"), F.lit("").alias("value"), F.col("total").alias("n")))
+    return out.unionByName(facets.select(F.lit("facet").alias("part"), "facet", "value", "n"))
 
 
 @query(f"WITH {C}, f AS (SELECT name FROM component WHERE starts_with(lower(name), 's') ORDER BY name, id LIMIT 100) SELECT DISTINCT name FROM f ORDER BY name LIMIT 5")
@@ -114,7 +143,7 @@ def name_completions(spark, sf_dir):
 
 
 @query(f"""WITH {C}, t AS (SELECT * FROM component WHERE id = 17), p AS (SELECT c.id, round(CASE WHEN c.type = t.type THEN 0.2 ELSE 0 END + CASE WHEN c.language = t.language THEN 0.15 ELSE 0 END
- + 0.25 * len(list_intersect(c.tags, t.tags))::DOUBLE / len(list_distinct(list_concat(c.tags, t.tags))) + CASE WHEN c.type = t.type THEN 0.2 ELSE 0 END
+ + 0.25 * len(list_intersect(c.tags, t.tags))::DOUBLE / len(list_distinct(list_concat(c.tags, t.tags))) + 0.2 * len(list_intersect(c.categories, t.categories))::DOUBLE / len(list_distinct(list_concat(c.categories, t.categories)))
  + 0.1 * {SIM("lower(c.name)", "lower(t.name)")} + 0.1 * least(c.complexity, t.complexity) / greatest(c.complexity, t.complexity), 6) AS similarity
  FROM component c, t WHERE c.project_id = t.project_id AND c.id <> t.id) SELECT * FROM p WHERE similarity >= 0.3 ORDER BY similarity DESC, id LIMIT 10""")
 def component_similarity(spark, sf_dir):
@@ -136,6 +165,7 @@ def bulk_register(spark, sf_dir):
     return r.register(c, incoming)[0].agg(F.count("*").alias("n"), F.sum("complexity").alias("complexity"))
 
 
-@query(f"WITH {C} SELECT id, regexp_matches(path, '(?is)^pro.*/brand#1.*$') AS hit FROM component")
+@query(f"WITH {C} SELECT id, regexp_matches(path, '(?is)^pro.*/brand#1.*$') AS hit, regexp_matches(path, '(?is)^[ps][^tx].*#[2-4].*[0-46-9]$') AS classes FROM component")
 def glob_match(spark, sf_dir):
-    return v.component(spark, sf_dir).select("id", F.rlike("path", F.lit(x.glob_to_regex("pro*/brand#1*"))).alias("hit"))
+    glob = lambda p: F.rlike("path", F.lit(x.glob_to_regex(p)))
+    return v.component(spark, sf_dir).select("id", glob("pro*/brand#1*").alias("hit"), glob("[ps][!tx]*#[2-4]*[!5]").alias("classes"))

@@ -77,6 +77,19 @@ def pattern_components(files: DataFrame, language: str) -> DataFrame:
     return out.withColumn("exports", F.filter(names, lambda n: F.rlike(n, F.lit("^[A-Z]"))) if language == "go" else names)
 
 
+def java_details(files: DataFrame) -> DataFrame:
+    """(path, package, name, line, extends, implements) of each class in Java files; a file without a class gives one row with its package."""
+    t = F.col("text")
+    pattern = r"(?:public\s+)?(?:abstract\s+)?(?:final\s+)?class\s+(\w+)(?:\s+extends\s+(\w+))?(?:\s+implements\s+([^{\s,]+(?:\s*,\s*[^{\s,]+)*))?"
+    group = lambda g: F.regexp_extract_all(t, F.lit(pattern), F.lit(g))
+    zipped = F.arrays_zip(group(0).alias("whole"), group(1).alias("name"), group(2).alias("base"), group(3).alias("faces"), F.slice(F.split(t, pattern, -1), F.lit(1), F.size(group(0))).alias("gap"))
+    package = F.nullif(F.trim(F.regexp_extract(t, r"package\s+([^;]+);", 1)), F.lit(""))
+    # the line of a class is one more than the line feeds in all that lies before it
+    before = lambda i: F.array_join(F.slice(F.transform(zipped, lambda z: F.concat(z["gap"], z["whole"])), F.lit(1), i), "")
+    one = lambda z, i: F.struct(z["name"].alias("name"), (F.length(F.regexp_replace(F.concat(before(i), z["gap"]), r"[^\n]", "")) + 1).alias("line"), F.nullif(z["base"], F.lit("")).alias("extends"), F.filter(F.split(z["faces"], r"\s*,\s*"), lambda f: f != "").alias("implements"))
+    return files.select("path", package.alias("package"), F.explode_outer(F.transform(zipped, one)).alias("c")).select("path", "package", "c.*")
+
+
 def project_metadata(files: DataFrame) -> DataFrame:
     """(name, version, description): package.json before pyproject.toml before the first line of the README."""
     base = F.regexp_extract("path", r"([^/]+)$", 1)

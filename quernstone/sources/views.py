@@ -14,7 +14,7 @@ COMPONENT = """component AS (SELECT p_partkey AS id, p_partkey % 7 AS project_id
  concat(p_type, '/', p_brand, '/', CAST(p_partkey AS VARCHAR)) AS path, CAST(p_size AS DOUBLE) AS complexity, CAST(floor(p_retailprice) AS BIGINT) AS line_count,
  CAST(p_partkey * 37 % 101 AS DOUBLE) AS coverage_pct, CAST(p_partkey * 37 % 101 AS DOUBLE) / 100 AS coverage_frac, CAST(p_partkey * 13 % 101 AS DOUBLE) / 100 AS doc_score,
  CAST(p_partkey * 7 % 101 AS DOUBLE) / 100 AS security_score, CAST(100 - p_size AS DOUBLE) AS maintainability, CAST(p_partkey % 10 AS DOUBLE) / 10 AS debt,
- string_split(p_name, ' ') AS tags FROM part)"""
+ string_split(p_name, ' ') AS tags, [p_type, p_brand] AS categories FROM part)"""
 
 
 def component(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,21 +24,33 @@ def component(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws("/", "p_type", "p_brand", k.cast("string")).alias("path"), d(F.col("p_size")).alias("complexity"), F.floor("p_retailprice").cast("long").alias("line_count"),
         d(k * 37 % 101).alias("coverage_pct"), (d(k * 37 % 101) / 100).alias("coverage_frac"), (d(k * 13 % 101) / 100).alias("doc_score"),
         (d(k * 7 % 101) / 100).alias("security_score"), d(100 - F.col("p_size")).alias("maintainability"), (d(k % 10) / 10).alias("debt"),
-        F.split("p_name", " ").alias("tags"),
+        F.split("p_name", " ").alias("tags"), F.array("p_type", "p_brand").alias("categories"),
     )
 
 
 EDGE = """edge AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b
- ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_orderkey % 20 = 0 AND a.l_partkey <> b.l_partkey)"""
+ ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey)"""
 
 
 def edge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dependencies: consecutive parts of every twentieth order depend on one another."""
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0").select("l_orderkey", "l_linenumber", "l_partkey")
+    """Dependencies: consecutive parts of an order depend on one another."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     nxt = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("dst"))
     return lines.join(nxt, ["l_orderkey", "l_linenumber"]).select(F.col("l_partkey").alias("src"), "dst").where("src <> dst").distinct()
 
 
+LATEST = """latest AS (SELECT DISTINCT src, dst FROM (SELECT l_orderkey, arg_min(l_partkey, l_linenumber * 1000000000000 + l_partkey) AS src, arg_max(l_partkey, l_linenumber * 1000000000000 + l_partkey) AS dst FROM lineitem GROUP BY 1)
+ JOIN (SELECT o_custkey, arg_max(o_orderkey, struct_pack(d := o_orderdate, k := o_orderkey)) AS l_orderkey FROM orders JOIN (SELECT DISTINCT l_orderkey FROM lineitem) ON o_orderkey = l_orderkey GROUP BY 1) USING (l_orderkey) WHERE src <> dst)"""
+
+
+def latest_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dependencies of the newest state: the first part of each customer's newest order depends on its last. A sparse graph with long chains and some cycles; `edge` has one large component."""
+    at = F.struct("l_linenumber", "l_partkey")  # line numbers repeat
+    ends = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min(at)["l_partkey"].alias("src"), F.max(at)["l_partkey"].alias("dst"))
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", F.col("o_orderkey").alias("l_orderkey")).join(ends, "l_orderkey")
+    return orders.groupBy("o_custkey").agg(F.max_by(F.struct("src", "dst"), F.struct("o_orderdate", "l_orderkey")).alias("e")).select("e.*").where("src <> dst").distinct()
+
+
 MEMORY = """memory AS (SELECT d.doc_id AS id, d.text AS content, d.lang AS memory_type, d.source AS agent, CAST(1 + d.doc_id % 10 AS BIGINT) AS importance,
  coalesce(l.quality, 1) = 1 AS is_active, d.doc_id % 7 AS project_id, d.doc_id AS created_seq, e.embedding AS embedding, e.label AS label
  FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id LEFT JOIN labels l ON d.doc_id = l.doc_id)"""

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,12 +46,16 @@ def run_to_table(stream: DataFrame, path: str, mode: str = "append") -> DataFram
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
 
 
-def run_complete(stream: DataFrame, name: str | None = None) -> DataFrame:
-    """All groups, also those whose window is still open, in a memory table; for results of a known small size."""
-    name = name or f"stream_{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_complete(stream: DataFrame, path: str) -> DataFrame:
+    """All groups, also those whose window is still open. Each batch writes its result as files, and the last one is read; nothing goes through the driver."""
+    batches = []
+
+    def keep(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/out/{batch}")
+        batches.append(batch)
+
+    stream.writeStream.foreachBatch(keep).outputMode("complete").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out/{batches[-1]}")
 
 
 def sync_graph(changes: DataFrame, nodes: SnapshotTable, edges: SnapshotTable, rebuilt, checkpoint: str):
