@@ -18,24 +18,36 @@ def cut(text):
 
 def brute(rows):
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    c, pairs = Counter(), Counter()
+    c, pairs, triples = Counter(), Counter(), Counter()
     for i, t in rows:
         if not held(i):
             w = cut(t)
             c.update(w[1:])
             pairs.update(zip(w, w[1:], strict=False))
+            triples.update(zip(w, w[1:], w[2:], strict=False))
     n, v = sum(c.values()), len(c)
     u = (sum(x == 1 for x in c.values()) + 1) / (n + 2)
+    seen = lambda h: pairs[h] if len(h) == 2 else c[" e"] if h == (" s",) else c[h[0]]
+    mass = lambda k: lm_scoring.STRENGTH * max(k, 1) ** lm_scoring.GROWTH
     out = []
     for i, t in rows:
         w = cut(t)
         base = score = 0.0
-        for h, x in zip(w, w[1:], strict=False):
+        state = (" s",)
+        for x in w[1:]:
             base += math.log10((c[x] + 1) / (n + v + 1))
+            # the automaton, arc by arc: follow failure arcs until the state has an arc for x
+            at = state
+            while at and not (triples[(*at, x)] if len(at) == 2 else pairs[(*at, x)]):
+                score += math.log10(mass(seen(at)) / (seen(at) + mass(seen(at))))
+                at = at[1:]
             p = (1 - u) * c[x] / n if c[x] else u
-            ch = c[" e"] if h == " s" else c[h]
-            m = lm_scoring.STRENGTH * max(ch, 1) ** lm_scoring.GROWTH
-            score += math.log10((pairs[h, x] + m * p) / (ch + m))
+            if at:
+                p = (pairs[at[-1], x] + mass(seen(at[-1:])) * p) / (seen(at[-1:]) + mass(seen(at[-1:])))
+            if len(at) == 2:
+                p = (triples[(*at, x)] + mass(seen(at)) * p) / (seen(at) + mass(seen(at)))
+            score += math.log10(p)
+            state = (state[-1], x) if pairs[state[-1], x] >= lm_scoring.STATE_MIN else (x,)
         out.append((i, held(i), len(w) - 1, sum(c[x] > 0 for x in w[1:]), n, base, score))
     return out
 
@@ -77,4 +89,7 @@ def test_distributions_sum_to_one():
     assert (10 ** a.root[outcomes]).sum() == pytest.approx(1)
     seen = {2: [1, 2, 0, 1, 1, 0], 1: [0, 3, 0, 0, 0, 0], 6: [0] * 6}
     for h, n in seen.items():
-        assert (10 ** a.weights(np.full(6, h), outcomes, np.array(n, float))).sum() == pytest.approx(1)
+        two = a.words_after(np.full(6, h), outcomes, np.array(n, float))
+        assert (10**two).sum() == pytest.approx(1)
+        for context, three in ((9, [2, 0, 0, 7, 0, 0]), (8, [0, 8, 0, 0, 0, 0]), (3, [0, 0, 0, 0, 0, 0])):
+            assert (10 ** a.pairs_after(np.full(6, float(context)), np.array(three, float), two)).sum() == pytest.approx(1)
