@@ -1,8 +1,8 @@
 """Documents dealt into chunks, so that a vocabulary is asked for once per chunk and word, not once per occurrence.
 
-The chunk of a row follows from a hash of its id and text, and of its place in its part of the input modulo SALTS, so that rows that
-repeat many times do not share one chunk; results do not depend on it. The number of chunks follows from the measured
-bytes of the texts; one text is never cut, so a chunk is CHUNK_BYTES or its longest text. Texts travel compressed. Both users of a chunked table (the one that lists what a chunk needs and the one
+The chunk of a row follows from a hash of its id and text, so it survives retries, does not depend on the scan and is the same in each job that
+deals the table. Rows that repeat with id and text share a chunk. The number of chunks follows from the measured bytes of
+the texts; one text is never cut, so a chunk is CHUNK_BYTES or its longest text. Texts travel compressed. Both users of a chunked table (the one that lists what a chunk needs and the one
 that puts the answers to use) read the same exchange.
 """
 
@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from quernstone.llm.common import text_bytes
 
 CHUNK_BYTES = 4 << 20
-SALTS = 64
 
 
 @lru_cache(1)
@@ -59,7 +58,7 @@ def chunked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", chunk_b
         return pd.Series([pack(t.encode("utf-8", "surrogatepass")) for t in texts])
 
     body = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.pmod(F.xxhash64(id_col, text, F.monotonically_increasing_id() % SALTS), F.lit(k)).alias("chunk"), F.col(id_col).alias("id"), squeezed(body).alias("z"), *(more or [])), k
+    return docs.select(F.pmod(F.xxhash64(id_col, text), F.lit(k)).alias("chunk"), F.col(id_col).alias("id"), squeezed(body).alias("z"), *(more or [])), k
 
 
 def dealt(words, buckets: int) -> list[list[bytes]]:
