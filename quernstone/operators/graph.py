@@ -78,12 +78,43 @@ def resolve(deps: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def resolve_contains(deps: DataFrame, components: DataFrame) -> DataFrame:
-    """The last two stages for what resolve() left: either name ends with the other, then either path holds the other. A theta join within a project, for a small rest."""
-    c = components.select("project_id", F.col("id").alias("dst"), "name", "path")
-    ends = F.endswith("name", F.col("dep")) | F.endswith("dep", F.col("name"))
-    holds = F.contains("path", F.col("dep")) | F.contains("dep", F.col("path"))
-    hits = deps.join(c, "project_id").where("src <> dst").where(ends | holds)
-    return hits.groupBy("src", "dep").agg(F.min(F.struct(F.when(ends, 3).otherwise(4).alias("stage"), "dst")).alias("b")).select("src", "dep", "b.dst", "b.stage")
+    """(src, dep, dst, stage) for what resolve() left: either name ends with the other (3), else either path or string holds the other (4); among hits the earliest stage wins, then the smallest id.
+
+    All are equi-joins: on the ends of a text, and for holding on a piece of up to three characters, which is checked after it. Empty texts hold nothing."""
+    text = lambda c: F.col(c) != ""
+    ends = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substr(F.col(c), i))
+    grams = lambda c: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.substr(F.col(c), i, n)))))
+    head = lambda c: F.substr(F.col(c), F.lit(1), F.lit(3))
+    d, c = deps.where(text("dep")).select("project_id", "src", "dep"), components.select("project_id", F.col("id").alias("dst"), "name", "path")
+    named, placed = c.where(text("name")), c.where(text("path"))
+    both = ["project_id", "key"]
+    last = d.withColumn("key", F.col("dep")).join(named.select("project_id", "dst", F.explode(ends("name")).alias("key")), both).unionByName(d.withColumn("key", F.explode(ends("dep"))).join(named.select("project_id", "dst", F.col("name").alias("key")), both))
+    held = d.withColumn("key", head("dep")).join(placed.select("project_id", "dst", "path", F.explode(grams("path")).alias("key")), both).where(F.contains("path", F.col("dep")))
+    holds = d.withColumn("key", F.explode(grams("dep"))).join(placed.select("project_id", "dst", "path", head("path").alias("key")), both).where(F.contains("dep", F.col("path")))
+    row = lambda t, stage: t.where("src <> dst").select("src", "dep", F.struct(F.lit(stage).alias("stage"), "dst").alias("b"))
+    hits = row(last, 3).unionByName(row(held, 4)).unionByName(row(holds, 4))
+    return hits.groupBy("src", "dep").agg(F.min("b").alias("b")).select("src", "dep", "b.dst", "b.stage")
+
+
+def resolve_all(deps: DataFrame, components: DataFrame) -> DataFrame:
+    """(src, dep, dst, stage) by all five stages."""
+    found = resolve(deps, components)
+    return found.unionByName(resolve_contains(deps.join(found.select("src", "dep"), ["src", "dep"], "left_anti"), components))
+
+
+def build_edges(deps: DataFrame, components: DataFrame) -> DataFrame:
+    """(src, dst, type, weight), one row for each of (src, dst, type): resolved dependencies; of equal ones the last string's weight counts."""
+    exports = components.select(F.col("id").alias("dst"), "exports")
+    found = resolve_all(deps, components).join(exports, "dst").select("src", "dst", "dep", edge_type(F.col("dep")).alias("type"), edge_weight(F.col("dep"), F.col("exports")).alias("weight"))
+    return found.groupBy("src", "dst", "type").agg(F.max_by("weight", "dep").alias("weight"))
+
+
+def changed_graph(deps: DataFrame, components: DataFrame, changed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of an incremental build: the changed components, and the edges with a changed end, resolved over the whole project."""
+    ids = changed.select("id").distinct()
+    e = build_edges(deps, components)
+    touched = e.join(ids, e["src"] == ids["id"], "left_semi").unionByName(e.join(ids, e["dst"] == ids["id"], "left_semi")).distinct()
+    return components.join(ids, "id", "left_semi"), touched
 
 
 def dependents(edges: DataFrame) -> DataFrame:

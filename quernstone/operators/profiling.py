@@ -290,11 +290,34 @@ def distribution_text(components: DataFrame, most: int = 8) -> DataFrame:
     return top.groupBy("project_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "type", "n"))), lambda s: F.concat_ws(":", s["type"], s["n"].cast("string"))), ",").alias("distribution"))
 
 
+#: Type, importance and text of the memories of a project, in order; $ marks a value.
+MEMORY_TEXTS = (
+    ("project_summary", 9, "Project $name ($id) at $path. Architecture=$architecture. Languages=$languages. Frameworks=$frameworks. Databases=$databases. BuildTools=$build_tools. Files=$files. Lines=$lines. Components=$components. Documentation=$documentation."),
+    ("project_architecture", 8, "Architecture profile for $name: type=$architecture; languages=$languages; frameworks=$frameworks; component_distribution=$distribution; metadata_keys=$metadata_keys."),
+    ("database_structure", 7, "Database profile for $name: detected_databases=$databases; build_tools=$build_tools; architecture=$architecture. If detected_databases=none then no explicit database layer was found during static analysis."),
+    ("service_architecture", 7, "Service/component profile for $name: component_distribution=$distribution; total_component_types=$types; total_components=$components; languages=$languages; frameworks=$frameworks."),
+)
+
+
 def project_memories(summary: DataFrame) -> DataFrame:
-    """Four memory texts per project, in a fixed order, from a summary row."""
-    texts = [("overview", F.format_string("Project %s at %s has %d files and %d lines.", "name", "path", "total_files", "total_lines")), ("architecture", F.concat(F.lit("Architecture: "), F.coalesce("architecture_type", F.lit("unknown")))), ("stack", F.concat(F.lit("Languages: "), F.concat_ws(", ", "languages"), F.lit("; frameworks: "), F.concat_ws(", ", "frameworks"))), ("components", F.concat(F.lit("Components: "), F.coalesce("distribution", F.lit("none"))))]
-    rows = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(k).alias("kind"), t.alias("content")) for i, (k, t) in enumerate(texts)])
-    return summary.select("id", F.explode(rows).alias("m")).select("id", "m.ord", "m.kind", "m.content")
+    """(id, ord, memory_type, importance, content): four memory texts per project, in a fixed order, from a summary row: name, path, architecture_type, languages, frameworks, databases, build_tools (arrays), total_files, total_lines, documentation_count,
+    components (map of type to count) and metadata (map). What is missing reads unknown, none or 0; the distribution has the eight most frequent types."""
+    import re
+
+    unknown = lambda c: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("unknown"))
+    listed = lambda a: F.coalesce(F.nullif(F.array_join(F.filter(F.transform(a, lambda v: F.trim(v)), lambda v: v != ""), ", "), F.lit("")), F.lit("none"))
+    number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
+    types = F.coalesce("components", F.create_map().cast("map<string,long>"))
+    some = F.filter(F.map_entries(types), lambda e: e["value"] > 0)
+    top = F.slice(F.array_sort(F.transform(some, lambda e: F.struct((-e["value"]).alias("o"), e["key"].alias("key")))), 1, 8)
+    values = {
+        "name": unknown("name"), "id": unknown("id"), "path": unknown("path"), "architecture": unknown("architecture_type"), **{c: listed(F.col(c)) for c in ("languages", "frameworks", "databases", "build_tools")},
+        "files": number("total_files"), "lines": number("total_lines"), "documentation": number("documentation_count"), "types": F.size(types).cast("string"), "components": F.aggregate(some, F.lit(0).cast("long"), lambda n, e: n + e["value"]).cast("string"),
+        "distribution": listed(F.transform(top, lambda t: F.concat(t["key"], F.lit(":"), (-t["o"]).cast("string")))), "metadata_keys": listed(F.array_sort(F.map_keys(F.coalesce("metadata", F.create_map().cast("map<string,string>"))))),
+    }
+    text = lambda form: F.concat(*[values[p] if i % 2 else F.lit(p) for i, p in enumerate(re.split(r"\$(\w+)", form))])
+    rows = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(k).alias("memory_type"), F.lit(n).alias("importance"), text(form).alias("content")) for i, (k, n, form) in enumerate(MEMORY_TEXTS)])
+    return summary.select("id", F.explode(rows).alias("m")).select("id", "m.*")
 
 
 def file_statistics(files: DataFrame) -> DataFrame:

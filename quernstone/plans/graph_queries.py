@@ -42,6 +42,53 @@ def edge_resolution(spark, sf_dir):
     return g.resolve(e.join(a, "src").join(b, "dst").select("project_id", "src", "dep"), c)
 
 
+ODD = f"""{CL}, deps AS (SELECT DISTINCT a.project_id, e.src, CASE e.dst % 5 WHEN 0 THEN concat('import x', b.name) WHEN 1 THEN substring(b.name, 3) WHEN 2 THEN concat(b.language, '/', e.dst) WHEN 3 THEN concat('base://', b.path, '#') ELSE b.name END AS dep FROM latest e JOIN component a ON a.id = e.src JOIN component b ON b.id = e.dst)"""
+FIVE = f"""{ODD}, cand AS (SELECT d.src, d.dep, c.id AS dst, CASE WHEN c.name = d.dep THEN 0 WHEN c.path = d.dep THEN 1 WHEN c.name = string_split(d.dep, '.')[-1] THEN 2 WHEN ends_with(c.name, d.dep) OR ends_with(d.dep, c.name) THEN 3
+ WHEN contains(c.path, d.dep) OR contains(d.dep, c.path) THEN 4 END AS stage FROM deps d JOIN component c USING (project_id)), early AS (SELECT src, dep, stage, max(dst) AS dst FROM cand WHERE stage < 3 GROUP BY ALL),
+ hit AS (SELECT *, row_number() OVER (PARTITION BY src, dep ORDER BY stage, dst) AS r FROM (SELECT * FROM early WHERE src <> dst UNION ALL SELECT src, dep, stage, dst FROM cand WHERE stage >= 3 AND src <> dst)), found AS (SELECT src, dep, dst, stage FROM hit WHERE r = 1)"""
+
+
+def odd_strings(c, e):
+    k = F.col("dst") % 5
+    texts = [F.concat(F.lit("import x"), "name"), F.substr("name", F.lit(3)), F.concat_ws("/", "language", F.col("dst").cast("string")), F.concat(F.lit("base://"), "path", F.lit("#")), F.col("name")]
+    dep = F
+    for i, t in enumerate(texts):
+        dep = dep.when(k == i, t)
+    b = c.select(F.col("id").alias("dst"), "name", "language", "path")
+    return e.join(b, "dst").join(c.select(F.col("id").alias("src"), "project_id"), "src").select("project_id", "src", dep.otherwise(None).alias("dep")).distinct()
+
+
+@query(f"WITH {FIVE} SELECT * FROM found")
+def edge_resolution_all(spark, sf_dir):
+    """All five stages."""
+    c, e = latest(spark, sf_dir)
+    return g.resolve_all(odd_strings(c, e), c)
+
+
+TYPE_OF = "CASE WHEN regexp_matches(lower(dep), 'extends|implements|inherits|super|base') THEN 'inheritance' WHEN regexp_matches(lower(dep), 'import|require|include|using') THEN 'import' WHEN regexp_matches(lower(dep), 'realizes|fulfills') THEN 'implementation' ELSE 'reference' END"
+BUILT = f"""{FIVE}, typed AS (SELECT f.src, f.dst, f.dep, {TYPE_OF} AS type, round(least(2.0, 1 + CASE WHEN list_contains(c.tags, f.dep) THEN 0.5 ELSE 0 END + CASE WHEN regexp_matches(lower(f.dep), 'os|sys|json|datetime|pathlib') THEN 0.2 ELSE 0 END + CASE WHEN contains(f.dep, '.') THEN 0 ELSE 0.3 END)::DOUBLE, 6) AS weight
+ FROM found f JOIN component c ON c.id = f.dst), built AS (SELECT src, dst, type, arg_max(weight, dep) AS weight FROM typed GROUP BY ALL)"""
+
+
+@query(f"WITH {BUILT} SELECT * FROM built")
+def graph_build(spark, sf_dir):
+    c, e = latest(spark, sf_dir)
+    return g.build_edges(odd_strings(c, e), c.withColumn("exports", F.col("tags")))
+
+
+@query(f"WITH {BUILT} SELECT * FROM built WHERE src % 10 = 0 OR dst % 10 = 0")
+def incremental_build(spark, sf_dir):
+    """The edges of an incremental build after every tenth component changed."""
+    c, e = latest(spark, sf_dir)
+    return g.changed_graph(odd_strings(c, e), c.withColumn("exports", F.col("tags")), c.where("id % 10 = 0"))[1]
+
+
+@query(f"WITH {v.COMPONENT} SELECT id FROM component WHERE list_contains(tags, 'red')")
+def array_membership(spark, sf_dir):
+    """Components whose list of names has one."""
+    return v.component(spark, sf_dir).where(F.array_contains("tags", "red")).select("id")
+
+
 @query("""SELECT p_partkey AS id, CASE WHEN regexp_matches(lower(p_name), 'extends|implements|inherits|super|base') THEN 'inheritance' WHEN regexp_matches(lower(p_name), 'import|require|include|using') THEN 'import'
  WHEN regexp_matches(lower(p_name), 'realizes|fulfills') THEN 'implementation' ELSE 'reference' END AS edge_type,
  round(least(2.0, 1 + CASE WHEN list_contains(string_split(p_name, ' '), p_name) THEN 0.5 ELSE 0 END + CASE WHEN regexp_matches(lower(p_name), 'os|sys|json|datetime|pathlib') THEN 0.2 ELSE 0 END + CASE WHEN contains(p_name, '.') THEN 0 ELSE 0.3 END)::DOUBLE, 6) AS weight FROM part""")

@@ -209,7 +209,22 @@ def stack_recommendations(spark, sf_dir):
     return p.stack_recommendations(p.stack_profile(STACK.df(spark)))
 
 
-@query(Literal(((1, 0, "overview", "Project Shop at /s has 10 files and 200 lines."), (1, 1, "architecture", "Architecture: unknown"), (1, 2, "stack", "Languages: go, python; frameworks: "), (1, 3, "components", "Components: class:3")), "id long, ord int, kind string, content string").select())
+@query(Literal(
+    (
+        (1, 0, "project_summary", 9, "Project Shop (1) at /s. Architecture=layered. Languages=go, python. Frameworks=none. Databases=redis. BuildTools=none. Files=10. Lines=200. Components=5. Documentation=2."),
+        (1, 1, "project_architecture", 8, "Architecture profile for Shop: type=layered; languages=go, python; frameworks=none; component_distribution=function:3, class:2; metadata_keys=a, b."),
+        (1, 2, "database_structure", 7, "Database profile for Shop: detected_databases=redis; build_tools=none; architecture=layered. If detected_databases=none then no explicit database layer was found during static analysis."),
+        (1, 3, "service_architecture", 7, "Service/component profile for Shop: component_distribution=function:3, class:2; total_component_types=3; total_components=5; languages=go, python; frameworks=none."),
+        (2, 0, "project_summary", 9, "Project unknown (2) at unknown. Architecture=unknown. Languages=none. Frameworks=none. Databases=none. BuildTools=none. Files=0. Lines=0. Components=0. Documentation=0."),
+        (2, 1, "project_architecture", 8, "Architecture profile for unknown: type=unknown; languages=none; frameworks=none; component_distribution=none; metadata_keys=none."),
+        (2, 2, "database_structure", 7, "Database profile for unknown: detected_databases=none; build_tools=none; architecture=unknown. If detected_databases=none then no explicit database layer was found during static analysis."),
+        (2, 3, "service_architecture", 7, "Service/component profile for unknown: component_distribution=none; total_component_types=0; total_components=0; languages=none; frameworks=none."),
+    ),
+    "id long, ord int, memory_type string, importance int, content string",
+).select())
 def project_memories(spark, sf_dir):
-    row = spark.createDataFrame([(1, "Shop", "/s", 10, 200, None, ["go", "python"], [], "class:3")], "id long, name string, path string, total_files long, total_lines long, architecture_type string, languages array<string>, frameworks array<string>, distribution string")
-    return p.project_memories(row)
+    return p.project_memories(spark.createDataFrame(SUMMARIES, SUMMARY))
+
+
+SUMMARY = "id long, name string, path string, architecture_type string, languages array<string>, frameworks array<string>, databases array<string>, build_tools array<string>, total_files long, total_lines long, documentation_count long, components map<string,long>, metadata map<string,string>"
+SUMMARIES = [(1, "Shop", "/s", "layered", ["go", " python", " "], [], ["redis"], None, 10, 200, 2, {"class": 2, "function": 3, "file": 0}, {"b": "1", "a": None}), (2, *[None] * 12)]

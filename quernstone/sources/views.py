@@ -39,16 +39,19 @@ def edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(nxt, ["l_orderkey", "l_linenumber"]).select(F.col("l_partkey").alias("src"), "dst").where("src <> dst").distinct()
 
 
-LATEST = """latest AS (SELECT DISTINCT src, dst FROM (SELECT l_orderkey, arg_min(l_partkey, l_linenumber * 1000000000000 + l_partkey) AS src, arg_max(l_partkey, l_linenumber * 1000000000000 + l_partkey) AS dst FROM lineitem GROUP BY 1)
- JOIN (SELECT o_custkey, arg_max(o_orderkey, struct_pack(d := o_orderdate, k := o_orderkey)) AS l_orderkey FROM orders JOIN (SELECT DISTINCT l_orderkey FROM lineitem) ON o_orderkey = l_orderkey GROUP BY 1) USING (l_orderkey) WHERE src <> dst)"""
+LATEST = """newest AS (SELECT src, dst, l_orderkey FROM (SELECT l_orderkey, arg_min(l_partkey, l_linenumber * 1000000000000 + l_partkey) AS src, arg_max(l_partkey, l_linenumber * 1000000000000 + l_partkey) AS dst FROM lineitem GROUP BY 1)
+ JOIN (SELECT o_custkey, arg_max(o_orderkey, struct_pack(d := o_orderdate, k := o_orderkey)) AS l_orderkey FROM orders JOIN (SELECT DISTINCT l_orderkey FROM lineitem) ON o_orderkey = l_orderkey GROUP BY 1) USING (l_orderkey) WHERE src <> dst),
+ latest AS (SELECT src, dst FROM newest UNION SELECT dst, src FROM newest JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT')"""
 
 
 def latest_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dependencies of the newest state: the first part of each customer's newest order depends on its last. A sparse graph with long chains and some cycles; `edge` has one large component."""
+    """Dependencies of the newest state: the first part of each customer's newest order depends on its last, and in urgent orders the last on the first too. A sparse graph with long chains and many small cycles; `edge` has one large component."""
     at = F.struct("l_linenumber", "l_partkey")  # line numbers repeat
     ends = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min(at)["l_partkey"].alias("src"), F.max(at)["l_partkey"].alias("dst"))
-    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", F.col("o_orderkey").alias("l_orderkey")).join(ends, "l_orderkey")
-    return orders.groupBy("o_custkey").agg(F.max_by(F.struct("src", "dst"), F.struct("o_orderdate", "l_orderkey")).alias("e")).select("e.*").where("src <> dst").distinct()
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderpriority", F.col("o_orderkey").alias("l_orderkey")).join(ends, "l_orderkey")
+    newest = orders.groupBy("o_custkey").agg(F.max_by(F.struct("src", "dst", "o_orderpriority"), F.struct("o_orderdate", "l_orderkey")).alias("e")).select("e.*").where("src <> dst")
+    ways = F.when(F.col("o_orderpriority") == "1-URGENT", F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).otherwise(F.array(F.struct("src", "dst")))
+    return newest.select(F.explode(ways).alias("e")).select("e.*").distinct()
 
 
 MEMORY = """memory AS (SELECT d.doc_id AS id, d.text AS content, d.lang AS memory_type, d.source AS agent, CAST(1 + d.doc_id % 10 AS BIGINT) AS importance,

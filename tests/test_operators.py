@@ -209,11 +209,6 @@ def test_framework_and_database_detection(spark):
     assert profiling.overall_confidence(tech.limit(0)).first().confidence is None
 
 
-def test_project_memories_come_in_order(spark):
-    s = spark.createDataFrame([(1, "p", "/p", 3, 10, None, ["go"], [], None)], "id long, name string, path string, total_files long, total_lines long, architecture_type string, languages array<string>, frameworks array<string>, distribution string")
-    assert [r.kind for r in profiling.project_memories(s).orderBy("ord").collect()] == ["overview", "architecture", "stack", "components"]
-
-
 def test_structural_query():
     assert registry.parse_structural("Public abstract async CLASS, simple and complex") == {"type": "class", "access_level": "public", "is_abstract": True, "is_async": True, "max_complexity": 5}
 
