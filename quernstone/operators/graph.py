@@ -245,11 +245,68 @@ def components_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component, on_cycle) of every node, for graphs of any size: component is the smallest node of the strongly connected component."""
     from quernstone.operators.kernels import strongly_connected_large
 
+    if is_small(nodes, edges):
+        return small_levels(nodes, edges).select("id", "component", "on_cycle")
     loops = edges.where("src = dst").select(F.col("src").alias("id"), F.lit(True).alias("loop")).distinct()
     out = nodes.select("id").distinct().join(strongly_connected_large(edges), "id", "left").join(loops, "id", "left")
     return out.select("id", F.coalesce("component", "id").alias("component"), (F.col("component").isNotNull() | F.col("loop").isNotNull()).alias("on_cycle"))
 
 
+#: Nodes and edges up to which a graph is analysed by one task, some tens of MB; above, by frontier loops over tables.
+SMALL_GRAPH = 500_000
+
+
+def is_small(nodes: DataFrame, edges: DataFrame) -> bool:
+    """Whether nodes and edges are no more than SMALL_GRAPH; no more rows than that are counted."""
+    rows = nodes.select(F.lit(1)).limit(SMALL_GRAPH + 1).unionByName(edges.select(F.lit(1)).limit(SMALL_GRAPH + 1))
+    return rows.count() <= SMALL_GRAPH
+
+
+def small_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """levels() of a graph of bounded size, by one task."""
+    none = F.lit(None).cast("long")
+    rows = nodes.select(F.col("id").cast("long").alias("src"), none.alias("dst")).unionByName(edges.select(F.col("src").cast("long"), F.col("dst").cast("long")))
+
+    def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
+        from quernstone.operators.kernels import analyse
+
+        pairs, ids = df[df["dst"].notna()].astype("int64"), set(df.loc[df["dst"].isna(), "src"])
+        edges = [(a, b) for a, b in zip(pairs["src"].tolist(), pairs["dst"].tolist(), strict=True) if a in ids and b in ids]
+        succ: dict = {}
+        for a, b in edges:
+            succ.setdefault(a, set()).add(b)
+        found = analyse(edges, sorted(ids))
+        members: dict = {}
+        for v, component, *_ in found:
+            members.setdefault(component, []).append(v)
+        depth: dict = {}
+        for component, own in members.items():  # components come after all that they depend on
+            inside = set(own)
+            out = {v: max(depth[w] + 1 for w in succ.get(v, ()) if w not in inside) for v in own if succ.get(v, set()) - inside}
+            inner = {v: [w for w in succ.get(v, ()) if w in inside] for v in own}
+            for v in own:
+                depth[v] = longest_chain(inner, out, v)
+        return pd.DataFrame([(v, component, on_cycle, layer, depth[v]) for v, component, _, on_cycle, layer in found], columns=["id", "component", "on_cycle", "layer", "depth"])
+
+    return rows.withColumn("one", F.lit(0).cast("long")).groupBy("one").applyInPandas(run, "id long, component long, on_cycle boolean, layer long, depth long")
+
+
+def longest_chain(succ: dict, out: dict, start: int) -> int:
+    """Steps of the longest chain from a node of a strongly connected component; succ has the edges inside it, out what follows outside."""
+    if len(succ) > SEARCHED_NODES:
+        return max(len(succ), len(succ) - 1 + max(out.values(), default=0))
+    best, stack = 0, [(start, frozenset([start]))]
+    while stack:
+        at, seen = stack.pop()
+        steps = len(seen) - 1
+        best = max(best, steps + out.get(at, 0))
+        for b in succ.get(at, ()):
+            best = max(best, steps + 1)
+            if b not in seen:
+                stack.append((b, seen | {b}))
+    return best
+
+
 #: Nodes of a strongly connected component up to which its simple paths are searched; a larger one counts as a cycle through all its nodes.
 SEARCHED_NODES = 12
 
@@ -257,6 +314,8 @@ SEARCHED_NODES = 12
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component, on_cycle, layer, depth), for graphs of any size. layer: 0 without dependencies, else 1 more than the highest layer depended on, on the graph of components.
     depth: steps of the longest chain from the node; a step back onto the chain counts and ends it."""
+    if is_small(nodes, edges):
+        return small_levels(nodes, edges)
     parts = checkpoint(components_of(nodes, edges))
     e = edges.select("src", "dst").distinct().join(parts.select(F.col("id").alias("src"), F.col("component").alias("a")), "src").join(parts.select(F.col("id").alias("dst"), F.col("component").alias("b")), "dst")
     e = checkpoint(e)
@@ -287,23 +346,7 @@ def chains_in_component(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
     succ: dict = {}
     for a, b in zip(inner["src"], inner["dst"].astype("int64"), strict=True):
         succ.setdefault(a, []).append(b)
-    most = max(out.values(), default=0)
-
-    def longest(start: int) -> int:
-        if len(succ) > SEARCHED_NODES:
-            return max(len(succ), len(succ) - 1 + most)
-        best, stack = 0, [(start, frozenset([start]))]
-        while stack:
-            at, seen = stack.pop()
-            steps = len(seen) - 1
-            best = max(best, steps + out.get(at, 0))
-            for b in succ.get(at, ()):
-                best = max(best, steps + 1)
-                if b not in seen:
-                    stack.append((b, seen | {b}))
-        return best
-
-    return pd.DataFrame([(v, key[0], longest(v)) for v in sorted(succ)], columns=["id", "component", "depth"]).astype("int64")
+    return pd.DataFrame([(v, key[0], longest_chain(succ, out, v)) for v in sorted(succ)], columns=["id", "component", "depth"]).astype("int64")
 
 
 def reach(edges: DataFrame, start: DataFrame, reverse: bool = False, depth: int | None = None, both: bool = False) -> DataFrame:

@@ -124,7 +124,7 @@ def embedding_backfill(spark, sf_dir):
 
 @query(f"""WITH {v.MEMORY}, r AS (SELECT id, content, embedding, CASE id % 4 WHEN 0 THEN concat('new ', memory_type) WHEN 1 THEN content END AS fresh FROM memory), c AS (SELECT id, coalesce(fresh, content) AS content, fresh IS NOT NULL AND fresh <> content AS differs, embedding FROM r),
  d AS (SELECT id, content FROM c WHERE differs), {embedding_sql("d", 64)}, e AS (SELECT id, list(round(w / n, 5) ORDER BY slot) AS weights FROM slots JOIN norms USING (id) GROUP BY id)
- SELECT c.id, md5(c.content) AS content_md5, CASE WHEN differs THEN weights WHEN embedding IS NOT NULL THEN [round(embedding[1]::DOUBLE, 5)] END AS weights, CASE WHEN c.id % 2 = 0 THEN 'changed' ELSE 'old' END AS tag FROM c LEFT JOIN e USING (id)""")
+ SELECT c.id, md5(c.content) AS content_md5, CASE WHEN differs THEN weights WHEN embedding IS NOT NULL THEN [round(embedding[1]::DOUBLE, 5)] ELSE [] END AS weights, CASE WHEN c.id % 2 = 0 THEN 'changed' ELSE 'old' END AS tag FROM c LEFT JOIN e USING (id)""")
 def memory_update(spark, sf_dir):
     """Half of the rows are updated, a quarter with another content."""
     k = F.col("id")
@@ -132,7 +132,7 @@ def memory_update(spark, sf_dir):
     to = rows.where("id % 4 <> 3").select("id", F.when(k % 4 == 0, F.concat(F.lit("new "), "memory_type")).when(k % 4 == 1, F.col("content")).alias("content"), F.when(k % 2 == 0, F.create_map(F.lit("tag"), F.lit("changed"))).alias("metadata"))
     out = m.updated(rows, to, 64)
     fresh = F.transform(F.filter("embedding", lambda w: w != 0), lambda w: F.round(w.cast("double"), 5))
-    return out.select("id", F.md5("content").alias("content_md5"), F.when(k % 4 == 0, fresh).when(F.col("embedding").isNotNull(), F.array(F.round(F.element_at("embedding", 1).cast("double"), 5))).alias("weights"), F.col("metadata")["tag"].alias("tag"))
+    return out.select("id", F.md5("content").alias("content_md5"), F.when(k % 4 == 0, fresh).when(F.col("embedding").isNotNull(), F.array(F.round(F.element_at("embedding", 1).cast("double"), 5))).otherwise(F.array().cast("array<double>")).alias("weights"), F.col("metadata")["tag"].alias("tag"))
 
 
 HELD = Literal(((1, "same text", "note", "a", 3, "p1", None, 10, True), (2, "same text", "note", "a", 5, "p1", None, 20, True), (3, "same text", "note", "b", 1, "p2", None, 30, True), (4, "gone", "note", "a", 9, "p1", None, 5, False), (5, "other", "fact", None, 2, None, "x", 1, True)), "id long, content string, memory_type string, agent string, importance int, project string, tag string, updated_seq long, is_active boolean")

@@ -75,8 +75,10 @@ def test_components_by_closure(pairs):
 
 
 @pytest.mark.parametrize("pairs", [CASES[0], CASES[2], [(1, 2), (2, 3), (3, 1), (1, 4), (4, 5), (6, 1), (6, 6)], [(1, 2), (1, 3), (2, 4), (3, 4)]])
-def test_longest_chains_and_layers(spark, pairs):
-    """Chains by search over simple paths, layers on the graph of components."""
+@pytest.mark.parametrize("small", [True, False])
+def test_longest_chains_and_layers(spark, pairs, small, monkeypatch):
+    """Chains by search over simple paths, layers on the graph of components; by one task and by loops over tables."""
+    monkeypatch.setattr(graph, "SMALL_GRAPH", 500_000 if small else 0)
     succ = {}
     for a, b in pairs:
         succ.setdefault(a, set()).add(b)
