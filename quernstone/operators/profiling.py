@@ -157,8 +157,8 @@ def merge_technologies(found: DataFrame) -> DataFrame:
 
 
 def overall_confidence(rows: DataFrame) -> DataFrame:
-    """Mean confidence; 0.1 more, at most 1, with both a language and a build tool."""
-    g = rows.agg(F.avg("confidence").alias("c"), F.max((F.col("category") == "language").cast("int")).alias("l"), F.max((F.col("category") == "build_tool").cast("int")).alias("b"))
+    """Mean confidence, 0 without any; 0.1 more, at most 1, with both a language and a build tool."""
+    g = rows.agg(F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("c"), F.max((F.col("category") == "language").cast("int")).alias("l"), F.max((F.col("category") == "build_tool").cast("int")).alias("b"))
     return g.select(F.round(F.least(F.lit(1.0), F.col("c") + F.when((F.col("l") == 1) & (F.col("b") == 1), 0.1).otherwise(0.0)), 6).alias("confidence"))
 
 

@@ -208,7 +208,7 @@ def test_framework_and_database_detection(spark):
     assert {(r.name, r.n_files) for r in profiling.detect(files, {**profiling.FRAMEWORKS, **profiling.DATABASES}).collect()} == {("fastapi", 1), ("redis", 1)}
     tech = spark.createDataFrame([("python", 0.5, "language"), ("make", 0.9, "build_tool")], "name string, confidence double, category string")
     assert profiling.overall_confidence(tech).first().confidence == pytest.approx(0.8)
-    assert profiling.overall_confidence(tech.limit(0)).first().confidence is None
+    assert profiling.overall_confidence(tech.limit(0)).first().confidence == 0
 
 
 def test_structural_query():
