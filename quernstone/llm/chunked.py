@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quernstone.llm.common import text_bytes
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 12 << 20
 
 
 @lru_cache(1)
