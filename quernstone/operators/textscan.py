@@ -140,7 +140,7 @@ def line_review(code: DataFrame) -> DataFrame:
     lines = code.select("id", F.posexplode(F.split("content", "\n")).alias("i", "line"))
     bare = F.trim(F.regexp_replace("line", r"^\s+|\s+$", ""))
     # compared by length first, so that a number may have any length
-    numbers = F.filter(F.regexp_extract_all("line", F.lit(r"\b([0-9]{2,})\b"), F.lit(1)), lambda n: (F.length(F.regexp_replace(n, "^0+", "")) > 2) | (F.regexp_replace(n, "^0+", "").cast("int") > 10))
+    numbers = F.filter(F.regexp_extract_all("line", F.lit(r"\b([0-9]{2,})\b"), F.lit(1)), lambda n: (F.length(F.regexp_replace(n, "^0+(?=.)", "")) > 2) | (F.regexp_replace(n, "^0+(?=.)", "").try_cast("int") > 10))
     named = x.contains_any(F.lower("line"), ["max", "min", "size", "count", "len"])
     row = lambda issue, severity, category, found: F.struct(F.lit(issue).alias("issue"), F.lit(severity).alias("severity"), F.lit(category).alias("category"), found.alias("found"))
     none = F.array().cast("array<struct<issue:string,severity:string,category:string,found:string>>")

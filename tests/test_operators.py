@@ -245,3 +245,8 @@ def test_empty_words_and_zero_division(spark):
     r = spark.createDataFrame([("", " a  b ")], "a string, b string").select(F.size(x.words(F.col("a"))).alias("n"), F.size(x.words(F.col("b"))).alias("m"), x.ratio(F.lit(1), F.lit(0)).alias("z"), x.string_similarity(F.col("a"), F.col("b")).alias("s")).first()
     assert tuple(r) == (0, 2, 0.0, 0.0)
     assert x.terms("Find a the token_x, the-y ab") == ["find", "the", "token_x", "the-y"]
+
+
+def test_numbers_of_zeros(spark):
+    code = spark.createDataFrame([(1, "a = 00 + 000\nb = 007 + 0011 + 00000000000000000000012")], "id long, content string")
+    assert [(r.line_number, r.found) for r in textscan.line_review(code).collect()] == [(2, "0011"), (2, "00000000000000000000012")]
