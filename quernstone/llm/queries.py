@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import byte_bpe, chat_format, decontaminate, jump_shard, lm_scoring, quality_gbt, secret_ledger, simhash, site_tree, token_fst
+from quernstone.llm import byte_bpe, chat_format, decontaminate, fill_middle, jump_shard, lm_scoring, quality_gbt, secret_ledger, simhash, site_tree, token_fst
 from quernstone.llm.common import documents, shared_folder, spread
 
 
@@ -69,7 +69,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gbt.judge(docs, model).select("doc_id", *quality_gbt.COUNTS, "base_failed", "kept", "quality_score")
 
 
-QUERIES = {f.__name__: f for f in (op1_backoff_automaton, op2_site_tree_text, op3_chat_round_trip, op4_template_decontamination, op5_covering_simhash, op6_token_counts, op7_secret_scan, op8_byte_bpe, op9_jump_shards, op10_quality_rules)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.transform(documents(spark, sf_dir).select("doc_id", "text"), "character"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_backoff_automaton, op2_site_tree_text, op3_chat_round_trip, op4_template_decontamination, op5_covering_simhash, op6_token_counts, op7_secret_scan, op8_byte_bpe, op9_jump_shards, op10_quality_rules, op11_fill_in_middle)
+}
+
+
 def quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -99,4 +108,12 @@ def secret_sql() -> str:
     return f"WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS (SELECT doc_id, {', '.join(found)} FROM d), p AS (SELECT doc_id, list_sort({' || '.join(lists)}) AS spans0 FROM m), q AS (SELECT doc_id, list_transform(spans0, lambda x: x) AS spans FROM p) SELECT doc_id, {counts}, sha256({base}) AS base_sha256, {text('true')} AS spans FROM q"
 
 
-ORACLE_SQL: dict[str, str] = {"op3_chat_round_trip": CHAT_SQL, "op7_secret_scan": secret_sql()}
+FILL_MIDDLE_SQL = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
+ h AS (SELECT doc_id, t, length(t) AS n, ('0x' || substr(s, 1, 8))::BIGINT AS h1, ('0x' || substr(s, 9, 8))::BIGINT AS h2, ('0x' || substr(s, 17, 8))::BIGINT AS h3, ('0x' || substr(s, 25, 8))::BIGINT AS h4 FROM d),
+ c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+ p AS (SELECT *, substr(t, 1, a) AS pre, substr(t, a + 1, b - a) AS mid, substr(t, b + 1) AS suf FROM c)
+ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+ORACLE_SQL: dict[str, str] = {"op11_fill_in_middle": FILL_MIDDLE_SQL, "op3_chat_round_trip": CHAT_SQL, "op7_secret_scan": secret_sql()}

@@ -1,6 +1,7 @@
 """Queries that SQL can express, against DuckDB."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 pytest.importorskip("quernstone.llm")
@@ -14,5 +15,5 @@ def test_same_rows(name, spark, sf):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     got, want = QUERIES[name](spark, sf).toPandas(), c.sql(ORACLE_SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
-    by = lambda df: sorted(map(tuple, df[sorted(df.columns)].astype(object).itertuples(index=False)), key=str)
+    by = lambda df: sorted((tuple(None if pd.isna(x) else x for x in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False)), key=str)
     assert by(got) == by(want)
