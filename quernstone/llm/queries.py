@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import byte_bpe, chat_format, decontaminate, fill_middle, jump_shard, lm_scoring, quality_gbt, secret_ledger, simhash, site_tree, token_align, token_fst
+from quernstone.llm import byte_bpe, chat_format, decontaminate, fill_middle, jaccard_join, jump_shard, lm_scoring, quality_gbt, secret_ledger, simhash, site_tree, token_align, token_fst
 from quernstone.llm.common import documents, shared_folder, spread
 
 
@@ -73,6 +73,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(fill_middle.transform(documents(spark, sf_dir).select("doc_id", "text"), "character"))
 
 
+def op12_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -81,7 +85,7 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_backoff_automaton, op2_site_tree_text, op3_chat_round_trip, op4_template_decontamination, op5_covering_simhash, op6_token_counts, op7_secret_scan, op8_byte_bpe, op9_jump_shards, op10_quality_rules, op11_fill_in_middle, op13_token_alignment)
+    for f in (op1_backoff_automaton, op2_site_tree_text, op3_chat_round_trip, op4_template_decontamination, op5_covering_simhash, op6_token_counts, op7_secret_scan, op8_byte_bpe, op9_jump_shards, op10_quality_rules, op11_fill_in_middle, op12_ngram_jaccard_join, op13_token_alignment)
 }
 
 
