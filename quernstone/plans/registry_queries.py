@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quernstone.functions import exprs as x
+from quernstone.operators import likeness
 from quernstone.operators import registry as r
 from quernstone.plans.registry import query
 from quernstone.sources import views as v
@@ -169,3 +170,13 @@ def bulk_register(spark, sf_dir):
 def glob_match(spark, sf_dir):
     glob = lambda p: F.rlike("path", F.lit(x.glob_to_regex(p)))
     return v.component(spark, sf_dir).select("id", glob("pro*/brand#1*").alias("hit"), glob("[ps][!tx]*#[2-4]*[!5]").alias("classes"))
+
+
+@query(f"""WITH {C}, p AS (SELECT t.id, c.id AS other, round(CASE WHEN c.type = t.type THEN 0.2 ELSE 0 END + CASE WHEN c.language = t.language THEN 0.15 ELSE 0 END
+ + 0.25 * len(list_intersect(c.tags, t.tags))::DOUBLE / len(list_distinct(list_concat(c.tags, t.tags))) + 0.2 * len(list_intersect(c.categories, t.categories))::DOUBLE / len(list_distinct(list_concat(c.categories, t.categories)))
+ + 0.1 * {SIM("lower(c.name)", "lower(t.name)")} + 0.1 * least(c.complexity, t.complexity) / greatest(c.complexity, t.complexity), 6) AS similarity
+ FROM component c JOIN component t ON c.project_id = t.project_id AND c.id <> t.id), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, other)::INT AS rank FROM p WHERE similarity >= 0.7)
+ SELECT id, other, similarity, rank FROM r WHERE rank <= 10""")
+def similar_components(spark, sf_dir):
+    """The ten most similar components of every component."""
+    return likeness.similar_components(v.component(spark, sf_dir))
