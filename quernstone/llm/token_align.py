@@ -21,6 +21,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
 
@@ -34,14 +35,14 @@ from quernstone.llm.chunked import pack, unpack
 from quernstone.llm.common import checkpoint
 
 SPACE = "▁"
-CHUNK_BYTES = 24 << 20
 #: Characters after which no text is cut: white space, controls and invisible ones, which the pre-tokenizers may take for white space.
 UNSEEN = r"\x00-\x20\x7f-\xa0\xad\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff"
 CUT = re.compile(f"(?<=[^{UNSEEN}])(?=[ \n])")
 WHOLE = re.compile(r"(?!)")
 #: The same cuts, faster, for texts whose only characters of UNSEEN are spaces and line feeds.
 ODD, RUNS = re.compile(f"(?![ \n])[{UNSEEN}]"), re.compile("[ \n]*[^ \n]+|[ \n]+")
-BATCH = 20_000
+BATCH = 8_000
+CHUNK_BYTES = 8 << 20
 
 
 class Numbering(dict):
@@ -101,29 +102,40 @@ class Vocabularies:
         return RUNS.findall(full) if self.cut is CUT and not ODD.search(full) else self.cut.split(full)
 
     def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a, b = [], []
-        for i in range(0, len(units), BATCH):
-            part = units[i : i + BATCH]
-            a += [e.ids for e in self.a.encode_batch_fast(part, add_special_tokens=False)]
-            if self.cut is WHOLE:
-                b += self.b.encode([u[1:] for u in part], num_threads=1)
-            else:
-                b += [ids[self.lead :] for ids in self.b.encode(["\n" + u for u in part], num_threads=1)]
-        return a, b
+        a = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
+        if self.cut is WHOLE:
+            return a, self.b.encode([u[1:] for u in units], num_threads=1)
+        return a, [ids[self.lead :] for ids in self.b.encode(["\n" + u for u in units], num_threads=1)]
 
     def align(self, units: list[str]) -> Aligned:
-        return Aligned(self, units)
+        """BATCH units at a time, so that only what is kept of them takes memory."""
+        return Aligned.together([Aligned.of(self, units[i : i + BATCH]) for i in range(0, len(units), BATCH)])
 
 
+@dataclass
 class Aligned:
     """Per unit: ok, n_a, n_b, n_groups, n_links and text (its groups, each with its end); per link, in order of units: code = A id x B's size + B id."""
 
-    def __init__(self, v: Vocabularies, units: list[str]):
+    ok: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    n_links: np.ndarray
+    code: np.ndarray
+    text: list[str]
+
+    @classmethod
+    def together(cls, parts: list[Aligned]) -> Aligned:
+        arrays = [np.concatenate([getattr(p, f) for p in parts]) if parts else np.empty(0, np.int64) for f in ("ok", "n_a", "n_b", "n_groups", "n_links", "code")]
+        return cls(*arrays, [t for p in parts for t in p.text])
+
+    @classmethod
+    def of(cls, v: Vocabularies, units: list[str]) -> Aligned:
         ids_a, ids_b = v.encode(units)
-        self.ok = same_bytes(v, units, ids_a, ids_b)
-        if not self.ok.all():
-            ids_a, ids_b = [[x if good else [] for x, good in zip(ids, self.ok, strict=True)] for ids in (ids_a, ids_b)]
-        self.n_a, self.n_b = sizes(ids_a), sizes(ids_b)
+        ok = same_bytes(v, units, ids_a, ids_b)
+        if not ok.all():
+            ids_a, ids_b = [[x if good else [] for x, good in zip(ids, ok, strict=True)] for ids in (ids_a, ids_b)]
+        n_a, n_b = sizes(ids_a), sizes(ids_b)
         a, b = flat(ids_a), flat(ids_b)
         # both sides have the same bytes, so the units in a row are aligned as one text
         len_a, len_b = v.lengths[0][a], v.lengths[1][b]
@@ -132,12 +144,10 @@ class Aligned:
         overlaps = last - first
         at = np.cumsum(overlaps) - overlaps
         links_b = np.repeat(first - at, overlaps) + np.arange(int(overlaps.sum()))
-        self.code = np.repeat(a, overlaps) * v.n_b + b[links_b]
-        unit_a, unit_b = np.repeat(np.arange(len(units)), self.n_a), np.repeat(np.arange(len(units)), self.n_b)
-        total = lambda unit, x: np.bincount(unit, weights=x, minlength=len(units)).astype(np.int64)
-        self.n_links = total(unit_a, overlaps)
+        code = np.repeat(a, overlaps) * v.n_b + b[links_b]
+        unit_a = np.repeat(np.arange(len(units)), n_a)
+        total = lambda x: np.bincount(unit_a, weights=x, minlength=len(units)).astype(np.int64)
         close_a, close_b = np.isin(end_a, end_b, assume_unique=True), np.isin(end_b, end_a, assume_unique=True)
-        self.n_groups = total(unit_a, close_a)
         # the written form: tokens of A, then of B, group by group
         group_a, group_b = np.cumsum(close_a) - close_a, np.cumsum(close_b) - close_b
         before = lambda group: np.concatenate(([0], np.cumsum(np.bincount(group, minlength=int(close_a.sum())))))
@@ -145,8 +155,9 @@ class Aligned:
         order[np.arange(len(a)) + before(group_b)[group_a]] = 2 * a + close_a
         order[np.arange(len(b)) + before(group_a)[group_b + 1]] = 2 * (v.n_a + b) + close_b
         written = list(map(v.names.__getitem__, order.tolist()))
-        ends = np.cumsum(self.n_a + self.n_b).tolist()
-        self.text = ["".join(written[i:j]) for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+        ends = np.cumsum(n_a + n_b).tolist()
+        text = ["".join(written[i:j]) for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+        return cls(ok, n_a.astype(np.int32), n_b.astype(np.int32), total(close_a).astype(np.int32), total(overlaps).astype(np.int32), code, text)
 
 
 def sizes(lists: list) -> np.ndarray:
@@ -184,7 +195,7 @@ SCHEMA = "chunk long, id string, n_a long, n_b long, n_groups long, n_links long
 def aligned_chunk(v: Vocabularies, chunk: int, ids: list, texts: list) -> pd.DataFrame:
     """The rows of a chunk; the first one's codes, counts and links are the chunk's."""
     number = Numbering()
-    numbers = [np.array([number[u] for u in v.units(t)], np.int64) if t else np.empty(0, np.int64) for t in texts]
+    numbers = [np.array([number[u] for u in v.units(t)], np.int32) if t else np.empty(0, np.int32) for t in texts]
     x = v.align(list(number))
     counted, rows = [], []
     for i, n in zip(ids, numbers, strict=True):
@@ -195,7 +206,7 @@ def aligned_chunk(v: Vocabularies, chunk: int, ids: list, texts: list) -> pd.Dat
         else:
             rows.append((chunk, i, 0, 0, 0, 0, "", None, None, None, None))
     codes, which = np.unique(x.code, return_inverse=True)
-    times = np.repeat(np.bincount(np.concatenate([*counted, np.empty(0, np.int64)]), minlength=len(number)), x.n_links)
+    times = np.repeat(np.bincount(np.concatenate([*counted, np.empty(0, np.int32)]), minlength=len(number)), x.n_links)
     counts = np.zeros(len(codes), np.int64)
     np.add.at(counts, which, times)
     links = pack(np.concatenate(([len(number)], x.n_links, which)).astype("<u4").tobytes())
