@@ -1,15 +1,17 @@
 r"""Chat formatting with a grammar round trip.
 
 A conversation is rendered as text, reparsed by a deterministic parser, and the recovered turns are compared with
-the source. Where they differ, the content conflicts with the template and is rendered at the next escape
+the source. Where they differ, the content conflicts with the grammar and is rendered at the next escape
 level, until parse(render(x)) = x. The level is written in the output, so that reading needs nothing else.
 
     text  := level turn*              level := "0" | "1"
     turn  := "<s>[INST] " role "\n" body " [/INST]</s>"      not under the loss mask
            | "<s>" role "\n" body "</s>"                     assistant; body is under the loss mask
 
-Level 0 changes nothing. Level 1 escapes the sign of references and the control strings' first characters, and the
-line feed in roles; as neither "<" nor "[" is left, no control string can occur and level 1 always reads back.
+Level 0 escapes the control strings <s>, </s>, [INST] and [/INST] alone, and only in the text in which they stand: a backslash goes behind the first
+character, one more where there are some already, so that taking one away gives the text back. Everything else is written as it is. Level 1 escapes the sign of
+references and the control strings' first characters in the whole conversation, and the line feed in roles, which is what level 0 can't write. As neither "<" nor
+"[" is left, level 1 always reads back. At either level control strings stand in the output as marks only.
 
 Rows of a conversation are ordered by turn, then role, then text; null turns come first. A null role or text
 counts as empty. Repeated rows stay. Further columns are ignored; an empty table gives an empty result. A
@@ -26,6 +28,8 @@ BOS, EOS, INST, END_INST = "<s>", "</s>", "[INST] ", " [/INST]"
 #: Level 1: (character, reference), applied in this order and undone in the other. The last one holds in roles alone.
 ESCAPES = (("&", "&amp;"), ("<", "&lt;"), ("[", "&#91;"))
 ROLE_ESCAPE = ("\n", "&#10;")
+#: Level 0: a control string, or one that is escaped already.
+CONTROL = r"([<\[])(\\*)(/?s>|/?INST\])"
 LOSS_ROLE = "assistant"
 
 
@@ -33,14 +37,16 @@ def escape(text: Column, level: int, role: bool = False) -> Column:
     if level:
         for char, ref in (*ESCAPES, ROLE_ESCAPE) if role else ESCAPES:
             text = F.replace(text, F.lit(char), F.lit(ref))
-    return text
+        return text
+    return F.regexp_replace(text, CONTROL, r"$1\\$2$3")
 
 
 def unescape(text: Column, level: int, role: bool = False) -> Column:
     if level:
         for char, ref in reversed((*ESCAPES, ROLE_ESCAPE) if role else ESCAPES):
             text = F.replace(text, F.lit(ref), F.lit(char))
-    return text
+        return text
+    return F.regexp_replace(text, CONTROL.replace(r"(\\*)", r"\\(\\*)"), "$1$2$3")
 
 
 def render(turns: Column, level: int) -> Column:
@@ -105,7 +111,7 @@ def loss_spans(text: Column) -> Column:
 def read_back(formatted: DataFrame) -> DataFrame:
     """Digests, read from the formatted text and its loss spans."""
     unmasked = F.transform("loss_spans", lambda s: F.substr(F.col("formatted"), s["start"] + 1, s["end"] - s["start"]))
-    loss = F.array_join(F.when(F.col("level") == 0, unmasked).otherwise(F.transform(unmasked, lambda t: unescape(t, 1))), "")
+    loss = F.array_join(F.when(F.col("level") == 0, F.transform(unmasked, lambda t: unescape(t, 0))).otherwise(F.transform(unmasked, lambda t: unescape(t, 1))), "")
     turns = formatted.withColumn("__p", parse(F.col("formatted"))).withColumn("__loss", loss)
     whole = F.array_join(F.transform("__p", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return turns.select(

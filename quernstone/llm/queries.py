@@ -93,11 +93,11 @@ def quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-#: A text conflicts with the template exactly if an end mark stands in it, or a role holds one or a line feed.
+#: Control strings, escaped or not, get a backslash each; a role with a line feed needs the other level.
 CHAT_SQL = """WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
  UNION ALL SELECT -7, t, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
- l AS (SELECT *, max(CAST(contains(text, '</s>') OR contains(role, '</s>') OR contains(role, chr(10)) AS INT)) OVER (PARTITION BY conv_id) AS level FROM c),
- n AS (SELECT *, length(role) + length(text) + level * (4 * (length(role || text) - length(replace(role || text, '&', ''))) + 3 * (length(role || text) - length(replace(role || text, '<', '')))
+ l AS (SELECT *, max(CAST(contains(role, chr(10)) AS INT)) OVER (PARTITION BY conv_id) AS level, len(regexp_extract_all(role, '[<\\[]\\\\*(?:/?s>|/?INST\\])')) + len(regexp_extract_all(text, '[<\\[]\\\\*(?:/?s>|/?INST\\])')) AS marks FROM c),
+ n AS (SELECT *, length(role) + length(text) + (1 - level) * marks + level * (4 * (length(role || text) - length(replace(role || text, '&', ''))) + 3 * (length(role || text) - length(replace(role || text, '<', '')))
   + 4 * (length(role || text) - length(replace(role || text, '[', ''))) + 4 * (length(role) - length(replace(role, chr(10), '')))) + CASE WHEN role = 'assistant' THEN 8 ELSE 23 END AS chars FROM l)
  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
