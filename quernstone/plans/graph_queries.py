@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quernstone.operators import components
 from quernstone.operators import graph as g
 from quernstone.operators import kernels as k
 from quernstone.plans.registry import query
@@ -255,6 +256,24 @@ def cycle_nodes(spark, sf_dir):
     return k.strongly_connected_large(v.edge(spark, sf_dir))
 
 
+@query(f"WITH RECURSIVE {CLOSURE}, mutual AS (SELECT a.start AS id, a.id AS other FROM r a JOIN r b ON a.start = b.id AND a.id = b.start) SELECT id, min(other) AS component FROM mutual GROUP BY id")
+def strong_components(spark, sf_dir):
+    """Components of all dependencies: chains contracted, then searches from all nodes at once."""
+    return components.strongly_connected(v.edge(spark, sf_dir))
+
+
+@query()
+def chain_intervals(spark, sf_dir):
+    """Component, layer and longest chain of every component over all dependencies; the chain as an interval where a component is too large to search."""
+    return components.depths(*tables(spark, sf_dir))
+
+
+@query()
+def cycle_paths(spark, sf_dir):
+    """One shortest cycle of each component of all dependencies, as a path."""
+    return components.cycle_paths(*tables(spark, sf_dir))
+
+
 @query(f"WITH RECURSIVE {SHAPE} SELECT * FROM kahn")
 def layers_kahn(spark, sf_dir):
     return g.layers(*latest(spark, sf_dir)).select("id", F.col("layer").cast("long").alias("layer"))
