@@ -278,14 +278,14 @@ def longest_search(succ: dict, exits: dict, start: int, budget: int) -> tuple[in
     return best, True, used
 
 
-def search_component(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
+def search_component(key: tuple, df: pd.DataFrame, steps: int) -> pd.DataFrame:
     """The depths (low, high) from each node of one component of bounded size; rows without dst give the interval of what follows outside."""
     inner, outer = df[df["dst"].notna()], df[df["dst"].isna()]
     lows, highs = (dict(zip(outer["src"], outer[c].astype("int64"), strict=True)) for c in ("low", "high"))
     succ: dict = {}
     for a, b in zip(inner["src"], inner["dst"].astype("int64"), strict=True):
         succ.setdefault(a, []).append(b)
-    n, out, budget = len(succ), [], SEARCH_STEPS
+    n, out, budget = len(succ), [], steps
     most = max(n, n - 1 + max(highs.values(), default=0))
     for v in sorted(succ):
         low, whole, used = longest_search(succ, lows, v, budget)
@@ -319,7 +319,7 @@ def depths(nodes: DataFrame, edges: DataFrame, rounds: dict | None = None) -> Da
     across = settled(short.join(part("src", "a"), "src").join(part("dst", "b"), "dst"))
     left = settled(rows.join(runs.select("id"), "id", "left_anti"))
     done = rows.select("id", "component", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high")).limit(0)
-    waits = across
+    waits, steps = across, SEARCH_STEPS
     zero = lambda c: F.coalesce(c, F.lit(0))
     while not left.isEmpty():
         count(rounds, "depth")
@@ -335,7 +335,7 @@ def depths(nodes: DataFrame, edges: DataFrame, rounds: dict | None = None) -> Da
         ids = free.where("searched").select(F.col("id").alias("src"), "component")
         inner = e.where("a = b").join(ids, "src").select("component", "src", "dst", F.lit(None).cast("long").alias("low"), F.lit(None).cast("long").alias("high"))
         outer = exits.withColumnRenamed("id", "src").join(ids, "src").select("component", "src", F.lit(None).cast("long").alias("dst"), "low", "high")
-        searched = inner.unionByName(outer).groupBy("component").applyInPandas(search_component, "id long, component long, low long, high long")
+        searched = inner.unionByName(outer).groupBy("component").applyInPandas(lambda key, df: search_component(key, df, steps), "id long, component long, low long, high long")
         now = settled(plain.unionByName(spans).unionByName(searched))
         done = settled(done.unionByName(now))
         left = settled(left.join(now.select("id"), "id", "left_anti"))

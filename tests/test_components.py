@@ -2,7 +2,7 @@
 
 import random
 
-import pytest
+import pandas as pd
 
 from quernstone.operators import components, kernels
 
@@ -101,7 +101,6 @@ def test_large_components_get_an_interval(spark, monkeypatch):
     monkeypatch.setattr(components, "SEARCH_NODES", 3)
     found = {r.id: r for r in components.depths(*tables(spark, range(6), [(0, 1), (1, 2), (2, 3), (3, 0), (3, 4), (4, 5)])).collect()}
     assert not found[0].exact and found[0].low <= 5 <= found[0].high and found[4].exact and found[4].low == 1
-    monkeypatch.setattr(components, "SEARCH_NODES", 256)
-    monkeypatch.setattr(components, "SEARCH_STEPS", 3)
-    found = {r.id: r for r in components.depths(*tables(spark, range(6), [(a, b) for a in range(6) for b in range(6) if a != b])).collect()}
-    assert not found[5].exact and found[5].low <= 6 <= found[5].high
+    whole = pd.DataFrame([(a, b, None, None) for a in range(6) for b in range(6) if a != b], columns=["src", "dst", "low", "high"])
+    assert {(r.low, r.high) for r in components.search_component((0,), whole, 10_000).itertuples()} == {(6, 6)}
+    assert all(r.low < 6 <= r.high for r in components.search_component((0,), whole, 3).itertuples())
