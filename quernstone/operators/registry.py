@@ -150,14 +150,30 @@ def similar(components: DataFrame, target: int, least: float = 0.7, limit: int =
     return pairs.withColumn("similarity", F.round(score, 6)).where(F.col("similarity") >= least).orderBy(F.desc("similarity"), "id").limit(limit).select("id", "similarity")
 
 
-def validation_errors() -> Column:
-    """Messages for what is missing or out of range."""
-    return x.labels([(F.col("name").isNull() | (F.col("name") == ""), "name is required"), (F.col("type").isNull(), "type is required"), ((F.col("complexity") < 0), "complexity must not be negative"), (~F.col("coverage_pct").between(0, 100), "coverage must be within 0 and 100"), (F.col("line_count") < 0, "line_count must not be negative")])
-
-
-def register(existing: DataFrame, incoming: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
+#: The kinds of components and their levels of access.
+COMPONENT_TYPES = ["class", "function", "async_function", "method", "interface", "struct", "enum", "module", "package", "file", "variable", "constant", "type_alias"]
+ACCESS_LEVELS = ["public", "private", "protected", "internal", "package_private"]
+
+
+def validation_errors(columns: list[str], types: list[str] | None = None) -> Column:
+    """Messages for what is missing or out of range; a check counts where the table has its column, and that of the type where types are given."""
+    c = F.col
+    checks = [
+        ("name", c("name").isNull() | (c("name") == ""), "name is required"), ("type", c("type").isNull(), "type is required"), ("id", c("id").isNull(), "id is required"),
+        ("access_level", c("access_level").isNull() | ~c("access_level").isin(ACCESS_LEVELS), "access level is not known"),
+        ("line_start", c("line_start") < 0, "line start must not be negative"), ("line_end", c("line_end") < c("line_start"), "line end must not be before line start"),
+        ("complexity", c("complexity") < 1, "complexity must be at least 1"), ("coverage_pct", ~c("coverage_pct").between(0, 100), "coverage must be within 0 and 100"),
+        ("maintainability", ~c("maintainability").between(0, 100), "maintainability must be within 0 and 100"), ("line_count", c("line_count") < 0, "line_count must not be negative"),
+    ]
+    if types is not None:
+        checks.append(("type", ~c("type").isin(types), "type is not known"))
+    needs = {"line_end": {"line_start"}}
+    return x.labels([(test, message) for name, test, message in checks if {name, *needs.get(name, ())} <= set(columns)])
+
+
+def register(existing: DataFrame, incoming: DataFrame, key: str = "id", types: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(new snapshot, rejected rows with errors): valid rows replace those of the same key."""
-    checked = incoming.withColumn("errors", validation_errors())
+    checked = incoming.withColumn("errors", validation_errors(incoming.columns, types))
     good = checked.where(F.size("errors") == 0).drop("errors")
     last = good.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("name")))).where("__r = 1").drop("__r")
     return existing.join(last.select(key), key, "left_anti").unionByName(last), checked.where(F.size("errors") > 0)

@@ -107,15 +107,34 @@ def metadata_views(spark: SparkSession, allowed: set[str]) -> dict[str, str]:
     return {"information_schema.columns": "information_schema__columns", "information_schema.tables": "information_schema__tables"}
 
 
+def rewritten(spark: SparkSession, sql: str, names: dict[tuple[str, ...], str]) -> str:
+    """The statement with relations, and columns that are qualified by them, under other names. Each is replaced at the place that the parser gives for its plan node; nothing else of the text is touched."""
+    jvm, spans = spark.sparkContext._jvm, {}
+    for _, x in inside(jvm, spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)):
+        name = x.getClass().getSimpleName()
+        if name not in ("UnresolvedRelation", "UnresolvedAttribute"):
+            continue
+        parts = [str(p) for p in items(x.multipartIdentifier() if name == "UnresolvedRelation" else x.nameParts())]
+        new = names.get(tuple(p.lower() for p in parts[:2])) if len(parts) > (name == "UnresolvedAttribute") + 1 else None
+        start, stop = x.origin().startIndex(), x.origin().stopIndex()
+        if new is None:
+            continue
+        if not (start.isDefined() and stop.isDefined()):
+            raise Rejected("a relation's place is not known")
+        spans[start.get(), stop.get() + 1] = ".".join(f"`{p}`" for p in (new, *parts[2:]))
+    # the parser counts code points, as Python does
+    for (start, stop), new in sorted(spans.items(), reverse=True):
+        sql = sql[:start] + new + sql[stop:]
+    return sql
+
+
 def prepared(spark: SparkSession, sql: str, allowed: set[str]) -> str:
     """A checked statement that runs as it is: metadata relations are replaced by their views, `public.` goes."""
     bare = check(spark, sql, allowed, METADATA_SCHEMAS)
     if any(len(p) > 1 for p in relations(spark, bare)):
         views = metadata_views(spark, allowed)
-        for name, view in views.items():
-            schema, table = name.split(".")
-            bare = re.sub(rf"(?i)`?\b{schema}\b`?\s*\.\s*`?\b{table}\b`?", view, bare)
-        bare = re.sub(r"(?i)`?\bpublic\b`?\s*\.\s*", "", bare)
+        names = {("public", t): t for t in allowed} | {tuple(name.split(".")): view for name, view in views.items()}
+        bare = rewritten(spark, bare, names)
         check(spark, bare, allowed | set(views.values()))
     return bare
 

@@ -152,13 +152,24 @@ def component_similarity(spark, sf_dir):
 
 
 @query(f"""WITH {C}, k AS (SELECT id, CASE WHEN id % 50 = 0 THEN '' ELSE name END AS name, type, CASE WHEN id % 40 = 0 THEN -1.0 ELSE complexity END AS complexity FROM component)
- SELECT id, list_filter([CASE WHEN name = '' THEN 'name is required' END, CASE WHEN complexity < 0 THEN 'complexity must not be negative' END], lambda v: v IS NOT NULL) AS errors FROM k WHERE name = '' OR complexity < 0""")
+ SELECT id, list_filter([CASE WHEN name = '' THEN 'name is required' END, CASE WHEN complexity < 1 THEN 'complexity must be at least 1' END], lambda v: v IS NOT NULL) AS errors FROM k WHERE name = '' OR complexity < 1""")
 def registration_errors(spark, sf_dir):
     c = v.component(spark, sf_dir)
     odd = c.withColumn("name", F.when(F.col("id") % 50 == 0, "").otherwise(F.col("name"))).withColumn("complexity", F.when(F.col("id") % 40 == 0, -1.0).otherwise(F.col("complexity")))
     return r.register(c, odd)[1].select("id", "errors")
 
 
+@query(f"""WITH {C}, k AS (SELECT id, (['class', 'function', 'widget'])[1 + id % 3] AS type, (['public', 'secret', 'private', 'internal'])[1 + id % 4] AS access_level, id % 7 - 1 AS line_start, id % 5 AS line_end, complexity - 3 AS complexity, coverage_pct + 10 AS coverage_pct, 40 - maintainability AS maintainability FROM component),
+ e AS (SELECT id, list_filter([CASE WHEN access_level = 'secret' THEN 'access level is not known' END, CASE WHEN line_start < 0 THEN 'line start must not be negative' END, CASE WHEN line_end < line_start THEN 'line end must not be before line start' END, CASE WHEN complexity < 1 THEN 'complexity must be at least 1' END,
+ CASE WHEN coverage_pct > 100 THEN 'coverage must be within 0 and 100' END, CASE WHEN maintainability NOT BETWEEN 0 AND 100 THEN 'maintainability must be within 0 and 100' END, CASE WHEN type = 'widget' THEN 'type is not known' END], lambda v: v IS NOT NULL) AS errors FROM k) SELECT * FROM e WHERE len(errors) > 0""")
+def validation_report(spark, sf_dir):
+    """All checks of a component at once, over every component."""
+    c, i = v.component(spark, sf_dir), F.col("id")
+    pick = lambda words, n: F.element_at(F.array(*map(F.lit, words)), (i % n + 1).cast("int"))
+    odd = c.withColumns({"type": pick(["class", "function", "widget"], 3), "access_level": pick(["public", "secret", "private", "internal"], 4), "line_start": i % 7 - 1, "line_end": i % 5, "complexity": F.col("complexity") - 3, "coverage_pct": F.col("coverage_pct") + 10, "maintainability": 40 - F.col("maintainability")})
+    return r.register(c, odd, types=r.COMPONENT_TYPES)[1].select("id", "errors")
+
+
 @query(f"WITH {C} SELECT count(*) AS n, sum(CASE WHEN id % 2 = 0 AND id % 40 <> 0 THEN complexity + 1 ELSE complexity END) AS complexity FROM component")
 def bulk_register(spark, sf_dir):
     c = v.component(spark, sf_dir)

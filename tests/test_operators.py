@@ -197,6 +197,14 @@ def test_guarded_sql(spark):
     for sql in ("SELECT * FROM identifier('private_t')", "SELECT * FROM agents JOIN identifier('private' || '_t') ON true", "SELECT reflect('java.lang.System', 'getProperty', 'user.home') FROM agents", "SELECT * FROM read_files('/etc')", "SELECT * FROM range(3)", "SELECT * FROM agents WHERE id = :x", "SELECT spark_catalog.default.f(id) FROM agents"):
         with pytest.raises(sqlguard.Rejected):
             sqlguard.guarded_query(spark, sql, {"agents", "private", "t"})
+    # what only looks like a relation stays as it is
+    spark.createDataFrame([(1, "public.x"), (2, "x"), (3, "information_schema.columns é")], "id long, t string").createOrReplaceTempView("agents")
+    for sql, ids in (
+        ("SELECT id FROM public.agents WHERE t = 'public.x'", [1]), ("SELECT public.agents.id FROM Public . agents WHERE public.agents.t = 'x'", [2]), ("SELECT 'é😀 public.a' AS t, id FROM `public`.`agents` -- public.agents", [1, 2, 3]),
+        ("SELECT id FROM public.agents WHERE t LIKE 'information_schema.columns%' AND id IN (SELECT id FROM public.agents)", [3]),
+    ):
+        assert sorted(r.id for r in sqlguard.guarded_query(spark, sql, {"agents"}).collect()) == ids
+    spark.range(5).createOrReplaceTempView("agents")
     columns = sqlguard.guarded_query(spark, "SELECT column_name FROM INFORMATION_SCHEMA.Columns WHERE table_name = 'agents'", {"agents"})
     assert [r.column_name for r in columns.collect()] == ["id"]
     with pytest.raises(sqlguard.Rejected):
