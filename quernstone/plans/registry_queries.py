@@ -167,7 +167,7 @@ def validation_report(spark, sf_dir):
     c, i = v.component(spark, sf_dir), F.col("id")
     pick = lambda words, n: F.element_at(F.array(*map(F.lit, words)), (i % n + 1).cast("int"))
     odd = c.withColumns({"type": pick(["class", "function", "widget"], 3), "access_level": pick(["public", "secret", "private", "internal"], 4), "line_start": i % 7 - 1, "line_end": i % 5, "complexity": F.col("complexity") - 3, "coverage_pct": F.col("coverage_pct") + 10, "maintainability": 40 - F.col("maintainability")})
-    return r.register(c, odd, types=r.COMPONENT_TYPES)[1].select("id", "errors")
+    return r.register(odd, odd, types=r.COMPONENT_TYPES)[1].select("id", "errors")
 
 
 @query(f"WITH {C} SELECT count(*) AS n, sum(CASE WHEN id % 2 = 0 AND id % 40 <> 0 THEN complexity + 1 ELSE complexity END) AS complexity FROM component")
