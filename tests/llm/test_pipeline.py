@@ -53,3 +53,17 @@ def test_stages_stand_odd_rows(spark, sf):
             if name != "byte_level_bpe":
                 assert out.columns == docs.columns
     assert corpus_pipeline.near_duplicates(spark, docs, sf).count() == 2
+
+
+def test_columns_named_like_those_of_operators_stay(spark, sf):
+    """What an operator adds under a name does not replace what the table has under it."""
+    text = " ".join(f"word{i} and thing{i % 7}" for i in range(80))
+    rows = [(1, text, 9, -5, "mine", True, "b"), (2, f"{text} password=abcdefghijklmnop", 9, -6, "yours", False, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, n_words long, spans string, kept boolean, blob string")
+    empty = docs.limit(0)
+    for stage in (corpus_pipeline.quality_rules, corpus_pipeline.secret_scans):
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and out.schema == docs.schema and stage(spark, empty, sf).count() == 0
+        assert {(r.doc_id, r.n_words, r.spans, r.kept, r.blob) for r in out.collect()} <= {(1, -5, "mine", True, "b"), (2, -6, "yours", False, None)}
+    clean = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.secret_scans(spark, docs, sf).collect()}
+    assert clean[1] == (text, 9) and clean[2] == (f"{text} [SECRET]", len(text) + 9)
