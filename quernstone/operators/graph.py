@@ -77,23 +77,46 @@ def resolve(deps: DataFrame, components: DataFrame) -> DataFrame:
     return hits.groupBy("src", "dep").agg(F.min_by("dst", F.struct("stage", "dst")).alias("dst"), F.min("stage").alias("stage"))
 
 
+def pieces(text: Column) -> Column:
+    """All pieces of one to three characters of a text, each once."""
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.substr(text, i, n)))))
+
+
+def held_by(texts: DataFrame, holders: DataFrame, text: str, holder: str) -> DataFrame:
+    """(project_id, text, holder): the texts that stand in a holder of their project; both are distinct by project and text.
+
+    A text is looked up under one of its pieces of three characters only (itself, if it is shorter), the one that fewest holders of its project have; a text with a piece that
+    none has stands in none."""
+    both = ["project_id", "key"]
+    offered = holders.select("project_id", holder, F.explode(pieces(F.col(holder))).alias("key"))
+    counts = offered.groupBy(*both).agg(F.count("*").alias("n"))
+    own = F.filter(pieces(F.col(text)), lambda g: F.length(g) == F.least(F.length(text), F.lit(3)))
+    known = texts.select("project_id", text, F.size(own).alias("of"), F.explode(own).alias("key")).join(counts, both)
+    rarest = known.groupBy("project_id", text, "of").agg(F.min(F.struct("n", "key")).alias("b"), F.count("*").alias("m")).where("m = of")
+    return rarest.select("project_id", text, F.col("b.key").alias("key")).join(offered, both).where(F.contains(holder, F.col(text))).select("project_id", text, holder)
+
+
+def first_two(rows: DataFrame, *by: str) -> DataFrame:
+    """Of each group the rows of the two smallest dst."""
+    return rows.distinct().withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("dst"))).where("r <= 2").drop("r")
+
+
 def resolve_contains(deps: DataFrame, components: DataFrame) -> DataFrame:
     """(src, dep, dst, stage) for what resolve() left: either name ends with the other (3), else either path or string holds the other (4); among hits the earliest stage wins, then the smallest id.
 
-    All are equi-joins: on the ends of a text, and for holding on a piece of up to three characters, which is checked after it. Empty texts hold nothing."""
-    text = lambda c: F.col(c) != ""
+    All are equi-joins: on the ends of a text, and for holding on its rarest piece, which is checked after it. Equal strings, names and paths of a project are joined once, and the two smallest ids of each
+    stand for all: one of them is not the asking component. Empty texts hold nothing."""
     ends = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substr(F.col(c), i))
-    grams = lambda c: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.substr(F.col(c), i, n)))))
-    head = lambda c: F.substr(F.col(c), F.lit(1), F.lit(3))
-    d, c = deps.where(text("dep")).select("project_id", "src", "dep"), components.select("project_id", F.col("id").alias("dst"), "name", "path")
-    named, placed = c.where(text("name")), c.where(text("path"))
-    both = ["project_id", "key"]
-    last = d.withColumn("key", F.col("dep")).join(named.select("project_id", "dst", F.explode(ends("name")).alias("key")), both).unionByName(d.withColumn("key", F.explode(ends("dep"))).join(named.select("project_id", "dst", F.col("name").alias("key")), both))
-    held = d.withColumn("key", head("dep")).join(placed.select("project_id", "dst", "path", F.explode(grams("path")).alias("key")), both).where(F.contains("path", F.col("dep")))
-    holds = d.withColumn("key", F.explode(grams("dep"))).join(placed.select("project_id", "dst", "path", head("path").alias("key")), both).where(F.contains("dep", F.col("path")))
-    row = lambda t, stage: t.where("src <> dst").select("src", "dep", F.struct(F.lit(stage).alias("stage"), "dst").alias("b"))
-    hits = row(last, 3).unionByName(row(held, 4)).unionByName(row(holds, 4))
-    return hits.groupBy("src", "dep").agg(F.min("b").alias("b")).select("src", "dep", "b.dst", "b.stage")
+    d = deps.where("dep <> ''").select("project_id", "src", "dep")
+    wanted = d.select("project_id", "dep").distinct()
+    ids = components.select("project_id", F.col("id").alias("dst"), "name", "path")
+    named, placed = (ids.where(F.col(c) != "").select("project_id", c).distinct() for c in ("name", "path"))
+    last = wanted.join(named.select("project_id", "name", F.explode(ends("name")).alias("dep")), ["project_id", "dep"]).unionByName(wanted.withColumn("name", F.explode(ends("dep"))).join(named, ["project_id", "name"]))
+    inside = held_by(wanted, placed, "dep", "path").unionByName(held_by(placed, wanted, "path", "dep"))
+    found = lambda pairs, c, stage: pairs.distinct().join(first_two(ids.select("project_id", c, "dst"), "project_id", c), ["project_id", c]).select("project_id", "dep", F.lit(stage).alias("stage"), "dst")
+    few = first_two(found(last, "name", 3).unionByName(found(inside, "path", 4)), "project_id", "dep", "stage")
+    hits = d.join(few, ["project_id", "dep"]).where("src <> dst")
+    return hits.groupBy("src", "dep").agg(F.min(F.struct("stage", "dst")).alias("b")).select("src", "dep", "b.dst", "b.stage")
 
 
 def resolve_all(deps: DataFrame, components: DataFrame) -> DataFrame:

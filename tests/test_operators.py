@@ -258,3 +258,21 @@ def test_empty_words_and_zero_division(spark):
 def test_numbers_of_zeros(spark):
     code = spark.createDataFrame([(1, "a = 00 + 000\nb = 007 + 0011 + 00000000000000000000012")], "id long, content string")
     assert [(r.line_number, r.found) for r in textscan.line_review(code).collect()] == [(2, "0011"), (2, "00000000000000000000012")]
+
+
+def test_containment_by_rarest_piece(spark):
+    """Either text in the other, against all pairs; few pairs are looked at."""
+    import random
+
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcd/.") for _ in range(rng.randint(1, 7)))
+    parts = [(i, i % 2, word(), f"src/lib/{word()}/{word()}") for i in range(60)]
+    deps = [(p, i, d) for i, p, *_ in parts for d in {word(), f"x{word()}", rng.choice(parts)[3][4:], rng.choice(parts)[3] + "#", ""}]
+    c = spark.createDataFrame(parts, "id long, project_id long, name string, path string")
+    got = {(r.src, r.dep): (r.stage, r.dst) for r in graph.resolve_contains(spark.createDataFrame(deps, "project_id long, src long, dep string"), c).collect()}
+    want = {}
+    for p, src, d in deps:
+        hits = [(3, i) for i, q, name, _ in parts if q == p and i != src and d and (name.endswith(d) or d.endswith(name))] + [(4, i) for i, q, _, path in parts if q == p and i != src and d and (d in path or path in d)]
+        if hits:
+            want[src, d] = min(hits)
+    assert got == want
