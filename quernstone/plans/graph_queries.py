@@ -377,7 +377,7 @@ def graph_statistics(spark, sf_dir):
     return g.graph_statistics(c, e.withColumn("type", F.when(F.col("dst") % 2 == 0, "import").otherwise("reference")))
 
 
-STRINGS = f"""{CL}, deps AS (SELECT e.src, CASE e.dst % 4 WHEN 0 THEN CAST(e.dst AS VARCHAR) WHEN 1 THEN concat('lib.', b.name) WHEN 2 THEN concat(' ', b.language, '/', e.dst, ' ') ELSE b.name END AS dep FROM latest e JOIN component b ON b.id = e.dst)"""
+STRINGS = f"""{CE}, deps AS (SELECT e.src, CASE e.dst % 4 WHEN 0 THEN CAST(e.dst AS VARCHAR) WHEN 1 THEN concat('lib.', b.name) WHEN 2 THEN concat(' ', b.language, '/', e.dst, ' ') ELSE b.name END AS dep FROM edge e JOIN component b ON b.id = e.dst)"""
 
 
 def strings(c, e):
@@ -390,25 +390,25 @@ def strings(c, e):
  SELECT c.id, coalesce(ca, 0) AS ca, coalesce(ce, 0) AS ce, round(CASE WHEN coalesce(ca, 0) + coalesce(ce, 0) = 0 THEN 0 ELSE coalesce(ce, 0) / (coalesce(ca, 0) + coalesce(ce, 0))::DOUBLE END, 6)::DOUBLE AS instability
  FROM component c LEFT JOIN ca ON CAST(c.id AS VARCHAR) = dep LEFT JOIN ce ON src = c.id""")
 def coupling_by_name(spark, sf_dir):
-    c, e = latest(spark, sf_dir)
+    c, e = tables(spark, sf_dir)
     return g.coupling_by_name(strings(c, e), c)
 
 
 @query(f"""WITH {STRINGS}, pack AS (SELECT id, name, concat(type, '/', language) AS package FROM component), named AS (SELECT name, min(package) AS package FROM pack GROUP BY name),
  hit AS (SELECT DISTINCT p.package AS src_package, d.dep, (SELECT min(n.package) FROM named n WHERE ends_with(d.dep, n.name)) AS dst_package FROM deps d JOIN pack p ON p.id = d.src) SELECT DISTINCT src_package, dst_package FROM hit WHERE src_package <> dst_package""")
 def dependency_packages(spark, sf_dir):
-    c, e = latest(spark, sf_dir)
+    c, e = tables(spark, sf_dir)
     return g.dependency_packages(strings(c, e), c)
 
 
 @query(f"""WITH {STRINGS}, d AS (SELECT DISTINCT src, trim(dep) AS dep FROM deps), l AS (SELECT src, coalesce((SELECT c.id FROM component c WHERE CAST(c.id AS VARCHAR) = dep), (SELECT max(c.id) FROM component c WHERE c.name = dep),
  (SELECT min(c.id) FROM component c WHERE ends_with(c.path, dep))) AS dst FROM d) SELECT DISTINCT src, dst FROM l WHERE dst IS NOT NULL""")
 def chart_links(spark, sf_dir):
-    c, e = latest(spark, sf_dir)
+    c, e = tables(spark, sf_dir)
     return g.chart_links(strings(c, e), c)
 
 
-@query(f"WITH {CL} SELECT p.id AS project, c.id, coalesce(e.dst, -1) AS dst FROM (SELECT 2 AS id UNION ALL SELECT 5 UNION ALL SELECT 99) p JOIN component c ON c.project_id = p.id LEFT JOIN latest e ON e.src = c.id")
+@query(f"WITH {CE} SELECT p.id AS project, c.id, coalesce(e.dst, -1) AS dst FROM (SELECT 2 AS id UNION ALL SELECT 5 UNION ALL SELECT 99) p JOIN component c ON c.project_id = p.id LEFT JOIN edge e ON e.src = c.id")
 def project_components(spark, sf_dir):
-    c, e = latest(spark, sf_dir)
+    c, e = tables(spark, sf_dir)
     return g.project_components(spark.createDataFrame([(2,), (5,), (99,)], "id long"), c, e).withColumn("dst", F.coalesce("dst", F.lit(-1).cast("long")))
