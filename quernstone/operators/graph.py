@@ -307,31 +307,23 @@ def small_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             inside = set(own)
             out = {v: max(depth[w] + 1 for w in succ.get(v, ()) if w not in inside) for v in own if succ.get(v, set()) - inside}
             inner = {v: [w for w in succ.get(v, ()) if w in inside] for v in own}
-            for v in own:
-                depth[v] = longest_chain(inner, out, v)
+            depth |= longest_chains(inner, out)
         return pd.DataFrame([(v, component, on_cycle, layer, depth[v]) for v, component, _, on_cycle, layer in found], columns=["id", "component", "on_cycle", "layer", "depth"])
 
     return rows.withColumn("one", F.lit(0).cast("long")).groupBy("one").applyInPandas(run, "id long, component long, on_cycle boolean, layer long, depth long")
 
 
-def longest_chain(succ: dict, out: dict, start: int) -> int:
-    """Steps of the longest chain from a node of a strongly connected component; succ has the edges inside it, out what follows outside."""
-    if len(succ) > SEARCHED_NODES:
-        return max(len(succ), len(succ) - 1 + max(out.values(), default=0))
-    best, stack = 0, [(start, frozenset([start]))]
-    while stack:
-        at, seen = stack.pop()
-        steps = len(seen) - 1
-        best = max(best, steps + out.get(at, 0))
-        for b in succ.get(at, ()):
-            best = max(best, steps + 1)
-            if b not in seen:
-                stack.append((b, seen | {b}))
-    return best
+def longest_chains(succ: dict, out: dict) -> dict:
+    """Steps of the longest chain from each node of a strongly connected component; succ has the edges inside it, out what follows outside.
+    Simple paths are searched, for SEARCH_STEPS steps in all; nodes that those do not suffice for get the most that a chain through all nodes can have (`components.depths` tells the two apart)."""
+    from quernstone.operators.components import SEARCH_STEPS, longest_search
 
-
-#: Nodes of a strongly connected component up to which its simple paths are searched; a larger one counts as a cycle through all its nodes.
-SEARCHED_NODES = 12
+    depth, budget = {}, SEARCH_STEPS
+    most = max(len(succ), len(succ) - 1 + max(out.values(), default=0))
+    for v in sorted(succ):
+        steps, whole, used = longest_search(succ, out, v, budget)
+        depth[v], budget = steps if whole else most, budget - used
+    return depth
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -369,7 +361,7 @@ def chains_in_component(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
     succ: dict = {}
     for a, b in zip(inner["src"], inner["dst"].astype("int64"), strict=True):
         succ.setdefault(a, []).append(b)
-    return pd.DataFrame([(v, key[0], longest_chain(succ, out, v)) for v in sorted(succ)], columns=["id", "component", "depth"]).astype("int64")
+    return pd.DataFrame([(v, key[0], d) for v, d in longest_chains(succ, out).items()], columns=["id", "component", "depth"]).astype("int64")
 
 
 def reach(edges: DataFrame, start: DataFrame, reverse: bool = False, depth: int | None = None, both: bool = False) -> DataFrame:

@@ -74,7 +74,7 @@ def test_components_by_closure(pairs):
         assert out[a][1] == out[b][1] or out[a][4] > out[b][4]
 
 
-@pytest.mark.parametrize("pairs", [CASES[0], CASES[2], [(1, 2), (2, 3), (3, 1), (1, 4), (4, 5), (6, 1), (6, 6)], [(1, 2), (1, 3), (2, 4), (3, 4)]])
+@pytest.mark.parametrize("pairs", [CASES[0], CASES[2], [(1, 2), (2, 3), (3, 1), (1, 4), (4, 5), (6, 1), (6, 6)], [(1, 2), (1, 3), (2, 4), (3, 4)], [e for i in range(2, 15) for e in ((1, i), (i, 1))]])
 @pytest.mark.parametrize("small", [True, False])
 def test_longest_chains_and_layers(spark, pairs, small, monkeypatch):
     """Chains by search over simple paths, layers on the graph of components; by one task and by loops over tables."""
