@@ -91,7 +91,8 @@ def due_projects(projects: DataFrame, processed: DataFrame, now: Column, cooldow
 
 
 def since_buckets(ts: Column, now: Column) -> Column:
-    hours = F.floor((F.unix_timestamp(now) - F.unix_timestamp(ts)) / 3600)
+    """By whole hours passed; parts of a second count, so an hour less a microsecond is no hour yet."""
+    hours = F.floor((F.unix_micros(now) - F.unix_micros(ts)) / 3_600_000_000)
     return F.when(hours < 1, "just now").when(hours < 24, "today").when(hours < 168, "this week").otherwise("older")
 
 

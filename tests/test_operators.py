@@ -276,3 +276,10 @@ def test_containment_by_rarest_piece(spark):
         if hits:
             want[src, d] = min(hits)
     assert got == want
+
+
+def test_hours_passed_count_parts_of_a_second(spark):
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    at = ["2024-01-31 23:00:00", "2024-01-31 23:00:00.000001", "2024-01-25 00:00:00", "2024-01-25 00:00:00.5", "2024-02-01 00:00:00.5"]
+    rows = spark.createDataFrame([(t,) for t in at], "t string").select("t", logs.since_buckets(F.col("t").cast("timestamp"), now).alias("age"))
+    assert {r.t: r.age for r in rows.collect()} == dict(zip(at, ["today", "just now", "older", "this week", "just now"], strict=True))
