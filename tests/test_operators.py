@@ -283,3 +283,29 @@ def test_hours_passed_count_parts_of_a_second(spark):
     at = ["2024-01-31 23:00:00", "2024-01-31 23:00:00.000001", "2024-01-25 00:00:00", "2024-01-25 00:00:00.5", "2024-02-01 00:00:00.5"]
     rows = spark.createDataFrame([(t,) for t in at], "t string").select("t", logs.since_buckets(F.col("t").cast("timestamp"), now).alias("age"))
     assert {r.t: r.age for r in rows.collect()} == dict(zip(at, ["today", "just now", "older", "this week", "just now"], strict=True))
+
+
+def test_later_stages_leave_out_what_earlier_ones_find(spark):
+    """All five stages against all pairs, as the SQL of edge_resolution_all has them: a component that an earlier stage finds is no hit of a later one, also if that stage led to the asking component itself."""
+    import random
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("ab.") for _ in range(rng.randint(1, 4)))
+    parts = [(i, i % 2, word(), f"{word()}/{word()}") for i in range(80)]
+    deps = sorted({(p, i, d) for i, p, name, path in parts for d in (name, path, word(), f"x.{name}", rng.choice(parts)[2], path[1:]) if d})
+    c = spark.createDataFrame(parts, "id long, project_id long, name string, path string")
+    got = {(r.src, r.dep): (r.stage, r.dst) for r in graph.resolve_all(spark.createDataFrame(deps, "project_id long, src long, dep string"), c).collect()}
+    want, changed = {}, 0
+    for p, src, d in deps:
+        stages: dict = {}
+        for i, q, name, path in parts:
+            if q == p:
+                tests = [name == d, d in (path, re.sub(r"\.[^./]*$", "", path)), name == d.split(".")[-1], name.endswith(d) or d.endswith(name), d in path or path in d]
+                if any(tests):
+                    stages.setdefault(tests.index(True), []).append(i)
+        hits = [(s, max(stages[s])) for s in (0, 1, 2) if s in stages and max(stages[s]) != src]
+        hits = hits or [(s, i) for s in (3, 4) for i in stages.get(s, ()) if i != src]
+        changed += not hits or bool(hits[0][0] > 2 and stages.keys() & {0, 1, 2})
+        if hits:
+            want[src, d] = min(hits)
+    assert changed and got == want
