@@ -309,3 +309,10 @@ def test_later_stages_leave_out_what_earlier_ones_find(spark):
         if hits:
             want[src, d] = min(hits)
     assert changed and got == want
+
+
+def test_all_projects_have_their_components(spark, sf):
+    from quernstone.plans import catalog
+
+    got = {r.project for r in catalog.QUERIES["project_components"](spark, sf).select("project").distinct().collect()}
+    assert got == {r.p for r in spark.read.parquet(f"{sf}/part.parquet").selectExpr("p_partkey % 7 AS p").distinct().collect()}
