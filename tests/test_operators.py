@@ -316,3 +316,12 @@ def test_all_projects_have_their_components(spark, sf):
 
     got = {r.project for r in catalog.QUERIES["project_components"](spark, sf).select("project").distinct().collect()}
     assert got == {r.p for r in spark.read.parquet(f"{sf}/part.parquet").selectExpr("p_partkey % 7 AS p").distinct().collect()}
+
+
+def test_changed_graph_resolves_once(spark):
+    """The plan of an incremental build reads tables, so it doesn't grow with each use of the resolved edges."""
+    c = spark.createDataFrame([(i, i % 2, f"n{i}", f"a/n{i}.py", ["x"]) for i in range(6)], "id long, project_id long, name string, path string, exports array<string>")
+    deps = spark.createDataFrame([(i % 2, i, f"n{i - 2}") for i in range(2, 6)], "project_id long, src long, dep string")
+    touched = graph.changed_graph(deps, c, c.where("id = 0"))[1]
+    assert touched._jdf.queryExecution().optimizedPlan().toString().count("\n") < 40
+    assert [(r.src, r.dst) for r in touched.collect()] == [(2, 0)]
