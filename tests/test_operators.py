@@ -325,3 +325,12 @@ def test_changed_graph_resolves_once(spark):
     touched = graph.changed_graph(deps, c, c.where("id = 0"))[1]
     assert touched._jdf.queryExecution().optimizedPlan().toString().count("\n") < 40
     assert [(r.src, r.dst) for r in touched.collect()] == [(2, 0)]
+
+
+def test_large_graphs_have_levels_of_tables(spark, monkeypatch):
+    """Above SMALL_GRAPH the plan of levels is a table, whatever the number of rounds; a ring with a chain behind it and one before."""
+    monkeypatch.setattr(graph, "SMALL_GRAPH", 0)
+    pairs = [(i, i + 1) for i in range(1, 30)] + [(30, 21)]
+    out = graph.levels(nodes(spark, range(1, 31)), edges(spark, pairs))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("\n") <= 3
+    assert {r.id: (r.component, r.on_cycle, r.layer, r.depth) for r in out.collect()} == {i: (i, False, 21 - i, 21 - i + 10) if i < 21 else (21, True, 0, 10) for i in range(1, 31)}
