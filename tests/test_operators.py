@@ -318,6 +318,13 @@ def test_all_projects_have_their_components(spark, sf):
     assert got == {r.p for r in spark.read.parquet(f"{sf}/part.parquet").selectExpr("p_partkey % 7 AS p").distinct().collect()}
 
 
+def test_chart_links_collect_no_table(spark, sf):
+    from quernstone.plans import catalog
+
+    plan = catalog.QUERIES["chart_links"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "l_orderkey" not in x]  # lines of orders are joined before
+
+
 def test_changed_graph_resolves_once(spark):
     """The plan of an incremental build reads tables, so it doesn't grow with each use of the resolved edges."""
     c = spark.createDataFrame([(i, i % 2, f"n{i}", f"a/n{i}.py", ["x"]) for i in range(6)], "id long, project_id long, name string, path string, exports array<string>")
