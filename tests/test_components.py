@@ -86,6 +86,13 @@ def test_cycles_are_shortest_paths(spark):
         assert steps == r.length
 
 
+def test_nodes_with_loops_that_are_on_a_ring_later(spark):
+    """3 and 5 are the ends of runs back to themselves, kept apart from their component by the colour of 1, and a ring once that is gone: both are in one component, and each node has one row."""
+    edges = [(1, 2), (2, 1), (1, 3), (3, 4), (4, 3), (3, 5), (5, 3), (5, 6), (6, 5)]
+    found = rows(components.all_components(*tables(spark, range(1, 7), edges)), "id", "component", "on_cycle")
+    assert found == [(v, 1 if v < 3 else 3, True) for v in range(1, 7)]
+
+
 def test_rounds_of_a_long_chain(spark):
     """A chain of 3,000 nodes with a ring of 1,000 behind it takes rounds by the logarithm of their lengths."""
     edges = [(i, i + 1) for i in range(3000)] + [(5000 + i, 5000 + (i + 1) % 1000) for i in range(1000)] + [(3000, 5000)]
