@@ -311,6 +311,15 @@ def test_later_stages_leave_out_what_earlier_ones_find(spark):
     assert changed and got == want
 
 
+def test_texts_are_looked_up_under_long_pieces(spark):
+    """Paths that differ in their last digits: under pieces of three characters each would be checked in a share of all, so the work grew with the square of the table."""
+    paths = spark.range(1000, 3000).selectExpr("0L AS project_id", "concat('large/Brand#7/', id) AS path")
+    asked = spark.range(1000, 3000).selectExpr("0L AS project_id", "concat('Brand#7/', id) AS dep").unionByName(spark.createDataFrame([(0, "7"), (0, "/1"), (0, "#7/"), (0, "x"), (1, "7"), (None, "7")], "project_id long, dep string"))
+    assert graph.may_hold(asked.where("dep LIKE 'Brand%'"), paths, "dep", "path").count() <= 2 * 2000
+    want = asked.join(paths, "project_id").where("contains(path, dep)").count()
+    assert graph.held_by(asked, paths, "dep", "path").count() == want > 2000
+
+
 def test_all_projects_have_their_components(spark, sf):
     from quernstone.plans import catalog
 
