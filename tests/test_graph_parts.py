@@ -2,9 +2,11 @@
 
 import random
 
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from quernstone.operators import components, graph
+from quernstone.operators import components, graph, kernels
 
 
 @pytest.fixture(scope="module")
@@ -77,3 +79,28 @@ def test_searches_stay_in_parts(many, monkeypatch, most):
     back = brute_reach([(b, a) for a, b in pairs])
     got = {r[0]: r[1:] for r in rows(graph.impact(edges, nodes))}
     assert got == {i: (d := sum(n == 1 for n in back.get(i, {}).values()), a := len(back.get(i, {})), a - d, d > 5 or a > 20) for i in range(130)}
+
+
+def test_arrays_give_the_components_of_plain_searches():
+    rng = random.Random(5)
+    nodes = rng.sample(range(1_000), 400)
+    edges = [(rng.choice(nodes), rng.choice(nodes)) for _ in range(420)] + [(nodes[i], nodes[i + 1]) for i in range(60)] + [(nodes[60], nodes[50]), (nodes[3], nodes[3]), (5_000, nodes[0]), (nodes[1], 5_000)]
+    inside = [(a, b) for a, b in edges if a != 5_000 and b != 5_000]
+    df = pd.DataFrame([(v, None) for v in nodes] + edges + edges[:9], columns=["src", "dst"])
+    found = graph.levels_run()(df)
+    want = sorted((v, component, on_cycle, layer) for v, component, _, on_cycle, layer in kernels.analyse(inside, sorted(nodes)))
+    assert [tuple(r[:4]) for r in found.itertuples(index=False)] == want and any(r[2] for r in want) and max(r[3] for r in want) > 9
+    assert not len(graph.levels_run()(df[:0])) and not len(graph.kahn_run()(df[:0]))
+
+
+def test_a_part_of_most_nodes_is_one_task_s(spark, monkeypatch):
+    """300,000 nodes and as many edges in one part, as newest orders give them for a million parts: no rounds over tables, in which layers took longer than their limit."""
+    for name in ("depths", "all_components"):
+        monkeypatch.setattr(components, name, refuse)
+    monkeypatch.setattr(graph, "layers_in_rounds", refuse)
+    n = 300_000
+    nodes = spark.range(n)
+    edges = spark.range(1, n).selectExpr("id AS src", "id div 2 AS dst").unionByName(spark.range(1).selectExpr("0L AS src", "1L AS dst"))
+    got = graph.levels(nodes, edges).agg(F.max("layer"), F.count_if("on_cycle"), F.max("depth")).first()
+    assert tuple(got) == (18, 2, 20)
+    assert graph.layers(nodes, edges).agg(F.max("layer")).first()[0] == 17
