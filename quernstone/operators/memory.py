@@ -159,13 +159,16 @@ def embed_slots(text: Column, dim: int = 768, spread: int = 8, step: int = 7919)
     The digest is reduced modulo dim eight hex digits at a time, so no number exceeds 64 bits.
     """
     base = (1 << 32) % dim
-    mod = lambda t: F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0).cast("long"), lambda acc, i: (acc * base + F.conv(F.substr(F.sha2(t, 256), i * 8 + 1, F.lit(8)), 16, 10).cast("long")) % dim)
-    toks = x.words(F.lower(text))
-    return F.flatten(F.transform(toks, lambda t, i: F.transform(F.sequence(F.lit(0), F.lit(spread - 1)), lambda j: F.struct(((mod(t) + j * step) % dim).cast("int").alias("slot"), (1 / (1 + F.lit(0.1) * i)).alias("weight")))))
+    mod = lambda h: F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0).cast("long"), lambda acc, i: (acc * base + F.conv(F.substr(h, i * 8 + 1, F.lit(8)), 16, 10).cast("long")) % dim)
+    # in steps, so that a token's digest is made once, not for each of its digits and slots
+    places = F.transform(F.transform(x.words(F.lower(text)), lambda t: F.sha2(t, 256)), mod)
+    return F.flatten(F.transform(places, lambda m, i: F.transform(F.sequence(F.lit(0), F.lit(spread - 1)), lambda j: F.struct(((m + j * step) % dim).cast("int").alias("slot"), (1 / (1 + F.lit(0.1) * i)).alias("weight")))))
 
 
 def embedding_from_slots(slots: DataFrame, key: str = "id", dim: int = 768) -> DataFrame:
     """(key, embedding): slots (array of slot and weight) summed and scaled to norm 1."""
-    summed = slots.select(key, F.explode("slots").alias("s")).groupBy(key, "s.slot").agg(F.sum("s.weight").alias("w"))
+    # from explode() the planner infers that there are slots, and makes those of all texts to find out, also of texts that a join or filter leaves out
+    each = slots.select(key, F.explode_outer("slots").alias("s")).where("s IS NOT NULL")
+    summed = each.groupBy(key, "s.slot").agg(F.sum("s.weight").alias("w"))
     packed = summed.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("slot", "w"))).alias("m"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n"))
     return packed.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("n")).cast("float")).alias("embedding"))

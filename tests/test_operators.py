@@ -311,6 +311,17 @@ def test_later_stages_leave_out_what_earlier_ones_find(spark):
     assert changed and got == want
 
 
+def test_only_changed_contents_are_embedded(spark):
+    """Digests are made of contents that differ, not in a filter of all changes, and once a token."""
+    held = spark.createDataFrame([(i, f"text {i}", {"tag": "old"}, None) for i in range(6)], "id long, content string, metadata map<string,string>, embedding array<float>")
+    changes = spark.createDataFrame([(1, "text 1", None), (2, "other words", {"tag": "new"}), (3, None, None), (4, " ", None)], "id long, content string, metadata map<string,string>")
+    out = memory.updated(held, changes, 64)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "sha2" in x and "Filter" in x] and plan.count("sha2(") == 1
+    got = {r.id: (r.content, r.metadata["tag"], r.embedding and sum(w != 0 for w in r.embedding)) for r in out.collect()}
+    assert got == {0: ("text 0", "old", None), 1: ("text 1", "old", None), 2: ("other words", "new", got[2][2]), 3: ("text 3", "old", None), 4: (" ", "old", None), 5: ("text 5", "old", None)} and got[2][2] > 7
+
+
 def test_texts_are_looked_up_under_long_pieces(spark):
     """Paths that differ in their last digits: under pieces of three characters each would be checked in a share of all, so the work grew with the square of the table."""
     paths = spark.range(1000, 3000).selectExpr("0L AS project_id", "concat('large/Brand#7/', id) AS path")
